@@ -78,17 +78,19 @@ def sections_of_lines(lines: Column) -> Column:
             ),
         )
 
-    def find(v: Column) -> Column:
+    def with_headers(v: Column) -> Column:
         headers = F.array_compact(
             F.transform(v["lines"], lambda line, i: F.when(is_header(strip(line)), i))
         )
-        return let(F.struct(v["lines"].alias("lines"), headers.alias("headers")), cut)
+        found = let(F.struct(v["lines"].alias("lines"), headers.alias("headers")), cut)
+        whole = F.array(
+            F.struct(
+                F.lit(NO_SECTION).alias("section"), F.array_join(v["lines"], "\n").alias("text")
+            )
+        )
+        return let(found, lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
 
-    found = let(F.struct(lines.alias("lines")), find)
-    whole = F.array(
-        F.struct(F.lit(NO_SECTION).alias("section"), F.array_join(lines, "\n").alias("text"))
-    )
-    return let(found, lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
+    return let(F.struct(lines.alias("lines")), with_headers)
 
 
 def split_sections(text: Column) -> Column:

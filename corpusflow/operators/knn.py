@@ -32,7 +32,10 @@ from corpusflow.operators.embedding import arrow_to_vectors
 TOP_K = 5
 TOP_K_RANGE = (3, 10)
 
+# What may be sent to every task: so many questions, so many bytes, so many hits.
+BROADCAST_QUESTIONS = 50_000
 BROADCAST_BYTES = 256 << 20
+BROADCAST_HITS = 1_000_000
 SHARD_ROWS = 20_000
 BLOCK_CELLS = 4_000_000
 RANK_ROWS = 2_000_000
@@ -115,14 +118,19 @@ def rank_hits(hits: DataFrame, k: int, groups: int = 1) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
-def questions_fit(questions: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether all questions, as numbers, stay within ``limit`` bytes."""
-    values = F.size("embedding").cast("bigint") + F.coalesce(F.size("cells"), F.lit(0))
-    return (questions.agg(F.sum(values)).first()[0] or 0) * 8 <= limit
+def small_enough(questions: DataFrame) -> pa.Table | None:
+    """The questions themselves if they may be sent to every task, else None.
+
+    Never more than ``BROADCAST_QUESTIONS`` + 1 rows reach the driver.
+    """
+    found = questions.limit(BROADCAST_QUESTIONS + 1).toArrow()
+    fits = found.num_rows <= BROADCAST_QUESTIONS and found.nbytes <= BROADCAST_BYTES
+    return found if fits else None
 
 
-def _scan(questions: DataFrame, vectors: DataFrame, k: int, key_type, one_cell: bool) -> DataFrame:
-    table = questions.select("question_id", "embedding", "cells").toArrow().combine_chunks()
+def _scan(
+    table: pa.Table, vectors: DataFrame, k: int, schema: T.StructType, one_cell: bool
+) -> DataFrame:
     ids = table.column("question_id").to_pylist()
     matrix = arrow_to_vectors(table.column("embedding").combine_chunks()) if ids else np.zeros((0, 0))
     by_cell: dict[int, list[int]] = {}
@@ -166,12 +174,11 @@ def _scan(questions: DataFrame, vectors: DataFrame, k: int, key_type, one_cell:
             )
             yield from out.to_batches()
 
-    schema = _hits_schema(questions.schema["question_id"].dataType, key_type)
     return vectors.select("vec_key", "embedding", "cells").mapInArrow(run, schema)
 
 
 def _grid(
-    questions: DataFrame, vectors: DataFrame, k: int, key_type, shard_rows: int
+    questions: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, shard_rows: int
 ) -> DataFrame:
     # The aliases tell both sides apart even if they come from the same table.
     q = questions.select(
@@ -198,7 +205,6 @@ def _grid(
         )
 
     meeting = ["cell", "q_shard", "v_shard"]
-    question_type = questions.schema["question_id"].dataType
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("question_id").combine_chunks()
@@ -222,7 +228,7 @@ def _grid(
         place(q, "question_id", "q_shards", "v_shards")
         .groupBy(*meeting)
         .cogroup(place(v, "vec_key", "v_shards", "q_shards").groupBy(*meeting))
-        .applyInArrow(meet, _hits_schema(question_type, key_type))
+        .applyInArrow(meet, schema)
     )
     # A pair may meet in several cells.
     return hits.groupBy("question_id", "vec_key").agg(F.max("score").alias("score"))
@@ -240,20 +246,26 @@ def search_cells(
 
     ``questions(question_id, embedding, cells)`` and ``vectors(vec_key, embedding, cells)``
     give ``(question_id, rank, vec_key, score)``. ``one_cell`` states that no vector has
-    more than one cell. ``way`` forces ``scan`` or ``grid``.
+    more than one cell. ``way`` forces ``scan`` or ``grid``. The hits of few questions are
+    marked for broadcast, so that looking up their chunks does not shuffle the chunks.
     """
-    key_type = vectors.schema["vec_key"].dataType
-    if way is None:
-        way = "scan" if questions_fit(questions) else "grid"
-    groups = 1
-    if way == "scan":
-        groups = math.ceil(vectors.rdd.getNumPartitions() * k / RANK_ROWS)
-        hits = _scan(questions, vectors, k, key_type, one_cell)
-    elif way == "grid":
-        hits = _grid(questions, vectors, k, key_type, shard_rows)
-    else:
+    if way not in (None, "scan", "grid"):
         raise ValueError(f"unknown way: {way}")
-    return rank_hits(hits, k, groups).select("question_id", "rank", "vec_key", "score")
+    questions = questions.select("question_id", "embedding", "cells")
+    schema = _hits_schema(
+        questions.schema["question_id"].dataType, vectors.schema["vec_key"].dataType
+    )
+    columns = ("question_id", "rank", "vec_key", "score")
+    sent = None if way == "grid" else small_enough(questions)
+    if sent is None and way == "scan":
+        raise ValueError("too many questions to send to every task")
+    if sent is None:
+        hits = _grid(questions, vectors, k, schema, shard_rows)
+        return rank_hits(hits, k).select(*columns)
+    hits = _scan(sent, vectors, k, schema, one_cell)
+    groups = math.ceil(vectors.rdd.getNumPartitions() * k / RANK_ROWS)
+    ranked = rank_hits(hits, k, groups).select(*columns)
+    return F.broadcast(ranked) if sent.num_rows * k <= BROADCAST_HITS else ranked
 
 
 def search_exact(

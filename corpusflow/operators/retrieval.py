@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.functions.text import strip
 from corpusflow.operators.search import search
@@ -94,7 +94,7 @@ def search_report(retrieved: DataFrame) -> DataFrame:
     return retrieved.select(
         "question_id",
         "rank",
-        F.format_string("%.4f", "score").alias("score"),
+        F.round(F.col("score").cast("decimal(18,6)"), 4).cast("string").alias("score"),
         F.col("paper_id").alias("paper"),
         "section",
         F.concat_ws("/", "chunk_index", "total_chunks").alias("chunk"),
@@ -102,62 +102,48 @@ def search_report(retrieved: DataFrame) -> DataFrame:
     )
 
 
-def _in_order(entries: Column, body: Callable[[Column], Column]) -> Column:
-    """Join texts made of collected structs, in the order of their first field."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(entries)), body), "")
+def gather_hits(retrieved: DataFrame) -> DataFrame:
+    """One row per question with its hits as an array, best first.
 
+    A question has at most ``k`` hits, so its array is small however skewed the papers are.
+    Context, citations and sources are then columns over this one array.
+    """
+    fields = [f for f in (*SOURCE_FIELDS, "text") if f in retrieved.columns]
+    hits = F.array_sort(F.collect_list(F.struct("rank", *fields)))
+    return retrieved.groupBy("question_id").agg(hits.alias("hits"))
 
-def format_context(retrieved: DataFrame) -> DataFrame:
-    """The context text of each question; a question has at most ``k`` hits."""
-    entries = F.struct("rank", "paper_id", "section", "text")
-    text = _in_order(
-        entries,
-        lambda e: F.format_string(
-            CONTEXT_ENTRY, e["rank"], e["paper_id"], e["section"], e["text"]
-        ),
-    )
-    return retrieved.groupBy("question_id").agg(
-        F.concat(F.lit(CONTEXT_TITLE), text).alias("context")
-    )
 
+def context_text(hits: Column) -> Column:
+    """The context that a prompt shows: numbered hits with paper, section and text."""
 
-def format_sources(retrieved: DataFrame) -> DataFrame:
-    """The citations of each question: papers by first hit, with up to three sections."""
-    sections = F.array_sort(F.collect_list(F.struct("rank", "section")))
-    papers = retrieved.groupBy("question_id", "paper_id").agg(
-        F.min("rank").alias("first_rank"),
-        F.array_join(
-            F.slice(
-                F.array_distinct(F.transform(sections, lambda s: s["section"])),
-                1,
-                SOURCES_MAX_SECTIONS,
-            ),
-            ", ",
-        ).alias("sections"),
-    )
-    place = F.row_number().over(W.partitionBy("question_id").orderBy("first_rank"))
-    text = _in_order(
-        F.struct("paper_rank", "paper_id", "sections"),
-        lambda e: F.format_string(SOURCES_ENTRY, e["paper_rank"], e["paper_id"], e["sections"]),
-    )
-    return (
-        papers.withColumn("paper_rank", place)
-        .groupBy("question_id")
-        .agg(F.concat(F.lit(SOURCES_TITLE), text).alias("citations"))
-    )
+    def entry(h: Column) -> Column:
+        return F.format_string(CONTEXT_ENTRY, h["rank"], h["paper_id"], h["section"], h["text"])
+
+    return F.concat(F.lit(CONTEXT_TITLE), F.array_join(F.transform(hits, entry), ""))
+
+
+def citation_text(hits: Column) -> Column:
+    """Papers in the order of their first hit, each with its first sections."""
+
+    def entry(paper: Column, i: Column) -> Column:
+        of_paper = F.filter(hits, lambda h: h["paper_id"] == paper)
+        sections = F.array_distinct(F.transform(of_paper, lambda h: h["section"]))
+        shown = F.array_join(F.slice(sections, 1, SOURCES_MAX_SECTIONS), ", ")
+        return F.format_string(SOURCES_ENTRY, i + 1, paper, shown)
 
+    papers = F.array_distinct(F.transform(hits, lambda h: h["paper_id"]))
+    return F.concat(F.lit(SOURCES_TITLE), F.array_join(F.transform(papers, entry), ""))
 
-def gather_sources(retrieved: DataFrame) -> DataFrame:
-    """Source records and context texts of each question as arrays, best first."""
-    hits = F.array_sort(F.collect_list(F.struct("rank", *SOURCE_FIELDS, "text")))
-    return (
-        retrieved.groupBy("question_id")
-        .agg(hits.alias("_hits"))
-        .select(
-            "question_id",
-            F.transform("_hits", lambda h: F.struct(*[h[f] for f in SOURCE_FIELDS])).alias("sources"),
-            F.transform("_hits", lambda h: h["text"]).alias("context_texts"),
-        )
+
+def format_context(retrieved: DataFrame) -> DataFrame:
+    """The context text of each question."""
+    return gather_hits(retrieved).select("question_id", context_text(F.col("hits")).alias("context"))
+
+
+def format_sources(retrieved: DataFrame) -> DataFrame:
+    """The citations of each question."""
+    return gather_hits(retrieved).select(
+        "question_id", citation_text(F.col("hits")).alias("citations")
     )
 
 
@@ -187,32 +173,33 @@ AnswerModel = Callable[[list[dict]], str]
 
 
 def complete(prompts: DataFrame, factory: Callable[[], AnswerModel]) -> DataFrame:
-    """Answer ``(question_id, messages)`` with a model made once per task.
+    """Replace ``messages`` by the ``answer`` of a model that is made once per task.
 
-    A failing call becomes the ``error`` of its own row.
+    A failing call becomes the ``error`` of its own row. Other columns are kept.
     """
+    kept = [c for c in prompts.columns if c != "messages"]
+    schema = T.StructType(
+        [prompts.schema[c] for c in kept]
+        + [T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())]
+    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
 
-        def call(prompt) -> tuple[str, str | None]:
+        def call(prompt: list[dict]) -> tuple[str, str | None]:
             try:
-                return model([dict(m) for m in prompt]), None
+                return model(prompt), None
             except Exception as e:  # the model is foreign code
                 return f"{ERROR_ANSWER}{e}", str(e)
 
         for batch in batches:
-            answers = [call(p) for p in batch["messages"]]
-            yield pd.DataFrame(
-                {
-                    "question_id": batch["question_id"],
-                    "answer": [a for a, _ in answers],
-                    "error": [e for _, e in answers],
-                }
+            answers = [call(m) for m in batch.column("messages").to_pylist()]
+            texts = [pa.array([a[i] for a in answers], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in kept] + texts, names=[*kept, "answer", "error"]
             )
 
-    id_type = prompts.schema["question_id"].dataType.simpleString()
-    return prompts.mapInPandas(run, f"question_id {id_type}, answer string, error string")
+    return prompts.mapInArrow(run, schema)
 
 
 def answer_questions(
@@ -224,24 +211,28 @@ def answer_questions(
 ) -> DataFrame:
     """Answers with sources and context: ``question_id, answer, sources, context, success,
     error``. A failed answer keeps no sources and no context."""
-    prompts = build_messages(questions, format_context(retrieved), system_prompt)
-    answered = complete(prompts, factory).join(gather_sources(retrieved), "question_id", "left")
-    success = F.col("error").isNull()
-    answer = F.col("answer")
+    gathered = gather_hits(retrieved)
+    hit_type = gathered.schema["hits"].dataType
+    asked = (
+        questions.select("question_id", "question")
+        .join(gathered, "question_id", "left")
+        .withColumn("hits", F.coalesce("hits", F.array().cast(hit_type)))
+    )
+    prompts = asked.select(
+        "question_id",
+        "hits",
+        messages(context_text(F.col("hits")), F.col("question"), system_prompt).alias("messages"),
+    )
+    success, answer = F.col("error").isNull(), F.col("answer")
     if include_sources:
-        answered = answered.join(format_sources(retrieved), "question_id", "left")
-        cited = F.concat(answer, F.coalesce("citations", F.lit(SOURCES_TITLE)))
+        cited = F.concat(answer, citation_text(F.col("hits")))
         answer = F.when(success, cited).otherwise(answer)
-
-    def kept(name: str) -> Column:
-        empty = F.array().cast(answered.schema[name].dataType)
-        return F.when(success, F.coalesce(name, empty)).otherwise(empty)
-
-    return answered.select(
+    kept = F.when(success, F.col("hits")).otherwise(F.array().cast(hit_type))
+    return complete(prompts, factory).select(
         "question_id",
         answer.alias("answer"),
-        kept("sources").alias("sources"),
-        kept("context_texts").alias("context"),
+        F.transform(kept, lambda h: F.struct(*[h[f] for f in SOURCE_FIELDS])).alias("sources"),
+        F.transform(kept, lambda h: h["text"]).alias("context"),
         success.alias("success"),
         "error",
     )

@@ -230,7 +230,7 @@ RETRIEVED = f"""{chunks_cte(PAPERS)},
     {hashed_cte('select vec_key as tid, text from keyed', 'ch', 384)},
     sums as (select qh.tid as question_id, ch.tid as vec_key, sum(qh.x * ch.x) as s
         from qh join ch using (bucket) group by all),
-    pairs as (select q.item_id as question_id, vec_key, round(coalesce(s, 0.0), 6) + 0.0 as score
+    pairs as (select q.item_id as question_id, keyed.vec_key, round(coalesce(s, 0.0), 6) + 0.0 as score
         from benchmark q cross join keyed left join sums on sums.question_id = q.item_id
         and sums.vec_key = keyed.vec_key),
     hits as ({ranked('pairs')}),
@@ -318,8 +318,8 @@ ORACLES: dict[str, str] = {
     "chunk_metadata": f"with {chunks_cte(MARKED, 64, 12)} select * exclude (text) from chunks",
     "token_counts": f"select doc_key, {n_words('text')} as tokens from ({PAPERS})",
     "drop_small_chunks": f"""with {chunks_cte(SECTIONED, 40, 8, 0)} select doc_key,
-        count(text) filter (length(text) >= {MIN_CHARS}) as kept,
-        count(text) filter (length(text) < {MIN_CHARS}) as dropped
+        count(k.text) filter (length(k.text) >= {MIN_CHARS}) as kept,
+        count(k.text) filter (length(k.text) < {MIN_CHARS}) as dropped
         from docs left join (select doc_key, text from kept) k using (doc_key) group by doc_key""",
     "chunk_preview": f"""with {chunks_cte(PAPERS)} select paper_id, chunk_index, section, token_count,
         left(text, 200) as preview from chunks order by paper_id, chunk_index limit 3""",
@@ -360,7 +360,7 @@ ORACLES: dict[str, str] = {
         where length(question) >= {SHORT_QUESTION}""",
     "retrieve": f"with {RETRIEVED} select {RETRIEVED_FLAT} from retrieved",
     "retrieve_with_text": f"with {RETRIEVED} select {RETRIEVED_FLAT}, text from retrieved",
-    "search_report": f"""with {RETRIEVED} select question_id, rank, printf('%.4f', score) as score,
+    "search_report": f"""with {RETRIEVED} select question_id, rank, round(score::decimal(18,6), 4)::decimal(18,4)::varchar as score,
         paper_id as paper, section, chunk_index || '/' || total_chunks as chunk,
         token_count as tokens from retrieved""",
     "format_context": f"with {RETRIEVED} select question_id, context from contexts",

@@ -301,7 +301,8 @@ def corpus_stats(spark, folder):
 def stream_chunks(spark, folder):
     """Papers chunked by a stream over the table's files."""
     schema = tables.table(spark, folder, "documents").schema
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/documents.parquet")
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+    stream = files.parquet(folder)
     rows = stream.select(
         F.col("doc_id").alias("doc_key"),
         F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"),

@@ -56,11 +56,18 @@ def main() -> int:
     spark, con, failures = local_session(8), duck(folder), 0
     for name in names:
         started = time.time()
-        got = entry.queries()[name](spark, folder).toArrow()
+        try:
+            got = entry.queries()[name](spark, folder).toArrow()
+        except Exception as e:
+            print(f"FAIL {name} {str(e)[:600]}", flush=True)
+            failures += 1
+            continue
         spark_time, started = time.time() - started, time.time()
         sql = entry.oracle_sql().get(name)
-        wanted = con.sql(sql).to_arrow_table() if sql else None
-        problem = compare(got, wanted) if sql else None
+        try:
+            problem = compare(got, con.sql(sql).to_arrow_table()) if sql else None
+        except duckdb.Error as e:
+            problem = str(e)
         failures += problem is not None
         print(
             f"{'FAIL' if problem else 'ok' if sql else 'rows'} {name} {got.num_rows} rows,"
