@@ -9,13 +9,14 @@ A prepared section is a struct of ``text``, ``words``, ``segments`` and ``segmen
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.sections import split_paragraphs, split_sentences
-from corpusflow.functions.text import join_slice, let, words
+from corpusflow.functions.text import join_slice, let, materialize, words
 from corpusflow.functions.tokens import FunctionCounter, WordCounter
 
 # The defaults of the chunking job.
@@ -254,49 +255,53 @@ def prepare(section: Column, text: Column, p: Packing) -> Column:
     return let(words(text), with_words)
 
 
-def _measured(prepared: Column, p: Packing) -> Column:
-    return F.get(p.counter.measure(F.array(prepared)), F.lit(0))
+def _add(
+    rows: DataFrame, out: str, prepared: Column, body: Callable[[Column], Column], p: Packing
+) -> DataFrame:
+    """Add ``body`` of a prepared section, measured by the counter, as column ``out``."""
+    held = materialize(rows, F.array(prepared), "_prepared")
+    measured = held.withColumn("_measured", p.counter.measure(F.col("_prepared")))
+    return measured.withColumn(out, let(F.get("_measured", F.lit(0)), body)).drop(
+        "_prepared", "_measured"
+    )
 
 
-def recursive_split(text: Column, p: Packing = Packing()) -> Column:
-    """Chunk texts of one section text: whole, by paragraphs, sentences or words."""
-    prepared = prepare(F.lit(""), text, p)
-    return let(_measured(prepared, p), lambda s: _texts(section_chunks(s, p)))
+def recursive_split(rows: DataFrame, text: str, out: str, p: Packing = Packing()) -> DataFrame:
+    """Chunks of section texts: whole, or by paragraphs, sentences or words."""
+    prepared = prepare(F.lit(""), F.col(text), p)
+    return _add(rows, out, prepared, lambda s: _texts(section_chunks(s, p)), p)
 
 
-def pack_segments(segments: Column, p: Packing = Packing()) -> Column:
-    """Greedily pack an array of stripped segments into overlapping chunks."""
+def pack_segments(rows: DataFrame, segments: str, out: str, p: Packing = Packing()) -> DataFrame:
+    """Chunks of arrays of stripped segments, packed greedily with overlap."""
     prepared = let(
-        segments,
+        F.col(segments),
         lambda segs: _with_segments(
             F.lit(""), F.lit(""), F.flatten(F.transform(segs, words)), segs
         ),
     )
-    return let(_measured(prepared, p), lambda s: _texts(packed_chunks(s, p)))
+    return _add(rows, out, prepared, lambda s: _texts(packed_chunks(s, p)), p)
 
 
-def force_split(text: Column, p: Packing = Packing()) -> Column:
-    """Cut a text word by word, for segments over the budget."""
-    prepared = let(
-        words(text),
-        lambda ws: _with_segments(text, F.lit(""), ws, F.array().cast("array<string>")),
-    )
-    return let(
-        _measured(prepared, p),
-        lambda s: _texts(_span_chunks(s, F.lit(0), F.size(s["words"]), p)),
-    )
+def _only_words(text: Column) -> Column:
+    nothing = F.array().cast("array<string>")
+    return let(words(text), lambda ws: _with_segments(text, F.lit(""), ws, nothing))
 
 
-def overlap_tail(pieces: Column, p: Packing = Packing()) -> Column:
+def force_split(rows: DataFrame, text: str, out: str, p: Packing = Packing()) -> DataFrame:
+    """Chunks of texts cut word by word, as is done with segments over the budget."""
+
+    def body(s: Column) -> Column:
+        return _texts(_span_chunks(s, F.lit(0), F.size(s["words"]), p))
+
+    return _add(rows, out, _only_words(F.col(text)), body, p)
+
+
+def overlap_tail(rows: DataFrame, pieces: str, out: str, p: Packing = Packing()) -> DataFrame:
     """The end of a chunk, given as pieces, that the next chunk repeats.
 
     The whole chunk if it is no longer than the overlap, else its last words.
     """
-    joined = F.array_join(pieces, " ")
-    prepared = let(
-        words(joined),
-        lambda ws: _with_segments(joined, F.lit(""), ws, F.array().cast("array<string>")),
-    )
 
     def tail(s: Column) -> Column:
         n = F.size(s["words"])
@@ -305,4 +310,4 @@ def overlap_tail(pieces: Column, p: Packing = Packing()) -> Column:
             join_slice(s["words"], start, n, " ")
         )
 
-    return let(_measured(prepared, p), tail)
+    return _add(rows, out, let(F.array_join(pieces, " "), _only_words), tail, p)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters that count as white space when a line is stripped or a
@@ -65,3 +65,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def join_slice(items: Column, start: Column, end: Column, separator: str) -> Column:
     """Join ``items[start:end]`` (0-based, end excluded) with ``separator``."""
     return F.array_join(F.slice(items, start + 1, end - start), separator)
+
+
+def materialize(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that is evaluated once, before the expressions that use it.
+
+    The generator, of one row each, keeps the optimizer from merging the steps. Calls of
+    Python functions need that: they cannot be evaluated within array expressions.
+    """
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))

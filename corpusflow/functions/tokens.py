@@ -9,13 +9,14 @@ to the word after it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusflow.functions.text import words
 
@@ -93,43 +94,46 @@ class FunctionCounter:
     """
 
     def __init__(self, factory: Callable[[], Callable[[str], int]]):
-        def count_batches(batches):
-            count = factory()
+        def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            count_text = factory()
             for batch in batches:
-                yield batch.map(count, na_action="ignore").astype("Int32")
+                counts = [None if t is None else count_text(t) for t in batch.to_pylist()]
+                yield pa.array(counts, pa.int32())
 
-        def measure_batches(batches):
-            count = factory()
+        def total(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            count_text = factory()
+            for batch in batches:
+                totals = [
+                    None if texts is None else sum(map(count_text, texts))
+                    for texts in batch.to_pylist()
+                ]
+                yield pa.array(totals, pa.int64())
+
+        def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            count_text = factory()
 
-            def measure(s) -> dict:
+            def measures(s: dict) -> dict:
                 return {
-                    "tokens": count(s["text"]),
-                    "words_own": _running_sums(count, s["words"], ""),
-                    "words_spaced": _running_sums(count, s["words"], " "),
-                    "segments_own": _running_sums(count, s["segments"], ""),
-                    "segments_spaced": _running_sums(count, s["segments"], " "),
+                    "tokens": count_text(s["text"]),
+                    "words_own": _running_sums(count_text, s["words"], ""),
+                    "words_spaced": _running_sums(count_text, s["words"], " "),
+                    "segments_own": _running_sums(count_text, s["segments"], ""),
+                    "segments_spaced": _running_sums(count_text, s["segments"], " "),
                 }
 
+            kind = pa.list_(to_arrow_type(MEASURES))
             for batch in batches:
-                yield pd.Series([[measure(s) for s in doc] for doc in batch])
+                rows = batch.to_pylist()
+                yield pa.array(
+                    [None if doc is None else [measures(s) for s in doc] for doc in rows], kind
+                )
 
-        # Plain iterator type hints would need to be resolvable inside the worker.
-        count_batches.__annotations__ = {
-            "batches": Iterable[pd.Series],
-            "return": Iterable[pd.Series],
-        }
-        measure_batches.__annotations__ = count_batches.__annotations__
-
-        def total_batches(batches):
-            count = factory()
-            for batch in batches:
-                yield batch.map(lambda doc: sum(map(count, doc)), na_action="ignore").astype("Int64")
+        def register(f, kind):
+            return F.arrow_udf(f, kind)
 
-        total_batches.__annotations__ = count_batches.__annotations__
-        scalar_iter = F.PandasUDFType.SCALAR_ITER
-        self._count = F.pandas_udf(count_batches, T.IntegerType(), scalar_iter)
-        self._total = F.pandas_udf(total_batches, T.LongType(), scalar_iter)
-        self._measure = F.pandas_udf(measure_batches, T.ArrayType(MEASURES), scalar_iter)
+        self._count = register(count, T.IntegerType())
+        self._total = register(total, T.LongType())
+        self._measure = register(measure, T.ArrayType(MEASURES))
 
     def count(self, text: Column) -> Column:
         return self._count(text)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.clean import clean_lines
 from corpusflow.functions.packing import Packing, prepare, section_chunks
 from corpusflow.functions.sections import sections_of_lines
-from corpusflow.functions.text import strip
+from corpusflow.functions.text import materialize, strip
 
 # Fixed value: how much of a chunk a preview shows.
 PREVIEW_LENGTH = 200
@@ -103,7 +103,9 @@ def with_chunk_key(chunks: DataFrame) -> DataFrame:
 
 def document_statistics(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
     """Chunks and tokens per document, documents without chunks included."""
-    return chunk_arrays(documents, p).select(
+    arrays = chunk_arrays(documents, p)
+    held = materialize(arrays, F.col("chunks"), "_held").drop("chunks").withColumnRenamed("_held", "chunks")
+    return held.select(
         "doc_key",
         F.col("source_file").alias("filename"),
         "error",

@@ -32,8 +32,11 @@ def arrow_to_vectors(column: pa.Array) -> np.ndarray:
     """Rows of a list column as a matrix; all rows must have the same length."""
     if len(column) == 0:
         return np.zeros((0, 0))
+    lengths = np.diff(column.offsets.to_numpy())
+    if column.null_count or (lengths != lengths[0]).any():
+        raise ValueError("vectors must all have the same length")
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1)
+    return values.reshape(len(column), lengths[0])
 
 
 def word_position(word: str, width: int) -> tuple[int, float]:
@@ -67,7 +70,7 @@ class HashedWords:
             counts = np.bincount(
                 text * width + bucket[word], weights=sign[word], minlength=len(texts) * width
             )
-            return counts.reshape(len(texts), width)
+            return counts.astype(np.float64).reshape(len(texts), width)
 
         return embed
 

@@ -96,18 +96,6 @@ def search_ivf(
     not read.
     """
     probing = nearest_cells(questions.select("question_id", "embedding"), centroids, nprobe)
-    if "cell_id" in _partition_columns(assigned):
-        probed = probing.select(F.explode("cells").alias("cell_id")).distinct()
-        # At most MAX_CELLS values.
-        wanted = [r["cell_id"] for r in probed.collect()]
-        assigned = assigned.filter(F.col("cell_id").isin(wanted))
-    vectors = assigned.select(
-        "vec_key", "embedding", F.array(F.col("cell_id").cast("bigint")).alias("cells")
-    )
-    return search_cells(probing, vectors, k, one_cell=True, way=way)
-
-
-def _partition_columns(table: DataFrame) -> list[str]:
-    """Columns that appear in the directory names of a table's files."""
-    files = table.inputFiles()[:1]
-    return [part.split("=")[0] for f in files for part in f.split("/") if "=" in part]
+    cells = F.array(F.col("cell_id").cast("bigint")).alias("cells")
+    vectors = assigned.select("vec_key", "embedding", "cell_id", cells)
+    return search_cells(probing, vectors, k, one_cell=True, way=way, cell_column="cell_id")

@@ -241,17 +241,22 @@ def search_cells(
     one_cell: bool = False,
     way: str | None = None,
     shard_rows: int = SHARD_ROWS,
+    cell_column: str | None = None,
 ) -> DataFrame:
     """Best ``k`` vectors per question among those that share a cell with it.
 
     ``questions(question_id, embedding, cells)`` and ``vectors(vec_key, embedding, cells)``
     give ``(question_id, rank, vec_key, score)``. ``one_cell`` states that no vector has
     more than one cell. ``way`` forces ``scan`` or ``grid``. The hits of few questions are
-    marked for broadcast, so that looking up their chunks does not shuffle the chunks.
+    marked for broadcast, so that looking up their chunks does not shuffle the chunks. If
+    ``cell_column`` names the one cell of a vector, unasked cells are filtered out by it,
+    which skips their files in a table partitioned by that column.
     """
     if way not in (None, "scan", "grid"):
         raise ValueError(f"unknown way: {way}")
-    questions = questions.select("question_id", "embedding", "cells")
+    known = F.col("embedding").isNotNull()
+    questions = questions.select("question_id", "embedding", "cells").filter(known)
+    vectors = vectors.filter(known)
     schema = _hits_schema(
         questions.schema["question_id"].dataType, vectors.schema["vec_key"].dataType
     )
@@ -262,6 +267,9 @@ def search_cells(
     if sent is None:
         hits = _grid(questions, vectors, k, schema, shard_rows)
         return rank_hits(hits, k).select(*columns)
+    if cell_column:
+        asked = {c for cells in sent.column("cells").to_pylist() for c in cells}
+        vectors = vectors.filter(F.col(cell_column).isin(sorted(asked)))
     hits = _scan(sent, vectors, k, schema, one_cell)
     groups = math.ceil(vectors.rdd.getNumPartitions() * k / RANK_ROWS)
     ranked = rank_hits(hits, k, groups).select(*columns)

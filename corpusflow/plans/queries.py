@@ -219,22 +219,27 @@ def split_sentences(spark, folder):
     )
 
 
+def _sentences(spark, folder) -> DataFrame:
+    cut = sections.split_sentences(F.col("text")).alias("sentences")
+    return tables.papers(spark, folder).select("doc_key", cut)
+
+
 @query
 def pack_sentences(spark, folder):
-    chunks = packing.pack_segments(sections.split_sentences(F.col("text")), SMALL)
-    return _numbered(tables.papers(spark, folder), chunks, "chunk_no", "chunk", "doc_key")
+    chunks = packing.pack_segments(_sentences(spark, folder), "sentences", "chunks", SMALL)
+    return _numbered(chunks, F.col("chunks"), "chunk_no", "chunk", "doc_key")
 
 
 @query
 def chunk_overlap_tail(spark, folder):
-    tail = packing.overlap_tail(sections.split_sentences(F.col("text")), SMALL)
-    return tables.papers(spark, folder).select("doc_key", tail.alias("tail"))
+    tails = packing.overlap_tail(_sentences(spark, folder), "sentences", "tail", SMALL)
+    return tails.select("doc_key", "tail")
 
 
 @query
 def force_split(spark, folder):
-    chunks = packing.force_split(F.col("text"), TINY)
-    return _numbered(tables.papers(spark, folder), chunks, "chunk_no", "chunk", "doc_key")
+    chunks = packing.force_split(tables.papers(spark, folder), "text", "chunks", TINY)
+    return _numbered(chunks, F.col("chunks"), "chunk_no", "chunk", "doc_key")
 
 
 @query

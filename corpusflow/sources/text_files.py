@@ -29,7 +29,10 @@ def as_documents(files: DataFrame) -> DataFrame:
 
 
 def read_papers(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents ``(doc_key, source_file, text)`` of the files directly in a folder."""
+    """Documents ``(doc_key, source_file, text)`` of the files directly in a folder.
+
+    Spark's file sources skip empty files, so those do not count as documents.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", FILE_PATTERN).load(folder)
     return as_documents(files)
 
