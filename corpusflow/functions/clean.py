@@ -75,15 +75,9 @@ def clean_lines(c: Column) -> Column:
 
     ``collapse_newlines`` is left out: the line filter drops blank lines anyway.
     """
-    steps = (drop_option_lines, drop_commands, drop_braces, collapse_spaces)
-
-    def apply(text: Column, i: int) -> Column:
-        # Each step names its input more than once, so it is bound before the next one.
-        if i == len(steps):
-            return content_lines(text)
-        return let(steps[i](text), lambda t: apply(t, i + 1))
-
-    return apply(c, 0)
+    # Steps that name their input twice get it bound, so that it is evaluated once.
+    text = let(drop_option_lines(c), drop_commands)
+    return content_lines(let(drop_braces(text), collapse_spaces))
 
 
 def clean_text(c: Column) -> Column:

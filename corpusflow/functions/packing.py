@@ -3,8 +3,9 @@
 A chunk always covers a contiguous run of the words of its section: perhaps some words
 carried over from the chunk before, then whole segments. The fold over the segments thus
 only moves integer positions; texts are cut out of the word and segment arrays at the end.
-A prepared section is a struct of ``text``, ``words``, ``segments`` and ``segment_words``
-(words per segment), plus whatever the token counter measured.
+A prepared section is a struct of ``text``, ``n_words``, ``words``, ``segments`` and
+``segment_words`` (words per segment), plus whatever the token counter measured. Words and
+segments are left empty if the text surely fits into one chunk.
 """
 
 from __future__ import annotations
@@ -210,7 +211,7 @@ def packed_chunks(s: Column, p: Packing) -> Column:
 
 def section_chunks(s: Column, p: Packing) -> Column:
     """Chunks of a prepared section: one if it fits the budget, else packed."""
-    whole = _chunk(s["text"], p.counter.known_tokens(F.lit(0), F.size(s["words"])))
+    whole = _chunk(s["text"], p.counter.known_tokens(F.lit(0), s["n_words"]))
     return F.when(p.counter.section_tokens(s) <= p.chunk_size, F.array(whole)).otherwise(
         packed_chunks(s, p)
     )
@@ -220,6 +221,10 @@ def _texts(chunks: Column) -> Column:
     return F.transform(chunks, lambda c: c["text"])
 
 
+def words_per_segment(segments: Column, unusual: Column | None = None) -> Column:
+    return F.transform(segments, lambda x: F.size(words(x, unusual)))
+
+
 def _with_segments(text: Column, section: Column, all_words: Column, segments: Column) -> Column:
     """A prepared section, given its words and segments."""
     return let(
@@ -227,9 +232,10 @@ def _with_segments(text: Column, section: Column, all_words: Column, segments: C
         lambda segs: F.struct(
             section.alias("section"),
             text.alias("text"),
+            F.size(all_words).alias("n_words"),
             all_words.alias("words"),
             segs.alias("segments"),
-            F.transform(segs, lambda x: F.size(words(x))).alias("segment_words"),
+            words_per_segment(segs).alias("segment_words"),
         ),
     )
 
@@ -242,17 +248,29 @@ def recursive_segments(text: Column) -> Column:
     )
 
 
-def prepare(section: Column, text: Column, p: Packing) -> Column:
-    """Words and, for a text that may exceed the budget, segments of one section."""
-    nothing = F.array().cast("array<string>")
+NO_STRINGS = "array<string>"
+
+
+def worded_section(section: Column, text: Column, unusual: Column, p: Packing) -> Column:
+    """A section with its number of words and, if it may exceed the budget, the words."""
 
     def with_words(ws: Column) -> Column:
         over = p.counter.may_exceed(text, ws, p.chunk_size)
-        return _with_segments(
-            text, section, ws, F.when(over, recursive_segments(text)).otherwise(nothing)
+        return F.struct(
+            section.alias("section"),
+            text.alias("text"),
+            F.size(ws).alias("n_words"),
+            F.when(over, ws).otherwise(F.array().cast(NO_STRINGS)).alias("words"),
         )
 
-    return let(words(text), with_words)
+    return let(words(text, unusual), with_words)
+
+
+def segments_of(s: Column) -> Column:
+    """Segments of a worded section that may exceed the budget; else none."""
+    return F.when(F.size(s["words"]) > 0, recursive_segments(s["text"])).otherwise(
+        F.array().cast(NO_STRINGS)
+    )
 
 
 def _add(
@@ -268,7 +286,10 @@ def _add(
 
 def recursive_split(rows: DataFrame, text: str, out: str, p: Packing = Packing()) -> DataFrame:
     """Chunks of section texts: whole, or by paragraphs, sentences or words."""
-    prepared = prepare(F.lit(""), F.col(text), p)
+    prepared = let(
+        words(F.col(text)),
+        lambda ws: _with_segments(F.col(text), F.lit(""), ws, recursive_segments(F.col(text))),
+    )
     return _add(rows, out, prepared, lambda s: _texts(section_chunks(s, p)), p)
 
 
@@ -277,14 +298,14 @@ def pack_segments(rows: DataFrame, segments: str, out: str, p: Packing = Packing
     prepared = let(
         F.col(segments),
         lambda segs: _with_segments(
-            F.lit(""), F.lit(""), F.flatten(F.transform(segs, words)), segs
+            F.lit(""), F.lit(""), F.flatten(F.transform(segs, lambda x: words(x))), segs
         ),
     )
     return _add(rows, out, prepared, lambda s: _texts(packed_chunks(s, p)), p)
 
 
 def _only_words(text: Column) -> Column:
-    nothing = F.array().cast("array<string>")
+    nothing = F.array().cast(NO_STRINGS)
     return let(words(text), lambda ws: _with_segments(text, F.lit(""), ws, nothing))
 
 

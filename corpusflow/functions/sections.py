@@ -53,49 +53,50 @@ def section_hint(text: Column) -> Column:
     )
 
 
-def sections_of_lines(lines: Column) -> Column:
-    """Group an array of lines into ``array<struct<section, text>>``.
+def header_positions(stripped_lines: Column) -> Column:
+    """0-based positions of the headers among stripped lines."""
+    return F.array_compact(F.transform(stripped_lines, lambda line, i: F.when(is_header(line), i)))
 
-    The header positions are found first and the sections are then cut as slices between
-    them, so the work is linear in the number of lines. A header without lines of its own
-    gives no section; a text of headers only is one section without a name.
-    """
-
-    def cut(v: Column) -> Column:
-        starts = F.concat(F.array(F.lit(-1)), v["headers"])
-        ends = F.concat(v["headers"], F.array(F.size(v["lines"])))
-        bounds = F.filter(
-            F.arrays_zip(starts.alias("header"), ends.alias("end")),
-            lambda b: b["end"] > b["header"] + 1,
-        )
-        return F.transform(
-            bounds,
-            lambda b: F.struct(
-                F.when(b["header"] < 0, F.lit(FIRST_SECTION))
-                .otherwise(section_name(strip(F.get(v["lines"], b["header"]))))
-                .alias("section"),
-                join_slice(v["lines"], b["header"] + 1, b["end"], "\n").alias("text"),
-            ),
-        )
 
-    def with_headers(v: Column) -> Column:
-        headers = F.array_compact(
-            F.transform(v["lines"], lambda line, i: F.when(is_header(strip(line)), i))
-        )
-        found = let(F.struct(v["lines"].alias("lines"), headers.alias("headers")), cut)
-        whole = F.array(
-            F.struct(
-                F.lit(NO_SECTION).alias("section"), F.array_join(v["lines"], "\n").alias("text")
-            )
-        )
-        return let(found, lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
+def cut_sections(lines: Column, headers: Column) -> Column:
+    """Group lines into ``array<struct<section, text>>``, given where the headers are.
 
-    return let(F.struct(lines.alias("lines")), with_headers)
+    Sections are slices between the headers, so the work is linear in the number of lines.
+    A header without lines of its own gives no section; a text of headers only is one
+    section without a name.
+    """
+    starts = F.concat(F.array(F.lit(-1)), headers)
+    ends = F.concat(headers, F.array(F.size(lines)))
+    bounds = F.filter(
+        F.arrays_zip(starts.alias("header"), ends.alias("end")),
+        lambda b: b["end"] > b["header"] + 1,
+    )
+    cut = F.transform(
+        bounds,
+        lambda b: F.struct(
+            F.when(b["header"] < 0, F.lit(FIRST_SECTION))
+            .otherwise(section_name(strip(F.get(lines, b["header"]))))
+            .alias("section"),
+            join_slice(lines, b["header"] + 1, b["end"], "\n").alias("text"),
+        ),
+    )
+    whole = F.array(
+        F.struct(F.lit(NO_SECTION).alias("section"), F.array_join(lines, "\n").alias("text"))
+    )
+    return F.when(F.size(headers) == F.size(lines), whole).otherwise(cut)
 
 
 def split_sections(text: Column) -> Column:
     """Sections of a text as ``array<struct<section, text>>``."""
-    return sections_of_lines(F.split(text, "\n"))
+
+    def cut(lines: Column) -> Column:
+        headers = header_positions(F.transform(lines, strip))
+        return let(
+            F.struct(lines.alias("lines"), headers.alias("headers")),
+            lambda v: cut_sections(v["lines"], v["headers"]),
+        )
+
+    return let(F.split(text, "\n"), cut)
 
 
 def split_paragraphs(text: Column) -> Column:
@@ -105,6 +106,5 @@ def split_paragraphs(text: Column) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    return F.filter(
-        F.transform(F.split(text, rf"(?<=[.!?]){WS}+"), strip), lambda s: s != ""
-    )
+    # The split takes all white space behind a sentence, so only the ends need stripping.
+    return F.array_remove(F.split(strip(text), rf"(?<=[.!?]){WS}+"), "")

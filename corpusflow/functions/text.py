@@ -28,9 +28,9 @@ WHITESPACE = "".join(chr(c) for lo, hi in WHITESPACE_RANGES for c in range(lo, h
 # The same set as a Java regex character class. Spelling it out keeps the match exact
 # and spares the slower Unicode mode of the regex engine.
 WS = "[" + "".join(rf"\u{lo:04x}-\u{hi:04x}" for lo, hi in WHITESPACE_RANGES) + "]"
-# White space other than space, tab and newline. The intersection lets common characters
-# fail on two range tests.
-UNUSUAL_WS = r"[\u000b-\u001f\u007f-\uffff&&" + WS + "]"
+# White space other than space and newline. The intersection lets common characters fail
+# on three range tests.
+UNUSUAL_WS = r"[\t\u000b-\u001f\u007f-￿&&" + WS + "]"
 
 
 def strip(c: Column) -> Column:
@@ -38,18 +38,21 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
-def words(c: Column) -> Column:
+def has_unusual_space(c: Column) -> Column:
+    """Whether a text holds other white space than spaces and newlines."""
+    return F.rlike(c, F.lit(UNUSUAL_WS))
+
+
+def words(c: Column, unusual: Column | None = None) -> Column:
     """Cut a text into its white-space separated words; a blank text has none.
 
-    Most texts hold no other white space than spaces, tabs and newlines. Those are cut at
-    a single character, which Java does without a regex.
+    Without unusual white space it is cut at a single character, which Java does without a
+    regex. ``unusual`` says so for the text that ``c`` is a part of, if that is known.
     """
-    plain = F.replace(F.replace(c, F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
-    parts = F.when(F.rlike(c, F.lit(UNUSUAL_WS)), F.split(c, WS + "+")).otherwise(
-        F.split(plain, " ")
-    )
-    return F.array_remove(parts, "")
-
+    if unusual is None:
+        unusual = has_unusual_space(c)
+    plain = F.split(F.replace(c, F.lit("\n"), F.lit(" ")), " ")
+    return F.array_remove(F.when(unusual, F.split(c, WS + "+")).otherwise(plain), "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -10,6 +10,7 @@ to the word after it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from corpusflow.functions.text import words
 
 
+@dataclass(frozen=True)
 class WordCounter:
     """One token per word. Needs no measuring, so the whole pipeline stays in the JVM."""
 
@@ -46,7 +48,7 @@ class WordCounter:
         return F.size(all_words) > budget
 
     def section_tokens(self, s: Column) -> Column:
-        return F.size(s["words"])
+        return s["n_words"]
 
     def segment_tokens(self, s: Column, i: Column) -> Column:
         """Tokens of segment ``i`` alone."""
@@ -73,6 +75,7 @@ class WordCounter:
         return F.greatest(a, b - budget)
 
 
+SECTION_FIELDS = ("section", "text", "n_words", "words", "segments", "segment_words")
 MEASURES = T.StructType(
     [T.StructField("tokens", T.IntegerType())]
     + [
@@ -155,7 +158,7 @@ class FunctionCounter:
             sections,
             self._measure(needed),
             lambda s, m: F.struct(
-                *(s[f] for f in ("section", "text", "words", "segments", "segment_words")),
+                *(s[f] for f in SECTION_FIELDS),
                 m.alias("m"),
             ),
         )

@@ -6,13 +6,21 @@ per-document statistics need no shuffle and run unchanged on a stream.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.clean import clean_lines
-from corpusflow.functions.packing import Packing, prepare, section_chunks
-from corpusflow.functions.sections import sections_of_lines
-from corpusflow.functions.text import materialize, strip
+from corpusflow.functions.packing import (
+    Packing,
+    section_chunks,
+    segments_of,
+    worded_section,
+    words_per_segment,
+)
+from corpusflow.functions.sections import cut_sections, header_positions
+from corpusflow.functions.text import has_unusual_space, materialize, strip
 
 # Fixed value: how much of a chunk a preview shows.
 PREVIEW_LENGTH = 200
@@ -28,19 +36,25 @@ METADATA_FIELDS = (
 )
 
 
-def _sections(text: Column, p: Packing) -> Column:
-    prepared = F.transform(
-        sections_of_lines(clean_lines(text)), lambda s: prepare(s["section"], s["text"], p)
-    )
-    return F.filter(prepared, lambda s: F.size(s["words"]) > 0)
-
-
-def chunk_arrays(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
-    """One row per document with its chunks as ``array<struct<section, text, tokens>>``.
+@functools.cache
+def _steps(p: Packing, application: str) -> dict[str, Column]:
+    """The columns of the chunking job, in the order in which they are added.
 
-    ``documents`` has ``doc_key``, ``source_file`` and ``text``. A document without text
-    fails alone: it keeps its row, with an ``error`` and no chunks.
+    Building them takes over a thousand calls to the JVM, so they are kept for the time of
+    the Spark application.
     """
+    text, unusual = F.col("text"), F.col("unusual")
+    worded = F.transform(
+        "sections", lambda s: worded_section(s["section"], s["text"], unusual, p)
+    )
+    prepared = F.arrays_zip(
+        *[
+            F.transform("worded", lambda s: s[field]).alias(field)
+            for field in ("section", "text", "n_words", "words")
+        ],
+        "segments",
+        F.transform("segments", lambda x: words_per_segment(x, unusual)).alias("segment_words"),
+    )
 
     def chunks_of(s: Column) -> Column:
         return F.transform(
@@ -48,19 +62,44 @@ def chunk_arrays(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
             lambda c: F.struct(s["section"], strip(c["text"]).alias("text"), c["tokens"]),
         )
 
-    sections = documents.select(
-        "doc_key", "source_file", "text", _sections(F.col("text"), p).alias("_sections")
-    )
-    measured = sections.select(
-        "doc_key",
-        "source_file",
-        F.when(F.col("text").isNull(), F.lit("no text")).alias("error"),
-        p.counter.measure(F.col("_sections")).alias("_sections"),
-    )
-    chunks = F.filter(
-        F.flatten(F.transform("_sections", chunks_of)), lambda c: F.length(c["text"]) >= p.min_chars
-    )
-    return measured.select("doc_key", "source_file", "error", chunks.alias("chunks"))
+    chunks = F.flatten(F.transform("measured", chunks_of))
+    return {
+        "error": F.when(text.isNull(), F.lit("no text")),
+        "unusual": has_unusual_space(text),
+        "lines": clean_lines(text),
+        "headers": header_positions(F.col("lines")),
+        "sections": cut_sections(F.col("lines"), F.col("headers")),
+        "worded": F.filter(worded, lambda s: s["n_words"] > 0),
+        "segments": F.transform("worded", segments_of),
+        "prepared": prepared,
+        "measured": p.counter.measure(F.col("prepared")),
+        "chunks": F.filter(chunks, lambda c: F.length(c["text"]) >= p.min_chars),
+    }
+
+
+def chunk_arrays(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
+    """One row per document with its chunks as ``array<struct<section, text, tokens>>``.
+
+    ``documents`` has ``doc_key``, ``source_file`` and ``text``. A document without text
+    fails alone: it keeps its row, with an ``error`` and no chunks.
+    """
+    steps = _steps(p, documents.sparkSession.sparkContext.applicationId)
+    kept: list[str | Column] = ["doc_key", "source_file"]
+
+    def add(rows: DataFrame, *names: str, keep: tuple[str, ...]) -> DataFrame:
+        return rows.select(*kept, *keep, *[steps[n].alias(n) for n in names])
+
+    # Each step names columns of the one before more than once, which keeps the steps apart
+    # in the plan and every array evaluated a single time.
+    rows = add(documents, "error", "unusual", "lines", keep=())
+    kept.append("error")
+    rows = add(rows, "headers", keep=("unusual", "lines"))
+    rows = add(rows, "sections", keep=("unusual",))
+    rows = add(rows, "worded", keep=("unusual",))
+    rows = add(rows, "segments", keep=("unusual", "worded"))
+    rows = add(rows, "prepared", keep=())
+    rows = add(rows, "measured", keep=())
+    return add(rows, "chunks", keep=())
 
 
 def explode_chunks(arrays: DataFrame, p: Packing = Packing()) -> DataFrame:

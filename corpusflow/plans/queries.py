@@ -305,8 +305,8 @@ def corpus_stats(spark, folder):
 @query
 def stream_chunks(spark, folder):
     """Papers chunked by a stream over the table's files."""
-    schema = tables.table(spark, folder, "documents").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+    stored = tables.table(spark, folder, "documents")
+    files = spark.readStream.schema(stored.schema).option("pathGlobFilter", "documents.parquet")
     stream = files.parquet(folder)
     rows = stream.select(
         F.col("doc_id").alias("doc_key"),
@@ -314,6 +314,7 @@ def stream_chunks(spark, folder):
         "text",
     )
     out = shared_folder(spark, "stream")
+    rows = tables.spread(rows, "doc_key", stored)
     start_chunk_stream(rows, f"{out}/chunks", f"{out}/state").awaitTermination()
     return _flat(spark.read.parquet(f"{out}/chunks"))
 

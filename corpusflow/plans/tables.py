@@ -26,10 +26,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Use all cores for a table of fewer file splits than cores; large tables stay as read."""
+def spread(rows: DataFrame, key: str, read: DataFrame | None = None) -> DataFrame:
+    """Use all cores for a table of fewer file splits than cores; large tables stay as read.
+
+    The splits are those of ``read``, for a stream of the files of that table.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
+    if (read or rows).rdd.getNumPartitions() >= cores:
         return rows
     return rows.repartition(cores, key)
 
