@@ -28,24 +28,30 @@ from pyspark.sql import types as T
 from corpusflow.functions.vectors import SCORE_DIGITS
 from corpusflow.operators.embedding import arrow_to_vectors
 
-# Default number of hits, and the range offered to users.
+# Fixed value: default number of hits.
 TOP_K = 5
-TOP_K_RANGE = (3, 10)
 
 # What may be sent to every task: so many questions, so many bytes, so many hits.
 BROADCAST_QUESTIONS = 50_000
 BROADCAST_BYTES = 256 << 20
 BROADCAST_HITS = 1_000_000
 SHARD_ROWS = 20_000
+# How many scores are held at a time, for how many questions, and how many candidates wait.
 BLOCK_CELLS = 4_000_000
+BLOCK_QUESTIONS = 2_000
+WAITING_ROWS = 2_000_000
+# Hits of one question that the last round of ranking may see, and parts of the round before.
 RANK_ROWS = 2_000_000
+GRID_RANK_GROUPS = 64
 
 
 class Best:
     """The best ``k`` keys of each question seen so far in one task."""
 
-    def __init__(self, k: int, key_type: pa.DataType, repeated: bool):
-        self.k, self.repeated = k, repeated
+    def __init__(self, k: int, questions: int, key_type: pa.DataType, repeated: bool):
+        self.k, self.repeated, self.waiting = k, repeated, 0
+        # The score that a key has to reach to be among the best of a question.
+        self.floor = np.full(questions, -np.inf)
         self.schema = pa.schema(
             [("q", pa.int64()), ("key", key_type), ("score", pa.float64())]
         )
@@ -53,21 +59,17 @@ class Best:
 
     def add(self, questions: np.ndarray, keys: pa.Array, scores: np.ndarray) -> None:
         """Take the best of a block of scores, one row per question, one column per key."""
-        step = max(1, BLOCK_CELLS // max(1, scores.shape[1]))
-        for a in range(0, len(questions), step):
-            block = scores[a : a + step]
-            if block.shape[1] > self.k:
-                cut = np.partition(block, block.shape[1] - self.k, axis=1)[:, -self.k, None]
-                # Ties with the last place stay in; the key decides among them later.
-                row, col = np.nonzero(block >= cut)
-            else:
-                row, col = (i.ravel() for i in np.indices(block.shape))
-            self.parts.append(
-                pa.table(
-                    [questions[a : a + step][row], keys.take(pa.array(col)), block[row, col]],
-                    schema=self.schema,
-                )
-            )
+        needed = self.floor[questions, None]
+        if scores.shape[1] > self.k:
+            last = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k, None]
+            needed = np.maximum(needed, last)
+        # Ties with the last place stay in; the key decides among them later.
+        row, col = np.nonzero(scores >= needed)
+        found = [questions[row], keys.take(pa.array(col)), scores[row, col]]
+        self.parts.append(pa.table(found, schema=self.schema))
+        self.waiting += len(row)
+        if self.waiting > WAITING_ROWS:
+            self.compact()
 
     def compact(self) -> pa.Table:
         found = pa.concat_tables(self.parts).combine_chunks()
@@ -79,16 +81,23 @@ class Best:
         found = found.sort_by([("q", "ascending"), ("score", "descending"), ("key", "ascending")])
         q = found.column("q").to_numpy()
         first = np.searchsorted(q, q, side="left")
-        found = found.filter(pa.array(np.arange(len(q)) - first < self.k))
-        self.parts = [found]
+        place = np.arange(len(q)) - first
+        full = place == self.k - 1
+        self.floor[q[full]] = found.column("score").to_numpy()[full]
+        found = found.filter(pa.array(place < self.k))
+        self.parts, self.waiting = [found], 0
         return found
 
 
 def _score_block(best: Best, q_index, q_matrix, keys: pa.Array, v_matrix) -> None:
-    step = max(1, BLOCK_CELLS // max(1, len(q_index)))
-    for a in range(0, len(v_matrix), step):
-        block = np.round(q_matrix @ v_matrix[a : a + step].T, SCORE_DIGITS) + 0.0
-        best.add(q_index, keys.slice(a, step), block)
+    """Score all questions against all keys of a cell, a block at a time."""
+    step = BLOCK_CELLS // min(BLOCK_QUESTIONS, max(1, len(q_index)))
+    for v in range(0, len(v_matrix), step):
+        some_keys, columns = keys.slice(v, step), v_matrix[v : v + step].T
+        for q in range(0, len(q_index), BLOCK_QUESTIONS):
+            rows = slice(q, q + BLOCK_QUESTIONS)
+            # Adding zero turns a negative zero into a plain one.
+            best.add(q_index[rows], some_keys, np.round(q_matrix[rows] @ columns, SCORE_DIGITS) + 0.0)
 
 
 def _hits_schema(question_type: T.DataType, key_type: T.DataType) -> T.StructType:
@@ -149,7 +158,7 @@ def _scan(
             if batch.num_rows == 0 or len(question_ids) == 0:
                 continue
             keys = batch.column("vec_key")
-            best = best or Best(k, keys.type, repeated=not one_cell)
+            best = best or Best(k, len(question_ids), keys.type, repeated=not one_cell)
             v_matrix = arrow_to_vectors(batch.column("embedding"))
             cells = batch.column("cells")
             rows = np.repeat(np.arange(batch.num_rows), np.diff(cells.offsets.to_numpy()))
@@ -178,7 +187,8 @@ def _scan(
 
 
 def _grid(
-    questions: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, shard_rows: int
+    questions: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, one_cell: bool,
+    shard_rows: int,
 ) -> DataFrame:
     # The aliases tell both sides apart even if they come from the same table.
     q = questions.select(
@@ -209,7 +219,7 @@ def _grid(
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("question_id").combine_chunks()
         keys = right.column("vec_key").combine_chunks()
-        best = Best(k, keys.type, repeated=False)
+        best = Best(k, len(ids), keys.type, repeated=False)
         if len(ids) and len(keys):
             _score_block(
                 best,
@@ -230,7 +240,9 @@ def _grid(
         .cogroup(place(v, "vec_key", "v_shards", "q_shards").groupBy(*meeting))
         .applyInArrow(meet, schema)
     )
-    # A pair may meet in several cells.
+    if one_cell:
+        return hits
+    # A pair may have met in several cells.
     return hits.groupBy("question_id", "vec_key").agg(F.max("score").alias("score"))
 
 
@@ -265,8 +277,8 @@ def search_cells(
     if sent is None and way == "scan":
         raise ValueError("too many questions to send to every task")
     if sent is None:
-        hits = _grid(questions, vectors, k, schema, shard_rows)
-        return rank_hits(hits, k).select(*columns)
+        hits = _grid(questions, vectors, k, schema, one_cell, shard_rows)
+        return rank_hits(hits, k, GRID_RANK_GROUPS).select(*columns)
     if cell_column:
         asked = {c for cells in sent.column("cells").to_pylist() for c in cells}
         vectors = vectors.filter(F.col(cell_column).isin(sorted(asked)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,7 @@ When answering:
 
 Remember: Your goal is to make astrophysics accessible and exciting for everyone!"""
 ERROR_ANSWER = "Sorry, I encountered an error: "
+# Settings for the answer model that the caller supplies.
 TEMPERATURE = 0.7
 MAX_ANSWER_TOKENS = 1024
 EXAMPLE_QUESTIONS = (
@@ -61,6 +62,11 @@ def valid_questions(questions: DataFrame) -> DataFrame:
     )
 
 
+def example_questions(spark: SparkSession) -> DataFrame:
+    rows = list(enumerate(EXAMPLE_QUESTIONS))
+    return spark.createDataFrame(rows, "question_id bigint, question string")
+
+
 def retrieve(hits: DataFrame, chunks: DataFrame, with_text: bool = False) -> DataFrame:
     """Add the metadata of the chunks, and their text if asked for, to hits.
 

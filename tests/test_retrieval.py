@@ -1,6 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
-
 from corpusflow.operators import retrieval
 
 CHUNKS = [
@@ -95,7 +93,11 @@ def test_valid_questions(spark):
     assert [tuple(r) for r in retrieval.valid_questions(rows).collect()] == [(1, "a?")]
 
 
+def test_example_questions(spark):
+    rows = retrieval.valid_questions(retrieval.example_questions(spark)).collect()
+    assert [r.question_id for r in rows] == [0, 1, 2, 3, 4]
+
+
 def test_question_without_text_column(retrieved):
     without = retrieved.drop("text")
     assert retrieval.format_sources(without).count() == 2
-    assert F.col("text") is not None

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,20 @@ def test_exact(tables, data, way):
     assert found(hits) == brute(data)
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_best_in_small_blocks(data, monkeypatch, repeated):
+    """Many small blocks and early clean-ups keep the same hits."""
+    monkeypatch.setattr(knn, "BLOCK_CELLS", 70)
+    monkeypatch.setattr(knn, "BLOCK_QUESTIONS", 7)
+    monkeypatch.setattr(knn, "WAITING_ROWS", 50)
+    keys = pa.array([f"v{i:03d}" for i in range(N)])
+    best = knn.Best(K, Q, keys.type, repeated)
+    for _ in range(1 + repeated):
+        knn._score_block(best, np.arange(Q), data[:Q], keys, data)
+    rows = best.compact().to_pylist()
+    assert {(r["q"], r["key"], r["score"]) for r in rows} == {(q, v, s) for q, _, v, s in brute(data)}
+
+
 def test_first_round_of_ranking_changes_nothing(spark, tables, data):
     every = spark.createDataFrame(
         [(q, f"v{v:03d}", float(s)) for q in range(Q) for v, s in enumerate(np.round(data[q] @ data.T, 6))],
