@@ -72,6 +72,39 @@ def _indices(start: Column, end: Column) -> Column:
     )
 
 
+# Elements that are folded before their results join the list of all results.
+BLOCK = 128
+
+
+def _fold(
+    start: Column,
+    end: Column,
+    none: Column,
+    fields: dict[str, Column],
+    step: Callable[[Column, Column], Column],
+    finish: Callable[[Column], Column],
+) -> Column:
+    """Fold over the integers ``start..end-1`` with a state of results ``out`` and ``fields``.
+
+    Spark copies the state at every element. Folding in blocks, which begin without
+    results, keeps those copies small however many results there are in the end.
+    """
+
+    def state(out: Column, values: Callable[[str], Column]) -> Column:
+        return F.struct(out.alias("out"), *[values(name).alias(name) for name in fields])
+
+    def fold_block(st: Column, first: Column) -> Column:
+        block = F.aggregate(
+            _indices(first, F.least(first + BLOCK, end)), state(none, lambda f: st[f]), step
+        )
+        return let(block, lambda b: state(F.concat(st["out"], b["out"]), lambda f: b[f]))
+
+    blocks = F.when(end > start, F.sequence(start, end - 1, F.lit(BLOCK))).otherwise(
+        F.array().cast("array<int>")
+    )
+    return F.aggregate(blocks, state(none, lambda f: fields[f]), fold_block, finish)
+
+
 def pack_ranges(s: Column, p: Packing) -> Column:
     """Where the chunks of a prepared section begin and end.
 
@@ -131,8 +164,9 @@ def pack_ranges(s: Column, p: Packing) -> Column:
         has_content = (st["from_segment"] < n) | (st["from_word"] < st["to_word"])
         return F.when(has_content, F.concat(st["out"], F.array(last))).otherwise(st["out"])
 
-    start = _state(F.array().cast(NO_RANGES), zero, zero, zero, zero, zero)
-    return F.aggregate(_indices(zero, F.size(s["segments"])), start, step, finish)
+    fields = {f: zero for f in ("from_word", "to_word", "from_segment", "at", "tokens")}
+    none = F.array().cast(NO_RANGES)
+    return _fold(zero, F.size(s["segments"]), none, fields, step, finish)
 
 
 def word_spans(s: Column, start: Column, end: Column, p: Packing) -> Column:
@@ -164,12 +198,8 @@ def word_spans(s: Column, start: Column, end: Column, p: Packing) -> Column:
         last = F.struct(st["first"].alias("from_word"), end.alias("to_word"))
         return F.when(end > start, F.concat(st["out"], F.array(last))).otherwise(st["out"])
 
-    initial = F.struct(
-        F.array().cast(NO_SPANS).alias("out"),
-        start.alias("first"),
-        F.lit(0).alias("tokens"),
-    )
-    return F.aggregate(_indices(start, end), initial, step, finish)
+    fields = {"first": start, "tokens": F.lit(0)}
+    return _fold(start, end, F.array().cast(NO_SPANS), fields, step, finish)
 
 
 def _chunk(text: Column, tokens: Column) -> Column:

@@ -102,6 +102,13 @@ def test_force_split_and_tail(spark, factory):
     assert tails == [r if count(r) <= 4 else tail_by_hand(r, 4, count) for r in rows]
 
 
+def test_blocks_of_the_fold_do_not_show(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 3)
+    rows = list(texts(41))
+    got = run(spark, packing.pack_segments, Packing(10, 3), rows)
+    assert got == [by_hand(r, 10, 3, word_count) for r in rows]
+
+
 def test_sizes_of_a_long_segment(spark):
     thousand = " ".join(f"word{i}" for i in range(1000))
     [chunks] = run(spark, packing.force_split, Packing(), [thousand], T.StringType())
