@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +15,12 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.common import batches, part, texts, written
 
-#: Words kept with their ids in a task; beyond that the store starts anew.
-CACHED_WORDS = 800_000
+#: Words kept with their ids in a process; beyond that, between batches, the store starts anew.
+CACHED_WORDS = 1_000_000
 #: Fixed value: a special token of the vocabulary.
 MARK = "<|endoftext|>"
+#: Latin letters whose lower case is one letter each, then signs that form one pre-token.
+LETTERS_SIGNS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([.,!?#$%&*;:|]*)")
 #: Pieces that one task packs at a time. Each such group leaves about one sequence part-filled.
 GROUP_PIECES = 16_384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -24,24 +29,26 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordIds:
     """Ids of whole texts, word by word.
 
-    Only for tokenizers whose pre-tokenizer never joins characters across a space or line
-    feed; each word between those is encoded once per task and then looked up.
+    For tokenizers whose pre-tokenizer never joins characters across a space or line feed and
+    parts letters from signs; each word between spaces is encoded once and then looked up. A word
+    of plain letters and closing signs is put together from the ids of both, its letters in lower
+    case if ``lower`` says that the tokenizer ignores case.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, lower: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(MARK)
-        self.known: dict[str, bytes] = {}
+        self.lower = lower
+        self.known: dict[str, bytes] = {"": b""}
 
-    def learn(self, words: list[str]) -> None:
+    def encode(self, words: list[str]) -> None:
         """Encode words, many at once with a special token between them."""
-        plain = [w for w in words if "<|" not in w and w] if self.mark is not None else []
+        plain = [w for w in words if "<|" not in w] if self.mark is not None else []
         for i in range(0, len(plain), 64):
             some = plain[i : i + 64]
-            ids = self.tokenizer.encode(MARK.join(some), add_special_tokens=False).ids
-            ids = np.array(ids, "<u4")
+            ids = np.array(self.tokenizer.encode(MARK.join(some), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(some) - 1:
                 raise ValueError(f"{MARK} does not stand between all words")
@@ -53,15 +60,58 @@ class WordIds:
             for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
+    def learn(self, words: set[str]) -> None:
+        known, new, whole, match = self.known, set(), [], LETTERS_SIGNS.fullmatch
+        for w in words:
+            if found := match(w):
+                letters, signs = found.groups()
+                if self.lower:
+                    letters = letters.lower()
+                if letters not in known:
+                    new.add(letters)
+                if signs not in known:
+                    new.add(signs)
+            else:
+                whole.append(w)
+        new.update(whole)
+        self.encode(list(new))
+        for w in words:
+            if w not in known:
+                letters, signs = match(w).groups()
+                known[w] = known[letters.lower() if self.lower else letters] + known[signs]
+
     def __call__(self, column: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in column]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = set().union(*split)
-        self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        if len(self.known) > CACHED_WORDS:
+            self.known = {"": b""}
+        get, new, texts = self.known.get, set(), []
+        for text in column:
+            words = text.replace("\n", " ").split(" ")
+            ids = list(map(get, words))
+            if None in ids:
+                gaps = [k for k, i in enumerate(ids) if i is None]
+                unknown = [words[k] for k in gaps]
+                new.update(unknown)
+                texts.append((ids, gaps, unknown))
+            else:
+                texts.append(b"".join(ids))
+        self.learn(new)
+        get = self.known.get
+        for n, text in enumerate(texts):
+            if not isinstance(text, bytes):
+                ids, gaps, unknown = text
+                for k, w in zip(gaps, unknown):
+                    ids[k] = get(w)
+                texts[n] = b"".join(ids)
+        return texts
+
+
+def word_ids(path: str) -> WordIds:
+    """The ``WordIds`` of this process: Spark reuses its Python workers for later tasks."""
+    kept = sys.modules.setdefault("corpusflow_kept", ModuleType("corpusflow_kept")).__dict__
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, sequence_tokens: int = 4096, end_id: int = 1) -> DataFrame:
@@ -73,9 +123,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence_tokens: int = 4096, e
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, width = None, 4 * sequence_tokens
+        ids_of, width = word_ids(tokenizer), 4 * sequence_tokens
         for b in batches(it):
-            ids_of = ids_of or WordIds(tokenizer)
             rows = []
             for doc, ids in zip(b[0].to_pylist(), ids_of(b[1].to_pylist())):
                 ids += end
