@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from corpusflow.llm.common import batches, part, texts, written
 
 #: Words kept with their ids in a process; beyond that, between batches, the store starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_500_000
 #: Fixed value: a special token of the vocabulary.
 MARK = "<|endoftext|>"
 #: Latin letters whose lower case is one letter each, then signs that form one pre-token.
 LETTERS_SIGNS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([.,!?#$%&*;:|]*)")
 #: Pieces that one task packs at a time. Each such group leaves about one sequence part-filled.
-GROUP_PIECES = 16_384
+GROUP_PIECES = 8_192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -61,24 +61,25 @@ class WordIds:
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        known, new, whole, match = self.known, set(), [], LETTERS_SIGNS.fullmatch
+        known, new, match = self.known, set(), LETTERS_SIGNS.fullmatch
+        joined, heads, tails = [], [], []
         for w in words:
             if found := match(w):
                 letters, signs = found.groups()
                 if self.lower:
                     letters = letters.lower()
+                joined.append(w)
+                heads.append(letters)
+                tails.append(signs)
                 if letters not in known:
                     new.add(letters)
                 if signs not in known:
                     new.add(signs)
             else:
-                whole.append(w)
-        new.update(whole)
+                new.add(w)
         self.encode(list(new))
-        for w in words:
-            if w not in known:
-                letters, signs = match(w).groups()
-                known[w] = known[letters.lower() if self.lower else letters] + known[signs]
+        for w, letters, signs in zip(joined, heads, tails):
+            known[w] = known[letters] + known[signs]
 
     def __call__(self, column: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
