@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusflow.llm import packing, quality_rules, secrets
+from corpusflow.llm import lm_scoring, packing, quality_classifier, quality_rules, secrets, url_filter
 from corpusflow.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,11 +30,101 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
 
+@query
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), word_tokenizer())
 
 
+@query
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Rounded, since SQL adds up in another order."""
+    scored = lm_scoring.score(table(spark, folder, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
+
+
+ORACLES["op7_lm_scoring"] = r"""
+WITH split AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w != '') AS ws
+    FROM documents
+), words AS (
+    SELECT doc_id, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i, ws FROM split
+), grams AS (
+    SELECT doc_id, n, i, ws[i] AS w,
+        CASE WHEN i > 1 THEN ws[i - 1] END AS v,
+        CASE WHEN i > 2 THEN ws[i - 2] END AS u
+    FROM words
+), c1 AS (SELECT w, count(*) AS c FROM grams GROUP BY ALL
+), c2 AS (SELECT v, w, count(*) AS c FROM grams WHERE v IS NOT NULL GROUP BY ALL
+), c3 AS (SELECT u, v, w, count(*) AS c FROM grams WHERE u IS NOT NULL GROUP BY ALL
+), total AS (SELECT count(*) AS c FROM grams
+), scored AS (
+    SELECT doc_id, least(i, 3) AS longest, CASE WHEN c3.c >= 2 THEN 3 WHEN c2.c >= 2 THEN 2 ELSE 1 END AS used,
+        CASE WHEN c3.c >= 2 THEN ln(c3.c / b.c)
+            WHEN c2.c >= 2 THEN ln(c2.c / a.c)
+            ELSE ln(c1.c / total.c) END AS s
+    FROM grams g CROSS JOIN total
+    JOIN c1 ON c1.w = g.w
+    LEFT JOIN c2 ON c2.v = g.v AND c2.w = g.w
+    LEFT JOIN c3 ON c3.u = g.u AND c3.v = g.v AND c3.w = g.w
+    LEFT JOIN c1 a ON a.w = g.v
+    LEFT JOIN c2 b ON b.v = g.u AND b.w = g.v
+), summed AS (
+    SELECT doc_id, count(*) AS n, sum(s + (longest - used) * ln(0.4)) AS s, count(*) FILTER (used < longest) AS back
+    FROM scored GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, round(coalesce(s, 0), 6) AS log_score,
+    round(s / n, 6) AS mean_log_score, coalesce(back, 0) AS n_backed_off
+FROM documents d LEFT JOIN summed USING (doc_id)
+""".replace("\\", "\")
+
+
 @query
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).drop("text_hash", "common")
+
+
+#: The rules of the query, and the labels of hosts to be listed.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+UNWANTED = ("casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x")
+
+
+@query
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return url_filter.judge(pages, url_filter.hosts_named(pages, UNWANTED), URL_RULES).drop("entry")
+
+
+ORACLES["op10_url_filter"] = r"""
+WITH urls AS (
+    SELECT page_id, coalesce(url, '') AS url FROM pages
+), parts AS (
+    SELECT page_id,
+        lower(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1)) AS host,
+        regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path
+    FROM urls
+), list AS (
+    SELECT DISTINCT regexp_extract(host, '(?:^|\.)((?:casino-win|free-bets|cheap-pills|ads-track|spam-farm|adult-x)\..+)$', 1) AS entry
+    FROM parts
+), ruled AS (
+    SELECT *, CASE
+        WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/en/1%' THEN 'example.org/en/1'
+        WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
+        WHEN ('.' || host) LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
+        WHEN ('.' || host) LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+        WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/'
+    END AS rule
+    FROM parts
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN EXISTS (SELECT 1 FROM list WHERE entry != '' AND ('.' || host) LIKE '%.' || entry) THEN 'block'
+    ELSE 'allow'
+END AS verdict
+FROM ruled
+""".replace("\\", "\")
