@@ -54,7 +54,7 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-N_STATISTICS = 5 + len(SETS) + 17
+N_STATISTICS = len(statistics("word"))
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import lm_scoring, packing, quality_classifier, quality_rules, secrets, url_filter
+from corpusflow.llm import chat_tools, jaccard_join, lm_scoring, packing, quality_classifier, quality_rules, secrets, url_filter
 from corpusflow.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), word_tokenizer())
 
 
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join(table(spark, folder, "documents"))
+
+
 @query
 def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Rounded, since SQL adds up in another order."""
@@ -49,7 +54,7 @@ def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES["op7_lm_scoring"] = r"""
 WITH split AS (
-    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w != '') AS ws
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
     FROM documents
 ), words AS (
     SELECT doc_id, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i, ws FROM split
@@ -80,7 +85,7 @@ WITH split AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_words, round(coalesce(s, 0), 6) AS log_score,
     round(s / n, 6) AS mean_log_score, coalesce(back, 0) AS n_backed_off
 FROM documents d LEFT JOIN summed USING (doc_id)
-""".replace("\\", "\")
+"""
 
 
 @query
@@ -88,6 +93,37 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).drop("text_hash", "common")
 
 
+#: Functions that the turns of ``conversations`` call, and their parameters.
+CHAT_SCHEMAS = {
+    "lookup": {"prompt": ("string", True), "words": ("integer", True)},
+    "compose": {"prompt": ("string", True), "words": ("integer", True), "tone": ("string", False)},
+}
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user turn is a call that waits for the user turn two before, the turn behind it the result.
+
+    Calls and results that are marked in a text count as well.
+    """
+    turns = table(spark, folder, "conversations")
+    key = F.concat_ws(":", "conv_id", "turn")
+    words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    calls = turns.where("role = 'user'").select(
+        "conv_id", key.alias("call_id"), "turn", F.lit(0).alias("seq"),
+        F.when(words <= 30, "lookup").otherwise("compose").alias("name"),
+        F.to_json(F.struct(words.alias("words"), F.col("text").alias("prompt"))).alias("arguments"),
+        F.when(F.col("turn") >= 2, F.array(F.concat_ws(":", F.col("conv_id"), F.col("turn") - 2))).alias("after"),
+    )
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1).alias("call_id"), "turn", F.lit(0).alias("seq"),
+        F.col("text").alias("content"),
+    )
+    return chat_tools.link(
+        calls.unionByName(chat_tools.marked_calls(turns)), results.unionByName(chat_tools.marked_results(turns)), CHAT_SCHEMAS
+    )
+
+
 #: The rules of the query, and the labels of hosts to be listed.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 UNWANTED = ("casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x")
@@ -127,4 +163,4 @@ SELECT page_id, host, path, rule, CASE
     ELSE 'allow'
 END AS verdict
 FROM ruled
-""".replace("\\", "\")
+"""
