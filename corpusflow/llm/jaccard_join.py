@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,17 +148,33 @@ def alike(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndar
     return i[ok], j[ok]
 
 
-def _linked(members: DataFrame, n: int, threshold: float) -> DataFrame:
-    """``(rep, root, links)``: what each bucket shows about its members.
+def linked(buckets: DataFrame, stored: DataFrame, make: Callable[[], Callable[[str], np.ndarray]], threshold: float) -> DataFrame:
+    """``(rep, root, links)``: which members of buckets are alike.
 
-    ``members``: ``(task, key, block, rep, copies, final, data)``. A pair counts in the least of
-    the buckets that both are in, so just once; blocks ``(i, j)`` of a large bucket compare
-    members of ``i`` with those of ``j``.
+    ``buckets``: ``(rep, key, n)`` with the members of each key; ``stored``: ``(rep, copies, data)``
+    with compressed texts; ``make`` gives the function that cuts a text into its set. A pair counts
+    in the least of the buckets that both are in, so just once. Each bucket returns a forest: the
+    least member that one is connected with there, and how many rows its links stand for. A bucket
+    of more than ``BUCKET`` members is compared block by block, each pair of blocks apart.
     """
+    # A few tens of keys at most for each member.
+    per_set = buckets.groupBy("rep").agg(F.collect_set(F.struct("key", "n")).alias("found"))
+    named = stored.join(per_set, "rep").select("rep", "copies", "data", F.transform("found", lambda x: x["key"]).alias("final"), F.explode("found").alias("bucket"))
+    blocks = F.ceil(F.col("bucket.n") / BUCKET).cast("int")
+    named = named.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.col("bucket.key").alias("key"), "rep", "copies", "final", "data",
+        (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("block"),
+        # Which of the two blocks a member is of; 2 if both are the same.
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("own"),
+    )
+    rows = buckets.agg(F.sum(F.ceil(F.col("n") / BUCKET))).first()[0] or 0
+    tasks = max(1, -(-int(rows) // TASK_ROWS))
+    members = placed.withColumn("task", part(F.struct("key", "block"), tasks))
 
     def each(t: pa.Table) -> pa.Table:
         t = t.sort_by([("key", "ascending"), ("block", "ascending"), ("rep", "ascending")])
-        shingles, plain, sets = Shingles(n), zstandard.ZstdDecompressor(), {}
+        shingles, plain, sets = make(), zstandard.ZstdDecompressor(), {}
         key, block, rep = (np.asarray(t[c]) for c in ("key", "block", "rep"))
         copies, own = np.asarray(t["copies"]), np.asarray(t["own"])
         final, data = t["final"].to_pylist(), t["data"]
@@ -226,23 +242,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     buckets = final[0]
     for more in final[1:]:
         buckets = buckets.unionByName(more)
-    # A few tens of keys at most for each set.
-    per_set = buckets.groupBy("rep").agg(F.collect_set(F.struct("key", "n")).alias("found"))
-    named = stored.join(per_set, "rep").select("rep", "copies", "data", F.transform("found", lambda x: x["key"]).alias("final"), F.explode("found").alias("bucket"))
-    blocks = F.ceil(F.col("bucket.n") / BUCKET).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    other = F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    placed = named.withColumn("mine", mine).withColumn("blocks", blocks).withColumn("other", F.explode(other))
-    placed = placed.select(
-        F.col("bucket.key").alias("key"), "rep", "copies", "final", "data",
-        (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("block"),
-        # Which side of the two blocks a member is on; 2 if both are the same.
-        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("own"),
-    )
-    rows = buckets.agg(F.sum(F.ceil(F.col("n") / BUCKET))).first()[0] or 0
-    tasks = max(1, -(-int(rows) // TASK_ROWS))
-    members = placed.withColumn("task", part(F.struct("key", "block"), tasks))
-    found = written(_linked(members, n, threshold), "links")
+    found = written(linked(buckets, stored, lambda: Shingles(n), threshold), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(found.select("rep", "root")).select(F.col("node").alias("rep"), "root")
     of_set = distinct.select("s1", "s2", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")

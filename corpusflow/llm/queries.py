@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import chat_tools, jaccard_join, lm_scoring, packing, quality_classifier, quality_rules, secrets, url_filter
+from corpusflow.llm import chat_tools, decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, secrets, url_filter
 from corpusflow.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
 
+@query
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.repeated_lines(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 @query
 def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -40,6 +46,11 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), word_tokenizer())
 
 
+@query
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(table(spark, folder, "documents"))
