@@ -109,7 +109,7 @@ def levels(calls: DataFrame) -> DataFrame:
         new = at.join(raised, ["conv_id", "call_id"], "left").select(
             "conv_id", "call_id", "most",
             F.least(F.greatest("level", F.coalesce("raised", "level")), F.col("most") + 1).alias("level"),
-            F.coalesce(F.least("raised", F.col("most") + 1) > F.col("level"), F.lit(False)).alias("moved"),
+            (F.col("raised").isNotNull() & (F.least("raised", F.col("most") + 1) > F.col("level"))).alias("moved"),
         )
         new = written(new, "levels")
         moved = not new.where("moved").isEmpty()

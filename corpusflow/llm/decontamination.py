@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusflow.llm.common import batches, part, texts
 
 #: Words of a seed, and seeds in a row of which the rarest stands for all.
-GRAM, WINDOW = 3, 4
+GRAM, WINDOW = 3, 2
 #: Bytes of items that are searched at a time; a larger benchmark takes more scans.
 BLOCK_BYTES = 8_000_000
 #: Seeds that must lie near one diagonal before an alignment is tried.

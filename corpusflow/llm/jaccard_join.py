@@ -268,3 +268,12 @@ def _stored(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     found = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "s1", "s2", "copies", "text")
     return found.mapInArrow(each, "rep long, copies long, data binary").dropDuplicates(["rep"])
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` less the rows whose class has a smaller ``doc_id``; see ``join``.
+
+    All columns stay. Rows that share an id share their fate; rows without an id stay.
+    """
+    others = join(docs, **options).where("class_id != doc_id").select(F.col("doc_id").alias("other_id")).distinct()
+    return docs.join(others, docs["doc_id"] == others["other_id"], "left_anti")

@@ -1,0 +1,188 @@
+import json
+import math
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from corpusflow.llm import chat_tools, lm_scoring, url_filter
+
+RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def urls(spark, rows):
+    return spark.createDataFrame([(i, u, "h", 1, "p") for i, u in enumerate(rows)], "page_id long, url string, html string, host int, entry string")
+
+
+def test_hosts_and_paths(spark):
+    given = {
+        None: ("", ""), "": ("", ""), "no scheme/a": ("", ""), "http://ÄB.Com": ("Äb.com".replace("Ä", "Ä"), ""),
+        "x://a://b/c?d": ("a:", "//b/c"), "://H?x/y": ("h", ""), "http://h#f/g": ("h", ""), "http://h/a\nb#c": ("h", "/a\nb"),
+        "HTTP://A.B/C/d?e": ("a.b", "/C/d"),
+    }
+    none = spark.createDataFrame([], "entry string")
+    rows = url_filter.judge(urls(spark, list(given)), none, RULES).collect()
+    for r, want in zip(sorted(rows, key=lambda r: r["page_id"]), given.values()):
+        assert (r["host"], r["path"]) == want
+
+
+def test_rules_and_list(spark):
+    listed = spark.createDataFrame([("bad.net",), ("bad.net",), (None,), ("",), ("x.net/only/this",), ("bad.com",)], "entry string")
+    given = [
+        ("http://a.org/x", "org/", "allow"), ("http://example.org/es/1", "example.org/es/", "block"),
+        ("http://m.example.org/en/12", "example.org/en/1", "block"), ("http://badexample.org/en/12", "org/", "allow"),
+        ("http://a.org", None, "allow"), ("http://a.com/de/", "com/de/", "block"), ("http://a.com/de", None, "allow"),
+        ("http://bad.net", None, "block"), ("http://m.bad.net/a?b", None, "block"), ("http://notbad.net/", None, "allow"),
+        ("http://x.net/only/this?q", None, "block"), ("http://x.net/only/this/not", None, "allow"),
+        ("http://bad.com/fr/1", "com/fr/", "allow"), (None, None, "allow"), ("http://a.org/x", "org/", "allow"),
+    ]
+    rows = url_filter.judge(urls(spark, [g[0] for g in given]), listed, RULES).collect()
+    assert [(r["rule"], r["verdict"]) for r in sorted(rows, key=lambda r: r["page_id"])] == [g[1:] for g in given]
+
+
+def test_a_list_of_several_arrays(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "ARRAY_BYTES", 300)
+    listed = spark.createDataFrame([(f"host{i}.net",) for i in range(0, 100, 3)], "entry string")
+    rows = url_filter.judge(urls(spark, [f"http://host{i}.net/" for i in range(100)]), listed, {}).collect()
+    assert all((r["verdict"] == "block") == (r["page_id"] % 3 == 0) for r in rows)
+    assert url_filter.judge(urls(spark, []), listed, RULES).collect() == []
+
+
+def test_keys_that_collide(tmp_path, monkeypatch):
+    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: len(s) % 3)
+    entries = [f"e{'x' * (i % 5)}{i}" for i in range(50)]
+    path = str(tmp_path / "a.arrow")
+    url_filter.digest_array(entries, path)
+    array = url_filter.DigestArray(path)
+    assert (np.diff(array.keys.astype(int)) >= 0).all()
+    asked = entries + ["no", "none", "nothing"]
+    assert array.found(asked).tolist() == [True] * 50 + [False] * 3
+
+
+def test_scores_by_hand(documents, prose):
+    vocabulary = prose.words(12)
+    texts = [None, "", "a"] + [" ".join(prose.rng.choice(vocabulary) for _ in range(prose.rng.randint(1, 30))) for _ in range(40)]
+    texts += ["unique words only here", "\x1c a\x0b b"]
+    rows = {r["doc_id"]: r for r in lm_scoring.score(documents(list(enumerate(texts)))).collect()}
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    count = Counter(tuple(w[k : k + n]) for w in split for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    total = sum(map(len, split))
+    for i, w in enumerate(split):
+        s, back = 0.0, 0
+        for k in range(len(w)):
+            longest = min(k + 1, 3)
+            n = next(n for n in range(longest, 0, -1) if n == 1 or count[tuple(w[k - n + 1 : k + 1])] >= 2)
+            s += math.log(count[tuple(w[k - n + 1 : k + 1])] / (count[tuple(w[k - n + 1 : k])] if n > 1 else total)) + (longest - n) * math.log(0.4)
+            back += n < longest
+        r = rows[i]
+        assert (r["n_words"], r["n_backed_off"]) == (len(w), back)
+        assert abs(r["log_score"] - s) < 1e-9
+        assert r["mean_log_score"] is None if not w else abs(r["mean_log_score"] - s / len(w)) < 1e-9
+
+
+def test_scores_do_not_hang_on_chunks(documents, prose, monkeypatch):
+    texts = [prose.prose(prose.rng.randint(0, 60)) for _ in range(40)] * 2
+    docs = documents([(i % 70, t) for i, t in enumerate(texts)] + [(None, "x y"), (None, "x y")])
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["log_score"], r["n_words"])
+    whole = sorted(lm_scoring.score(docs).collect(), key=key)
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 1000)
+    parts = sorted(lm_scoring.score(docs).collect(), key=key)
+    assert len(whole) == 82 and whole == parts
+    assert lm_scoring.score(documents([])).collect() == []
+
+
+def test_packed_numbers():
+    for x in (np.zeros(0, np.uint64), np.array([0, 1, 2**64 - 1, 2**40], np.uint64)):
+        assert (lm_scoring.unpacked(lm_scoring.packed(x)) == x).all()
+
+
+CALLS = "conv_id long, call_id string, turn long, seq int, name string, arguments string, after array<string>, status string"
+RESULTS = "conv_id long, call_id string, turn long, seq int, content string, json int"
+SCHEMAS = {"f": {"q": ("string", True), "n": ("integer", False), "o": ("object", False)}, "g": {}}
+
+
+def linked(spark, calls, results):
+    rows = chat_tools.link(
+        spark.createDataFrame([(*c, "x") for c in calls], CALLS), spark.createDataFrame([(*r, 1) for r in results], RESULTS), SCHEMAS
+    ).collect()
+    return rows
+
+
+def test_links_and_canonical_json(spark):
+    calls = [
+        (1, "a", 0, 0, "f", '{"q": "x\\u00e9", "n": 3,  "o": {"z": 1.50, "b": [1, null]}}', None),
+        (1, "b", 2, 0, "f", '{"n": "3", "extra": 1, "more": 2}', ["a"]),
+        (1, "b", 3, 0, "g", "{}", None),
+        (1, "c", 4, 0, "h", "{}", []),
+        (1, "d", 4, 1, "f", "[1]", None),
+        (1, "e", 9, 0, "g", "{broken", None),
+        (1, None, 5, 0, "g", "{}", None),
+        (None, "a", 5, 0, "g", "{}", None),
+        (2, "a", 0, 0, "g", None, None),
+        (2, "a", 0, 0, "g", None, None),
+    ]
+    results = [(1, "a", 1, 0, 'say "é"\n'), (1, "a", 6, 0, "later"), (1, "b", 1, 0, "early"), (1, "z", 1, 0, None), (1, None, 2, 0, "n")]
+    rows = linked(spark, calls, results)
+    of = defaultdict(list)
+    for r in rows:
+        of[(r["conv_id"], r["call_id"])].append(r)
+    assert len(rows) == 13
+    a = of[1, "a"]
+    assert sorted(r["status"] for r in a) == ["linked", "repeated"]
+    a = next(r for r in a if r["status"] == "linked")
+    assert a["json"] == '{"arguments":{"n":3,"o":{"b":[1,null],"z":1.5},"q":"xé"},"call_id":"a","content":"say \\"é\\"\\n","name":"f"}'
+    assert a["problems"] == []
+    b = {r["status"]: r for r in of[1, "b"]}
+    assert set(b) == {"early", "repeated"}
+    assert b["early"]["problems"] == ["n: not integer", "q: missing", "extra: unknown", "more: unknown"]
+    assert [(r["status"], r["problems"]) for r in of[1, "c"]] == [("unanswered", ["unknown function"])]
+    assert of[1, "d"][0]["problems"] == ["arguments: not an object"]
+    assert of[1, "e"][0]["problems"] == ["arguments: not an object"]
+    assert [r["status"] for r in of[1, None]] == ["nameless"] * 2
+    assert [r["status"] for r in of[None, "a"]] == ["nameless"]
+    assert sorted(r["status"] for r in of[2, "a"]) == ["repeated", "unanswered"]
+    assert [r["status"] for r in of[1, "z"]] == ["orphan"]
+    assert all(json.loads(r["json"]) is not None for r in rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_order_is_topological(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    # Edges from smaller to larger names, in a shuffled transcript: no cycles.
+    place = list(range(14))
+    rng.shuffle(place)
+    calls = [(1, f"{k:02d}", place[k], 0, "g", "{}", [f"{j:02d}" for j in rng.sample(range(k), min(k, 2))] + ["gone"]) for k in range(14)]
+    calls += [(2, "a", 0, 0, "g", "{}", None), (2, "b", 1, 0, "g", "{}", ["a"])]
+    rows = {(r["conv_id"], r["call_id"]): r for r in linked(spark, calls, [])}
+    key = lambda c, i: (rows[c, i]["level"], rows[c, i]["turn"])
+    for c, i, *_, after in calls:
+        for j in after or []:
+            if (c, j) in rows:
+                assert key(c, j) < key(c, i)
+    assert rows[2, "b"]["level"] == 0
+
+
+def test_cycles_have_no_level(spark):
+    calls = [(1, "a", 0, 0, "g", "{}", ["b"]), (1, "b", 1, 0, "g", "{}", ["a"]), (1, "c", 2, 0, "g", "{}", ["b"]), (1, "d", 3, 0, "g", "{}", None), (1, "e", 4, 0, "g", "{}", ["e"])]
+    rows = {r["call_id"]: r["level"] for r in linked(spark, calls, [])}
+    assert rows == {"a": None, "b": None, "c": None, "d": 0, "e": None}
+
+
+def test_marked_calls(spark):
+    text = 'x <tool_call>{"id": "7", "name": "f", "arguments": {"q": "a"}, "after": ["6"]}</tool_call> <tool_call>no</tool_call>'
+    turns = spark.createDataFrame([(1, 2, "assistant", text), (1, 3, "tool", '<tool_result>{"id": "7", "content": "ok"}</tool_result>'), (1, 4, None, None)], "conv_id long, turn long, role string, text string")
+    calls = chat_tools.marked_calls(turns).collect()
+    assert [(c["call_id"], c["seq"], c["name"], c["after"]) for c in calls] == [("7", 0, "f", ["6"]), (None, 1, None, None)]
+    assert json.loads(calls[0]["arguments"]) == {"q": "a"}
+    rows = chat_tools.link(chat_tools.marked_calls(turns), chat_tools.marked_results(turns), SCHEMAS).collect()
+    assert sorted(r["status"] for r in rows) == ["linked", "nameless"]
+
+
+def test_chat_is_native_and_takes_empty_tables(spark):
+    assert linked(spark, [], []) == []
+    empty = chat_tools.link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), SCHEMAS)
+    plan = empty._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
