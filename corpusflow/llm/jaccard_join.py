@@ -22,6 +22,8 @@ LEVELS = 3
 #: Members of a bucket that are compared with each other in one task. Larger buckets are split by
 #: further n-grams; those still larger after ``LEVELS`` are compared block by block.
 BUCKET = 1024
+#: Members up to which a bucket is compared pair by pair, without a matrix.
+FEW = 6
 #: Member rows that one task takes at a time.
 TASK_ROWS = 4000
 
@@ -124,30 +126,41 @@ def _split(hot: DataFrame, stored: DataFrame, n: int, level: int) -> DataFrame:
     return stored.join(paths, "rep").select("rep", "data", "paths").mapInArrow(each, "rep long, key long")
 
 
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)) - 1e-6:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= threshold * (len(a) + len(b) - both) - 1e-6
+
+
 def alike(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of sets, as positions, whose Jaccard similarity reaches the threshold."""
     size = np.array([len(s) for s in sets])
-    if len(sets) == 2:
-        same = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))]])
-    else:
-        _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        common = count[gram] > 1
-        gram, owner = (np.cumsum(count > 1) - 1)[gram[common]], owner[common]
-        order = np.argsort(gram, kind="stable")
-        gram, owner = gram[order], owner[order]
-        same = np.zeros((len(sets), len(sets)), np.float32)
-        for low in range(0, int(gram[-1]) + 1 if len(gram) else 0, 2048):
-            a, z = np.searchsorted(gram, [low, low + 2048])
-            block = np.zeros((len(sets), 2048), np.float32)
-            block[owner[a:z], gram[a:z] - low] = 1
-            same += block @ block.T
+    _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    common = count[gram] > 1
+    gram, owner = (np.cumsum(count > 1) - 1)[gram[common]], owner[common]
+    order = np.argsort(gram, kind="stable")
+    gram, owner = gram[order], owner[order]
+    same = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(gram[-1]) + 1 if len(gram) else 0, 2048):
+        a, z = np.searchsorted(gram, [low, low + 2048])
+        block = np.zeros((len(sets), 2048), np.float32)
+        block[owner[a:z], gram[a:z] - low] = 1
+        same += block @ block.T
     i, j = np.nonzero(np.triu(same, 1))
     both = same[i, j]
     ok = both >= threshold * (size[i] + size[j] - both) - 1e-6
     return i[ok], j[ok]
 
 
+def once(buckets: DataFrame) -> DataFrame:
+    """``buckets`` ``(rep, key, n)`` less those with the same members as one of a smaller key."""
+    sums = buckets.groupBy("key", "n").agg(F.bit_xor(F.xxhash64("rep")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("b"))
+    first = sums.groupBy("a", "b", "n").agg(F.min("key").alias("key"))
+    return buckets.join(first.select("key"), "key", "left_semi").select("rep", "key", "n")
+
+
 def linked(buckets: DataFrame, stored: DataFrame, make: Callable[[], Callable[[str], np.ndarray]], threshold: float) -> DataFrame:
     """``(rep, root, links)``: which members of buckets are alike.
 
@@ -157,6 +170,7 @@ def linked(buckets: DataFrame, stored: DataFrame, make: Callable[[], Callable[[s
     least member that one is connected with there, and how many rows its links stand for. A bucket
     of more than ``BUCKET`` members is compared block by block, each pair of blocks apart.
     """
+    buckets = written(once(buckets), "buckets")
     # A few tens of keys at most for each member.
     per_set = buckets.groupBy("rep").agg(F.collect_set(F.struct("key", "n")).alias("found"))
     named = stored.join(per_set, "rep").select("rep", "copies", "data", F.transform("found", lambda x: x["key"]).alias("final"), F.explode("found").alias("bucket"))
@@ -179,20 +193,28 @@ def linked(buckets: DataFrame, stored: DataFrame, make: Callable[[], Callable[[s
         copies, own = np.asarray(t["copies"]), np.asarray(t["own"])
         final, data = t["final"].to_pylist(), t["data"]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def set_of(k: int) -> np.ndarray:
+            if rep[k] not in sets:
+                sets[rep[k]] = shingles(plain.decompress(data[k].as_py()).decode())
+            return sets[rep[k]]
+
         for at, length in zip(*runs_of(key, block)):
             rows = slice(at, at + length)
-            ids = rep[rows]
-            for k in range(at, at + length):
-                if rep[k] not in sets:
-                    sets[rep[k]] = shingles(plain.decompress(data[k].as_py()).decode())
-            i, j = alike([sets[x] for x in ids], threshold) if length > 1 else (np.zeros(0, int),) * 2
-            if not len(i):
-                continue
-            # Of two blocks only pairs across them count; pairs within are those of (i, i).
-            across = own[rows]
+            ids, across = rep[rows], own[rows]
             names = [set(f) for f in final[at : at + length]]
-            real = np.array([(across[a] == 2 or across[a] != across[b]) and ids[a] != ids[b] and min(names[a] & names[b]) == key[at] for a, b in zip(i, j)], bool)
-            i, j = i[real], j[real]
+
+            def counts(a: int, b: int) -> bool:
+                """Of two blocks only pairs across them; pairs within are those of (i, i)."""
+                return (across[a] == 2 or across[a] != across[b]) and ids[a] != ids[b] and min(names[a] & names[b]) == key[at]
+
+            if length <= FEW:
+                # Whether a pair counts here is known before its sets are cut.
+                pairs = [(a, b) for a in range(length) for b in range(a + 1, length) if counts(a, b)]
+                pairs = [(a, b) for a, b in pairs if similar(set_of(at + a), set_of(at + b), threshold)]
+            else:
+                pairs = [(a, b) for a, b in zip(*alike([set_of(k) for k in range(at, at + length)], threshold)) if counts(a, b)]
+            i, j = np.array(pairs, np.int64).reshape(-1, 2).T
             if len(i):
                 links = np.bincount(i, copies[rows][j], length) + np.bincount(j, copies[rows][i], length)
                 nodes, roots = union_find(ids[i], ids[j])

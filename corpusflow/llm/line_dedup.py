@@ -21,6 +21,8 @@ SHINGLE = 8
 #: band with a chance of 99.5 %, of 0.3 with 8 %.
 BANDS, ROWS = 10, 4
 BASE = 0x9E3779B97F4A7C15
+#: Characters that are hashed at a time, few enough to stay in a processor's cache.
+BLOCK_CHARS = 50_000
 
 
 def normal(line: str) -> str:
@@ -47,27 +49,43 @@ def shingle_set(line: str) -> np.ndarray:
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """A row of ``BANDS`` hashes for each line of at least ``SHINGLE`` characters."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
-    length = np.fromiter(map(len, lines), np.int64, len(lines))
-    if not len(codes):
-        return np.zeros((0, BANDS), np.int64)
-    # Shingles that run over the end of a line are left out.
-    end = np.repeat(np.cumsum(length), length)[: len(codes) - SHINGLE + 1]
-    whole = np.arange(len(end)) + SHINGLE <= end
-    x = (shingle_hashes(codes)[whole] >> np.uint64(32)).astype(np.uint32)
-    count = length - SHINGLE + 1
-    starts = np.cumsum(count) - count
     rng = np.random.default_rng(11)
     odd = rng.integers(0, 2**31, (BANDS, ROWS), dtype=np.uint64).astype(np.uint32) * 2 + 1
     found = np.empty((len(lines), BANDS), np.int64)
-    for b in range(BANDS):
-        key = np.full(len(lines), b + 1, np.uint64)
-        for k in range(ROWS):
-            key = mixed(key * np.uint64(BASE) + np.minimum.reduceat(x * odd[b, k], starts), 1)
-        found[:, b] = key.view(np.int64)
+    first = 0
+    while first < len(lines):
+        last, chars = first, 0
+        while last < len(lines) and chars < BLOCK_CHARS:
+            chars += len(lines[last])
+            last += 1
+        x, starts = line_shingles(lines[first:last])
+        least = np.empty((last - first, ROWS), np.uint32)
+        for b in range(BANDS):
+            for k in range(ROWS):
+                least[:, k] = np.minimum.reduceat(x * odd[b, k], starts)
+            key = np.full(last - first, b + 1, np.uint64)
+            for k in range(ROWS):
+                key = mixed(key * np.uint64(BASE) + least[:, k], 1)
+            found[first:last, b] = key.view(np.int64)
+        first = last
     return found
 
 
+def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the shingles of all lines, and where each line's begin."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    # Shingles that run over the end of a line are left out.
+    whole = np.ones(len(codes), bool)
+    ends = np.cumsum(length)
+    for k in range(1, SHINGLE):
+        whole[ends - k] = False
+    hashes = shingle_hashes(codes)
+    x = (hashes[whole[: len(hashes)]] >> np.uint64(32)).astype(np.uint32)
+    count = length - SHINGLE + 1
+    return x, np.cumsum(count) - count
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
@@ -79,18 +97,27 @@ def _lines(text: str) -> list[tuple[int, str]]:
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, line_no, key)`` of each line that is long enough."""
+    """``(doc_id, text_hash, line_no, key, bands)`` of each line that is long enough.
+
+    Of equal lines of a batch only the first has ``bands``.
+    """
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             found = [_lines(t) for t in b[2].to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             flat = [x for rows in found for x in rows]
+            keys = np.array([key_of(x) for _, x in flat], np.int64)
+            _, first = np.unique(keys, return_index=True)
+            bands = band_keys([flat[i][1] for i in first])
+            row = np.full(len(flat), -1)
+            row[first] = np.arange(len(first))
+            offsets = np.r_[0, np.cumsum(BANDS * (row >= 0))].astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[row[row >= 0]].ravel()), mask=pa.array(row < 0))
             number = pa.array([k for k, _ in flat], pa.int32())
-            key = pa.array([key_of(x) for _, x in flat], pa.int64())
-            yield pa.record_batch([b[0].take(at), b[1].take(at), number, key], ["doc_id", "text_hash", "line_no", "key"])
+            yield pa.record_batch([b[0].take(at), b[1].take(at), number, pa.array(keys), listed], ["doc_id", "text_hash", "line_no", "key", "bands"])
 
-    return _keyed(docs).mapInArrow(each, "doc_id long, text_hash long, line_no int, key long")
+    return _keyed(docs).mapInArrow(each, "doc_id long, text_hash long, line_no int, key long, bands array<long>")
 
 
 def _distinct(texts_: list[str], seen: dict[int, str]) -> dict[int, str]:
@@ -100,47 +127,36 @@ def _distinct(texts_: list[str], seen: dict[int, str]) -> dict[int, str]:
     return seen
 
 
-def _bands(docs: DataFrame) -> DataFrame:
-    """``(key, rep)``: the bands of each line, once per batch for equal lines."""
-
-    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it):
-            lines = _distinct(b[1].to_pylist(), {})
-            keys = band_keys(list(lines.values()))
-            reps = np.repeat(np.fromiter(lines, np.int64, len(lines)), BANDS)
-            yield pa.record_batch([pa.array(keys.ravel()), pa.array(reps)], ["key", "rep"])
-
-    return texts(docs).select("doc_id", "text").mapInArrow(each, "key long, rep long")
-
-
 def _shared(bands: DataFrame) -> DataFrame:
     """``(key, rep)`` of bands that two different lines share; most bands have one line only.
 
     Rows meet sorted by band, and a task passes on those of a band as soon as it sees a second line,
-    so it holds no more than a batch however many lines share a band.
+    so it holds no more than a batch however many lines share a band. Rows may repeat.
     """
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, False  # the last row, and whether it still waits for a second line
+        first_key, first_rep, passed = None, None, False  # the run that the last batch ended in
         for b in it:
             key, rep = np.asarray(b.column(0)), np.asarray(b.column(1))
             if not len(key):
                 continue
-            if last is not None:
-                key, rep = np.r_[last[0], key], np.r_[last[1], rep]
-            new = np.r_[True, (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])]
-            key, rep = key[new], rep[new]
-            first, length = runs(key)
-            many = length > 1
-            if last is not None and not held and key[0] == last[0]:
+            at, length = runs(key)
+            goes_on = key[0] == first_key and first_key is not None
+            lead = rep[at]
+            if goes_on:
+                lead[0] = first_rep
+            many = np.logical_or.reduceat(rep != np.repeat(lead, length), at)
+            held = goes_on and many[0] and not passed  # its first line waited for a second
+            if goes_on and passed:
                 many[0] = True
             out = np.repeat(many, length)
-            if last is not None and not held:
-                out[0] = False  # passed on before
-            last, held = (key[-1], rep[-1]), not many[-1]
-            yield pa.record_batch([pa.array(key[out]), pa.array(rep[out])], ["key", "rep"])
+            keys, reps = key[out], rep[out]
+            if held:
+                keys, reps = np.r_[first_key, keys], np.r_[first_rep, reps]
+            first_key, first_rep, passed = key[-1], lead[-1], bool(many[-1])
+            yield pa.record_batch([pa.array(keys), pa.array(reps)], ["key", "rep"])
 
-    return bands.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(each, "key long, rep long")
+    return bands.repartition("key").sortWithinPartitions("key").mapInArrow(each, "key long, rep long")
 
 
 def _stored(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -158,7 +174,7 @@ def _stored(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), pa.array([1] * len(data), pa.int64()), pa.array(data, pa.binary())], ["rep", "copies", "data"])
 
     lines = texts(docs).select("doc_id", "text").mapInArrow(each, "rep long, line string")
-    return lines.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.first("line").alias("line")).mapInArrow(small, "rep long, copies long, data binary")
+    return lines.join(wanted.hint("shuffle_hash"), "rep", "left_semi").groupBy("rep").agg(F.first("line").alias("line")).mapInArrow(small, "rep long, copies long, data binary")
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -176,12 +192,14 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     wholly equal are judged as one row, so all of them keep the same lines.
     """
     all_places = written(places(docs), "places")
-    shared = written(_shared(_bands(docs)), "bands")
+    bands = all_places.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), F.col("key").alias("rep"))
+    shared = written(_shared(bands).distinct(), "bands")
     buckets = written(shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key").select("rep", "key", "n"), "buckets")
     stored = written(_stored(docs, buckets.select("rep").distinct()), "lines")
     found = linked(buckets, stored, lambda: shingle_set, threshold)
     classes = components(found.select("rep", "root")).select(F.col("node").alias("key"), "root")
     place = F.struct("doc_id", "text_hash", "line_no")
+    all_places = all_places.drop("bands")
     per_key = all_places.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     of_class = per_key.join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
     of_class = written(of_class, "line-classes")
