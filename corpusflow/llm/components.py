@@ -70,6 +70,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges are stars: no node hangs on two others, or on one and has others on it."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    of_node = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return of_node.where((F.col("hangs") > 1) | ((F.col("hangs") == 1) & (F.col("holds") == 1))).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of each node with an edge, the root being the least node of its component.
 
@@ -80,12 +89,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = (F.col(c) for c in edges.columns[:2])
     oriented = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    now, seen = written(_joined(oriented), "edges"), None
-    while True:
+    now = written(_joined(oriented), "edges")
+    while not _settled(now):
         now = written(_small_star(_large_star(now)), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        seen = state
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    )
