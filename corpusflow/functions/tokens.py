@@ -26,23 +26,27 @@ from corpusflow.functions.text import words
 class WordCounter:
     """One token per word. Needs no measuring, so the whole pipeline stays in the JVM."""
 
+    in_python = False
+
     def count(self, text: Column) -> Column:
         return F.size(words(text))
 
-    def chunk_tokens(self, chunk: Column) -> Column:
-        return chunk["tokens"]
-
-    def total_tokens(self, chunks: Column) -> Column:
-        """Sum of the tokens of an array of chunks."""
-        return F.aggregate(chunks, F.lit(0).cast("bigint"), lambda a, c: a + c["tokens"])
-
     def known_tokens(self, from_word: Column, to_word: Column) -> Column:
         """Tokens of a chunk made of these words, or null if its text must be counted."""
         return to_word - from_word
 
-    def measure(self, sections: Column) -> Column:
+    def measure(self, sections: Column, budget: int | None = None) -> Column:
+        """Sections with what packing has to know; those within ``budget`` tokens need little."""
         return sections
 
+    def measure_error(self, sections: Column) -> Column:
+        """Why the sections of a document could not be measured, or null."""
+        return F.lit(None).cast("string")
+
+    def count_texts(self, texts: Column) -> Column:
+        """``struct<counts, error>`` of an array of texts; ``counts`` is null if all are known."""
+        return F.lit(None).cast("struct<counts:array<int>,error:string>")
+
     def may_exceed(self, text: Column, all_words: Column, budget: int) -> Column:
         """False if the text is surely within the budget, so it needs no segments."""
         return F.size(all_words) > budget
@@ -77,25 +81,47 @@ class WordCounter:
 
 SECTION_FIELDS = ("section", "text", "n_words", "words", "segments", "segment_words")
 MEASURES = T.StructType(
-    [T.StructField("tokens", T.IntegerType())]
+    [T.StructField("tokens", T.IntegerType()), T.StructField("error", T.StringType())]
     + [
         T.StructField(name, T.ArrayType(T.IntegerType()))
         for name in ("words_own", "words_spaced", "segments_own", "segments_spaced")
     ]
 )
+COUNTS = T.StructType(
+    [T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("error", T.StringType())]
+)
+FAILED = "token counter failed: "
+#: Stretches whose counts a task keeps at a time.
+KEPT_COUNTS = 200_000
+
+
+class _Counts(dict):
+    """Counts of stretches, each of which is counted once."""
+
+    def __init__(self, count: Callable[[str], int]):
+        self.count = count
 
+    def __missing__(self, text: str) -> int:
+        if len(self) >= KEPT_COUNTS:
+            self.clear()
+        n = self[text] = self.count(text)
+        return n
 
-def _running_sums(count: Callable[[str], int], items: Iterable[str], prefix: str) -> list[int]:
-    return np.cumsum([0] + [count(prefix + item) for item in items]).tolist()
+
+def _running_sums(counts: _Counts, items: Iterable[str], prefix: str) -> list[int]:
+    return np.cumsum([0] + [counts[prefix + item] for item in items]).tolist()
 
 
 class FunctionCounter:
     """Counts with a function ``str -> int``, such as a byte-pair encoding.
 
     ``factory`` builds the function once per Python worker. Each document crosses to
-    Python once, in Arrow batches; packing itself stays in the JVM.
+    Python in Arrow batches, once to be measured and once for the counts of its chunks;
+    packing itself stays in the JVM. A document for which the function raises fails alone.
     """
 
+    in_python = True
+
     def __init__(self, factory: Callable[[], Callable[[str], int]]):
         def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             count_text = factory()
@@ -103,56 +129,59 @@ class FunctionCounter:
                 counts = [None if t is None else count_text(t) for t in batch.to_pylist()]
                 yield pa.array(counts, pa.int32())
 
-        def total(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def count_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             count_text = factory()
+
+            def counts(texts: list[str] | None) -> dict:
+                if texts is None:
+                    return {"counts": None, "error": None}
+                try:
+                    return {"counts": [count_text(t) for t in texts], "error": None}
+                except Exception as e:
+                    return {"counts": None, "error": f"{FAILED}{e}"}
+
             for batch in batches:
-                totals = [
-                    None if texts is None else sum(map(count_text, texts))
-                    for texts in batch.to_pylist()
-                ]
-                yield pa.array(totals, pa.int64())
+                yield pa.array([counts(t) for t in batch.to_pylist()], to_arrow_type(COUNTS))
 
         def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             count_text = factory()
-
-            def measures(s: dict) -> dict:
-                return {
-                    "tokens": count_text(s["text"]),
-                    "words_own": _running_sums(count_text, s["words"], ""),
-                    "words_spaced": _running_sums(count_text, s["words"], " "),
-                    "segments_own": _running_sums(count_text, s["segments"], ""),
-                    "segments_spaced": _running_sums(count_text, s["segments"], " "),
-                }
+            counts = _Counts(count_text)
+
+            def measures(s: dict, budget: int) -> dict:
+                tokens, found = count_text(s["text"]), {}
+                for items, own, spaced in (("words", "words_own", "words_spaced"), ("segments", "segments_own", "segments_spaced")):
+                    over = s[items] if tokens > budget else []
+                    found[own] = _running_sums(counts, over, "")
+                    found[spaced] = _running_sums(counts, over, " ")
+                return {"tokens": tokens, **found}
+
+            def measured(sections: list[dict] | None) -> list[dict] | None:
+                try:
+                    return sections and [measures(s, s["budget"]) for s in sections]
+                except Exception as e:
+                    return [{"error": f"{FAILED}{e}"}]
 
             kind = pa.list_(to_arrow_type(MEASURES))
             for batch in batches:
-                rows = batch.to_pylist()
-                yield pa.array(
-                    [None if doc is None else [measures(s) for s in doc] for doc in rows], kind
-                )
+                yield pa.array([measured(doc) for doc in batch.to_pylist()], kind)
 
         def register(f, kind):
             return F.arrow_udf(f, kind)
 
         self._count = register(count, T.IntegerType())
-        self._total = register(total, T.LongType())
+        self._count_all = register(count_all, COUNTS)
         self._measure = register(measure, T.ArrayType(MEASURES))
 
     def count(self, text: Column) -> Column:
         return self._count(text)
 
-    def chunk_tokens(self, chunk: Column) -> Column:
-        return self._count(chunk["text"])
-
-    def total_tokens(self, chunks: Column) -> Column:
-        return self._total(F.transform(chunks, lambda c: c["text"]))
-
     def known_tokens(self, from_word: Column, to_word: Column) -> Column:
         return F.lit(None)
 
-    def measure(self, sections: Column) -> Column:
+    def measure(self, sections: Column, budget: int | None = None) -> Column:
+        least = F.lit(-1 if budget is None else budget).alias("budget")
         needed = F.transform(
-            sections, lambda s: F.struct(s["text"], s["words"], s["segments"])
+            sections, lambda s: F.struct(s["text"], s["words"], s["segments"], least)
         )
         return F.zip_with(
             sections,
@@ -163,9 +192,15 @@ class FunctionCounter:
             ),
         )
 
+    def measure_error(self, sections: Column) -> Column:
+        return F.get(sections, F.lit(0))["m"]["error"]
+
+    def count_texts(self, texts: Column) -> Column:
+        return self._count_all(texts)
+
     def may_exceed(self, text: Column, all_words: Column, budget: int) -> Column:
-        # A token stands for one byte or more.
-        return F.octet_length(text) > budget
+        # Only the function itself knows, so every section is cut before it is measured.
+        return F.lit(True)
 
     def section_tokens(self, s: Column) -> Column:
         return s["m"]["tokens"]
@@ -195,8 +230,8 @@ class FunctionCounter:
 
     def tail_start(self, s: Column, a: Column, b: Column, budget: int) -> Column:
         own = s["m"]["words_own"]
-        # Every word costs a token or more, so the tail has at most ``budget`` words.
-        candidates = F.sequence(F.greatest(a, b - budget), b)
+        # Words may cost nothing, so the tail may have more words than the budget.
+        candidates = F.sequence(a, b)
         return F.get(
             F.filter(candidates, lambda j: self._sum(own, j, b) <= budget), F.lit(0)
         )

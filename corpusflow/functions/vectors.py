@@ -39,3 +39,8 @@ def l2_normalize(v: Column) -> Column:
 def plain_words(text: Column) -> Column:
     """Lower-case words of letters and digits."""
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector is known in all its entries; others cannot be scored."""
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

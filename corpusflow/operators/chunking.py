@@ -62,9 +62,14 @@ def _steps(p: Packing, application: str) -> dict[str, Column]:
             lambda c: F.struct(s["section"], strip(c["text"]).alias("text"), c["tokens"]),
         )
 
-    chunks = F.flatten(F.transform("measured", chunks_of))
+    failed = F.coalesce("no_text", p.counter.measure_error(F.col("measured")))
+    made = F.flatten(F.transform(F.when(failed.isNull(), F.col("measured")), chunks_of))
+    counts, why = F.col("counted.counts"), F.coalesce("failed", "counted.error")
+    numbered = F.when(counts.isNull(), F.col("made")).otherwise(
+        F.zip_with("made", counts, lambda c, n: c.withField("tokens", n))
+    )
     return {
-        "error": F.when(text.isNull(), F.lit("no text")),
+        "no_text": F.when(text.isNull(), F.lit("no text")),
         "unusual": has_unusual_space(text),
         "lines": clean_lines(text),
         "headers": header_positions(F.col("lines")),
@@ -72,16 +77,21 @@ def _steps(p: Packing, application: str) -> dict[str, Column]:
         "worded": F.filter(worded, lambda s: s["n_words"] > 0),
         "segments": F.transform("worded", segments_of),
         "prepared": prepared,
-        "measured": p.counter.measure(F.col("prepared")),
-        "chunks": F.filter(chunks, lambda c: F.length(c["text"]) >= p.min_chars),
+        "measured": p.counter.measure(F.col("prepared"), p.chunk_size),
+        "failed": failed,
+        "made": F.filter(made, lambda c: F.length(c["text"]) >= p.min_chars),
+        "counted": p.counter.count_texts(F.transform("made", lambda c: c["text"])),
+        "error": why,
+        "chunks": F.when(why.isNull(), numbered),
     }
 
 
 def chunk_arrays(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
     """One row per document with its chunks as ``array<struct<section, text, tokens>>``.
 
-    ``documents`` has ``doc_key``, ``source_file`` and ``text``. A document without text
-    fails alone: it keeps its row, with an ``error`` and no chunks.
+    ``documents`` has ``doc_key``, ``source_file`` and ``text``. A document without text, or
+    for which the token counter raises, fails alone: it keeps its row, with an ``error`` and
+    no chunks.
     """
     steps = _steps(p, documents.sparkSession.sparkContext.applicationId)
     kept: list[str | Column] = ["doc_key", "source_file"]
@@ -91,18 +101,24 @@ def chunk_arrays(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
 
     # Each step names columns of the one before more than once, which keeps the steps apart
     # in the plan and every array evaluated a single time.
-    rows = add(documents, "error", "unusual", "lines", keep=())
-    kept.append("error")
+    rows = add(documents, "no_text", "unusual", "lines", keep=())
+    kept.append("no_text")
     rows = add(rows, "headers", keep=("unusual", "lines"))
     rows = add(rows, "sections", keep=("unusual",))
     rows = add(rows, "worded", keep=("unusual",))
     rows = add(rows, "segments", keep=("unusual", "worded"))
     rows = add(rows, "prepared", keep=())
     rows = add(rows, "measured", keep=())
-    return add(rows, "chunks", keep=())
+    rows = add(rows, "failed", "made", keep=())
+    kept.remove("no_text")
+    if p.counter.in_python:
+        rows = materialize(rows, steps["counted"], "counted")
+    else:
+        rows = add(rows, "counted", keep=("failed", "made"))
+    return add(rows, "error", "chunks", keep=())
 
 
-def explode_chunks(arrays: DataFrame, p: Packing = Packing()) -> DataFrame:
+def explode_chunks(arrays: DataFrame) -> DataFrame:
     """Chunk rows ``(text, metadata)`` out of ``chunk_arrays``."""
     # The outer form keeps the optimizer from adding a non-empty test below the generator,
     # which would evaluate the whole chunking expression a second time.
@@ -124,7 +140,7 @@ def explode_chunks(arrays: DataFrame, p: Packing = Packing()) -> DataFrame:
             F.col("_total").alias("total_chunks"),
             F.col("_chunk.section").alias("section"),
             F.length("_chunk.text").alias("char_count"),
-            p.counter.chunk_tokens(F.col("_chunk")).alias("token_count"),
+            F.col("_chunk.tokens").alias("token_count"),
             "source_file",
         ).alias("metadata"),
     )
@@ -132,7 +148,7 @@ def explode_chunks(arrays: DataFrame, p: Packing = Packing()) -> DataFrame:
 
 def chunk_documents(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
     """Chunks of all documents as ``(text, metadata)`` rows."""
-    return explode_chunks(chunk_arrays(documents, p), p)
+    return explode_chunks(chunk_arrays(documents, p))
 
 
 def with_chunk_key(chunks: DataFrame) -> DataFrame:
@@ -149,9 +165,9 @@ def document_statistics(documents: DataFrame, p: Packing = Packing()) -> DataFra
         F.col("source_file").alias("filename"),
         "error",
         F.when(F.col("error").isNull(), F.size("chunks")).otherwise(0).alias("chunks"),
-        F.coalesce(p.counter.total_tokens(F.col("chunks")), F.lit(0))
-        .cast("bigint")
-        .alias("tokens"),
+        F.coalesce(
+            F.aggregate("chunks", F.lit(0).cast("bigint"), lambda a, c: a + c["tokens"]), F.lit(0).cast("bigint")
+        ).alias("tokens"),
     )
 
 

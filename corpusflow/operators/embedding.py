@@ -130,10 +130,11 @@ def embed_new(
     """Vectors, by content key, of the distinct texts that ``stored`` does not hold yet.
 
     Appending the result to the stored vectors makes a repeated or broken-off run go on
-    where it stopped. Equal texts meet by their hash first and are combined before the
-    shuffle, so many copies of one text cost one row.
+    where it stopped. Equal texts meet by their hash and are combined before the shuffle, so
+    many copies of one text cost one row.
     """
-    keyed = with_content_key(texts, text)
-    distinct = keyed.groupBy("content_key").agg(F.first(text).alias(text))
-    new = distinct.join(stored.select("content_key"), "content_key", "left_anti")
-    return embed(new, embedder, text)
+    keyed = with_content_key(texts.select(text), text)
+    # Keys alone say what is new; only the texts of these are then moved.
+    new = keyed.select("content_key").distinct().join(stored.select("content_key"), "content_key", "left_anti")
+    fetched = keyed.join(new, "content_key", "left_semi").groupBy("content_key").agg(F.first(text).alias(text))
+    return embed(fetched, embedder, text)

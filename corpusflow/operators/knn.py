@@ -4,12 +4,9 @@ Vectors and questions meet in cells. An exact search has one cell; the approxima
 give each vector some cells and each question the cells to look into. Only the best ``k``
 of each task leave it, so what is shuffled does not grow with the pairs that were scored.
 
-Two ways to bring both sides together, with the same result:
-
-* ``scan``: the questions are small enough to be sent to every task. The vectors stay where
-  they are and no key can become a hot spot.
-* ``grid``: both sides are cut into shards of bounded size within their cell, and each pair
-  of shards meets in one group. Large cells get more shards.
+Questions are sent to the tasks that scan the vectors, which stay where they are, so no key
+can become a hot spot. Questions that are too many or too large for that go in blocks, each
+of which is a scan of its own.
 """
 
 from __future__ import annotations
@@ -27,6 +24,7 @@ from pyspark.sql import types as T
 
 from corpusflow.functions.vectors import SCORE_DIGITS
 from corpusflow.operators.embedding import arrow_to_vectors
+from corpusflow.session import handed_over, shared_folder
 
 # Fixed value: default number of hits.
 TOP_K = 5
@@ -35,14 +33,10 @@ TOP_K = 5
 BROADCAST_QUESTIONS = 50_000
 BROADCAST_BYTES = 256 << 20
 BROADCAST_HITS = 1_000_000
-SHARD_ROWS = 20_000
 # How many scores are held at a time, for how many questions, and how many candidates wait.
 BLOCK_CELLS = 4_000_000
 BLOCK_QUESTIONS = 2_000
 WAITING_ROWS = 2_000_000
-# Hits of one question that the last round of ranking may see, and parts of the round before.
-RANK_ROWS = 2_000_000
-GRID_RANK_GROUPS = 64
 
 
 class Best:
@@ -127,23 +121,16 @@ def rank_hits(hits: DataFrame, k: int, groups: int = 1) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
-def small_enough(questions: DataFrame) -> pa.Table | None:
-    """The questions themselves if they may be sent to every task, else None.
-
-    Never more than ``BROADCAST_QUESTIONS`` + 1 rows reach the driver.
-    """
-    found = questions.limit(BROADCAST_QUESTIONS + 1).toArrow()
-    fits = found.num_rows <= BROADCAST_QUESTIONS and found.nbytes <= BROADCAST_BYTES
-    return found if fits else None
-
-
 def _scan(
     table: pa.Table, vectors: DataFrame, k: int, schema: T.StructType, one_cell: bool
 ) -> DataFrame:
     ids = table.column("question_id").to_pylist()
     matrix = arrow_to_vectors(table.column("embedding").combine_chunks()) if ids else np.zeros((0, 0))
     by_cell: dict[int, list[int]] = {}
+    asking = np.isfinite(matrix).all(axis=1) if ids else []
     for i, cells in enumerate(table.column("cells").to_pylist()):
+        if not asking[i]:
+            continue
         for cell in cells:
             by_cell.setdefault(cell, []).append(i)
     sent = vectors.sparkSession.sparkContext.broadcast(
@@ -163,6 +150,9 @@ def _scan(
             cells = batch.column("cells")
             rows = np.repeat(np.arange(batch.num_rows), np.diff(cells.offsets.to_numpy()))
             flat = cells.flatten().to_numpy(zero_copy_only=False)
+            # A vector with an unknown number has no score and must not take a place.
+            whole = np.isfinite(v_matrix).all(axis=1)[rows]
+            flat, rows = flat[whole], rows[whole]
             order = np.argsort(flat, kind="stable")
             flat, rows = flat[order], rows[order]
             starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else []
@@ -186,119 +176,70 @@ def _scan(
     return vectors.select("vec_key", "embedding", "cells").mapInArrow(run, schema)
 
 
-def _grid(
-    questions: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, one_cell: bool,
-    shard_rows: int,
-) -> DataFrame:
-    # The aliases tell both sides apart even if they come from the same table.
-    q = questions.select(
-        F.col("question_id").alias("question_id"),
-        F.col("embedding").alias("embedding"),
-        F.explode("cells").alias("cell"),
-    )
-    v = vectors.select("vec_key", "embedding", F.explode("cells").alias("cell"))
-
-    def shards_of(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias(name))
-
-    # One row per cell that both sides use. It is left to the engine whether it is small
-    # enough to be broadcast; if not, a hot cell of the join is split at run time.
-    sizes = shards_of(q, "q_shards").join(shards_of(v, "v_shards"), "cell")
-
-    def place(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        """Put a row into its own shard and repeat it for each shard of the other side."""
-        return (
-            rows.join(sizes, "cell")
-            .withColumn(own[:-1], F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
-            .withColumn(other[:-1], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .drop(own, other)
-        )
-
-    meeting = ["cell", "q_shard", "v_shard"]
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left.column("question_id").combine_chunks()
-        keys = right.column("vec_key").combine_chunks()
-        best = Best(k, len(ids), keys.type, repeated=False)
-        if len(ids) and len(keys):
-            _score_block(
-                best,
-                np.arange(len(ids)),
-                arrow_to_vectors(left.column("embedding").combine_chunks()),
-                keys,
-                arrow_to_vectors(right.column("embedding").combine_chunks()),
-            )
-        found = best.compact()
-        return pa.table(
-            [ids.take(found.column("q").combine_chunks()), found.column("key"), found.column("score")],
-            names=["question_id", "vec_key", "score"],
-        )
-
-    hits = (
-        place(q, "question_id", "q_shards", "v_shards")
-        .groupBy(*meeting)
-        .cogroup(place(v, "vec_key", "v_shards", "q_shards").groupBy(*meeting))
-        .applyInArrow(meet, schema)
-    )
-    if one_cell:
-        return hits
-    # A pair may have met in several cells.
-    return hits.groupBy("question_id", "vec_key").agg(F.max("score").alias("score"))
-
-
 def search_cells(
     questions: DataFrame,
     vectors: DataFrame,
     k: int = TOP_K,
     one_cell: bool = False,
-    way: str | None = None,
-    shard_rows: int = SHARD_ROWS,
+    block_questions: int = BROADCAST_QUESTIONS,
     cell_column: str | None = None,
+    rank_groups: int = 1,
+    spread_cells: bool = False,
 ) -> DataFrame:
     """Best ``k`` vectors per question among those that share a cell with it.
 
     ``questions(question_id, embedding, cells)`` and ``vectors(vec_key, embedding, cells)``
-    give ``(question_id, rank, vec_key, score)``. ``one_cell`` states that no vector has
-    more than one cell. ``way`` forces ``scan`` or ``grid``. The hits of few questions are
-    marked for broadcast, so that looking up their chunks does not shuffle the chunks. If
+    give ``(question_id, rank, vec_key, score)``. Vectors and questions with unknown numbers
+    have no hits. ``one_cell`` states that no row of ``vectors`` has more than one cell, and
+    ``spread_cells`` that rows of one vector stand apart, one for each cell.
+
+    Questions are computed once, into the shared folder, and measured there. Up to
+    ``block_questions`` and ``BROADCAST_BYTES`` of them go to all tasks at a time; with more
+    than one such block every block's hits are written before the next is scanned. Otherwise
+    nothing of the vectors is read before the result is. The hits of few questions are marked
+    for broadcast, so that looking up their chunks does not shuffle the chunks. If
     ``cell_column`` names the one cell of a vector, unasked cells are filtered out by it,
-    which skips their files in a table partitioned by that column.
+    which skips their files in a table partitioned by that column. With very many tasks,
+    ``rank_groups`` parts of each question are ranked before the whole.
     """
-    if way not in (None, "scan", "grid"):
-        raise ValueError(f"unknown way: {way}")
     known = F.col("embedding").isNotNull()
-    questions = questions.select("question_id", "embedding", "cells").filter(known)
+    questions = handed_over(questions.select("question_id", "embedding", "cells").filter(known), "questions")
     vectors = vectors.filter(known)
     schema = _hits_schema(
         questions.schema["question_id"].dataType, vectors.schema["vec_key"].dataType
     )
-    columns = ("question_id", "rank", "vec_key", "score")
-    sent = None if way == "grid" else small_enough(questions)
-    if sent is None and way == "scan":
-        raise ValueError("too many questions to send to every task")
-    if sent is None:
-        hits = _grid(questions, vectors, k, schema, one_cell, shard_rows)
-        return rank_hits(hits, k, GRID_RANK_GROUPS).select(*columns)
-    if cell_column:
-        asked = {c for cells in sent.column("cells").to_pylist() for c in cells}
-        vectors = vectors.filter(F.col(cell_column).isin(sorted(asked)))
-    hits = _scan(sent, vectors, k, schema, one_cell)
-    groups = math.ceil(vectors.rdd.getNumPartitions() * k / RANK_ROWS)
-    ranked = rank_hits(hits, k, groups).select(*columns)
-    return F.broadcast(ranked) if sent.num_rows * k <= BROADCAST_HITS else ranked
-
-
-def search_exact(
-    questions: DataFrame, vectors: DataFrame, k: int = TOP_K, way: str | None = None,
-    shard_rows: int = SHARD_ROWS,
-) -> DataFrame:
-    """Best ``k`` of all vectors for each question."""
+    count, numbers = questions.agg(F.count("*"), F.sum(F.size("embedding") + F.size("cells"))).first()
+    blocks = max(1, math.ceil(count / block_questions), math.ceil(8 * (numbers or 0) / BROADCAST_BYTES))
+    block = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+
+    def hits_of(b: int) -> DataFrame:
+        sent = questions.filter(block == b).toArrow()
+        rows = vectors
+        if cell_column:
+            asked = {c for cells in sent.column("cells").to_pylist() for c in cells}
+            rows = vectors.filter(F.col(cell_column).isin(sorted(asked)))
+        return _scan(sent, rows, k, schema, one_cell and not spread_cells)
+
+    if blocks == 1:
+        hits = hits_of(0)
+    else:
+        path = shared_folder(questions.sparkSession, "hits")
+        for b in range(blocks):
+            hits_of(b).write.mode("append").parquet(path)
+        hits = questions.sparkSession.read.schema(schema).parquet(path)
+    if spread_cells:
+        hits = hits.groupBy("question_id", "vec_key").agg(F.max("score").alias("score"))
+    ranked = rank_hits(hits, k, rank_groups).select("question_id", "rank", "vec_key", "score")
+    return F.broadcast(ranked) if count * k <= BROADCAST_HITS else ranked
+
+
+def search_exact(questions: DataFrame, vectors: DataFrame, k: int = TOP_K, **options) -> DataFrame:
+    """Best ``k`` of all vectors for each question; see ``search_cells`` for the options."""
     everywhere = F.array(F.lit(0).cast("bigint")).alias("cells")
     return search_cells(
         questions.select("question_id", "embedding", everywhere),
         vectors.select("vec_key", "embedding", everywhere),
         k,
         one_cell=True,
-        way=way,
-        shard_rows=shard_rows,
+        **options,
     )

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corpusflow.functions.text import strip
 from corpusflow.operators.search import search
+from corpusflow.sources.chunk_store import key_bucket
 
 # Wording and layout of context, citations and prompts.
 CONTEXT_TITLE = "RELEVANT RESEARCH CONTEXT:\n\n"
@@ -41,9 +42,7 @@ When answering:
 
 Remember: Your goal is to make astrophysics accessible and exciting for everyone!"""
 ERROR_ANSWER = "Sorry, I encountered an error: "
-# Settings for the answer model that the caller supplies.
-TEMPERATURE = 0.7
-MAX_ANSWER_TOKENS = 1024
+# The questions that are offered as examples.
 EXAMPLE_QUESTIONS = (
     "What are gamma-ray bursts?",
     "Explain dark matter in simple terms",
@@ -70,12 +69,14 @@ def example_questions(spark: SparkSession) -> DataFrame:
 def retrieve(hits: DataFrame, chunks: DataFrame, with_text: bool = False) -> DataFrame:
     """Add the metadata of the chunks, and their text if asked for, to hits.
 
-    ``chunks(chunk_key, text, metadata)``; text is only read ``with_text``.
+    ``chunks(chunk_key, text, metadata)``; text is only read ``with_text``. Of a stored chunk
+    table only the folders with the keys of the hits are read.
     """
     columns = ["chunk_key", "metadata"] + (["text"] if with_text else [])
-    found = hits.withColumnRenamed("vec_key", "chunk_key").join(
-        chunks.select(*columns), "chunk_key"
-    )
+    keyed, key = hits.withColumnRenamed("vec_key", "chunk_key"), ["chunk_key"]
+    if "key_bucket" in chunks.columns:
+        keyed, key = keyed.withColumn("key_bucket", key_bucket(F.col("chunk_key"))), ["key_bucket", "chunk_key"]
+    found = keyed.join(chunks.select(*columns, *key[:-1]), key)
     return found.select(
         "question_id",
         "rank",

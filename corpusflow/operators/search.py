@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.vectors import score
-from corpusflow.operators.ivf import assign_cells, search_ivf, train_centroids
+from corpusflow.functions.vectors import finite, score
+from corpusflow.operators.ivf import assign_cells, collect_centroids, search_ivf, train_centroids
 from corpusflow.operators.knn import TOP_K, search_exact
 from corpusflow.operators.lsh import search_lsh
 
@@ -18,22 +18,32 @@ METHODS = ("flat", "ivf", "hnsw")
 def search(
     questions: DataFrame, vectors: DataFrame, k: int = TOP_K, method: str = "flat", **options
 ) -> DataFrame:
-    """Best ``k`` vectors per question as ``(question_id, rank, vec_key, score)``."""
+    """Best ``k`` vectors per question as ``(question_id, rank, vec_key, score)``.
+
+    ``ivf`` takes ``centroids``, a table of them or an array, if ``vectors`` has the ``cell_id`` that
+    they gave; without them it trains ``cells`` centroids first.
+    """
     if method not in METHODS:
         raise ValueError(f"Unknown index type: {method}")
     if method == "flat":
         return search_exact(questions, vectors, k, **options)
     if method == "hnsw":
         return search_lsh(questions, vectors, k, **options)
-    centroids = train_centroids(vectors)
-    return search_ivf(questions, assign_cells(vectors, centroids), centroids, k, **options)
+    centroids, cells = options.pop("centroids", None), options.pop("cells", None)
+    if centroids is None:
+        centroids = train_centroids(vectors, cells)
+        vectors = assign_cells(vectors, centroids)
+    elif isinstance(centroids, DataFrame):
+        centroids = collect_centroids(centroids)
+    return search_ivf(questions, vectors, centroids, k, **options)
 
 
 def search_one(vectors: DataFrame, question: list[float], k: int = TOP_K) -> DataFrame:
     """Best ``k`` vectors for a single question vector."""
     asked = F.array(*[F.lit(float(x)) for x in question])
     return (
-        vectors.select("vec_key", score(F.col("embedding"), asked).alias("score"))
+        vectors.filter(finite(F.col("embedding")))
+        .select("vec_key", score(F.col("embedding"), asked).alias("score"))
         .orderBy(F.desc("score"), F.asc("vec_key"))
         .limit(k)
     )

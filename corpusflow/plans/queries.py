@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import clean, packing, sections
 from corpusflow.functions.packing import Packing
-from corpusflow.functions.tokens import WordCounter
+from corpusflow.functions.tokens import FunctionCounter, WordCounter
 from corpusflow.functions.vectors import l2_normalize, score
 from corpusflow.operators import chunking, ivf, retrieval, search
-from corpusflow.operators.embedding import HashedWords, embed, embed_new, with_content_key
-from corpusflow.operators.lsh import search_lsh
+from corpusflow.operators.embedding import HashedWords, Model, embed, embed_new, with_content_key
+from corpusflow.operators.lsh import search_buckets
 from corpusflow.plans import tables
-from corpusflow.session import shared_folder
+from corpusflow.session import handed_over, shared_folder
 from corpusflow.sources import chunk_store, text_files, vector_store
 from corpusflow.streaming.ingest import start_chunk_stream
 
@@ -63,26 +63,34 @@ def _flat(chunks: DataFrame) -> DataFrame:
 
 def write_files(files: DataFrame, folder: str) -> None:
     """Write ``(name, content)`` rows as files, each by the task that holds its row."""
+    context = files.sparkSession.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(folder)
+    # A folder without a scheme is one of the file system that the cluster has by default.
+    whole = hadoop.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        system, path = fs.FileSystem.from_uri(whole)
         for batch in batches:
             for name, content in zip(batch.column("name"), batch.column("content")):
                 with system.open_output_stream(f"{path}/{name.as_py()}") as out:
                     out.write(content.as_py())
             yield pa.RecordBatch.from_pydict({"written": pa.array([batch.num_rows], pa.int64())})
 
-    system, path = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+    system, path = fs.FileSystem.from_uri(whole)
     system.create_dir(path, recursive=True)
     files.mapInArrow(run, "written bigint").agg(F.sum("written")).first()
 
 
 @query
 def corpus_scan(spark, folder):
-    """Papers written as files, with foreign line ends and a broken byte, and read back."""
-    raw = F.concat(
-        F.encode(F.concat("text", F.lit("\r\nlast\rline")), "UTF-8"), F.unhex(F.lit("FF"))
-    )
+    """Papers written as files and read back.
+
+    They have foreign line ends, replacement characters of their own and, but for every third, a
+    byte that is not UTF-8; every seventh file is empty.
+    """
+    whole = F.encode(F.concat("text", F.lit("\ufffd\r\nlast\rline")), "UTF-8")
+    broken = F.when(F.col("doc_key") % 3 == 0, whole).otherwise(F.concat(whole, F.unhex(F.lit("FF"))))
+    raw = F.when(F.col("doc_key") % 7 == 0, F.lit("").cast("binary")).otherwise(broken)
     name = F.concat(F.col("doc_key").cast("string"), F.lit(".v1.txt"))
     out = shared_folder(spark, "papers")
     write_files(tables.papers(spark, folder).select(name.alias("name"), raw.alias("content")), out)
@@ -103,7 +111,7 @@ def failed_documents(spark, folder):
         F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"),
         F.when(F.col("lang") != "de", F.col("text")).alias("text"),
     )
-    statistics = chunking.document_statistics(tables.spread(rows, "doc_key"))
+    statistics = chunking.document_statistics(rows)
     return statistics.filter(F.col("error").isNotNull()).select(
         "doc_key", "filename", "error", *_big("chunks", "tokens")
     )
@@ -118,33 +126,48 @@ def chunks_json_roundtrip(spark, folder):
 
 @query
 def vector_table(spark, folder):
-    out = shared_folder(spark, "cells")
-    rows = tables.vectors(spark, folder).select("vec_key", "embedding")
-    vector_store.write_vectors(ivf.assign_cells(rows, _label_centroids(spark, folder)), out)
-    return vector_store.read_vectors(spark, out).select(
+    stored, _ = tables.stored_cells(spark, folder)
+    return stored.select(
         "vec_key", *_big("cell_id"), F.size("embedding").cast("bigint").alias("dimension")
     )
 
 
 @query
 def index_config(spark, folder):
-    config = vector_store.index_config(tables.vectors(spark, folder), "driver-vectors")
+    out = shared_folder(spark, "index-config")
+    vector_store.write_index_config(tables.vectors(spark, folder), "driver-vectors", out)
+    config = vector_store.read_index_config(spark, out)
     return config.select("model_name", *_big("embedding_dimension", "total_vectors"), "index_type")
 
 
 @query
 def embed_incremental(spark, folder):
-    """An earlier run has stored the English papers; the rest is embedded now."""
-    rows = tables.table(spark, folder, "documents").select("doc_id", "lang", "text")
-    texts = tables.spread(rows, "doc_id")
-    stored = with_content_key(texts.filter(F.col("lang") == "en"))
-    new = embed_new(texts.select("text"), stored, HashedWords())
-    return new.select(
+    """The English papers are stored first, all papers later, and once more; no text twice."""
+    rows = tables.table(spark, folder, "documents").select("lang", "text")
+    out = shared_folder(spark, "content-vectors")
+    first = with_content_key(rows.filter("lang = 'en'").select("text")).dropDuplicates(["content_key"])
+    vector_store.write_vectors(embed(first, HashedWords()), out)
+    for _ in range(2):
+        new = embed_new(rows, vector_store.read_vectors(spark, out), HashedWords())
+        vector_store.append_vectors(handed_over(new, "new-vectors"), out)
+    return vector_store.read_vectors(spark, out).select(
         "content_key",
         F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("used_buckets"),
     )
 
 
+def shape_model():
+    """A stand-in for an embedding model: how long a text is, and how many words it has."""
+    return lambda texts: [[len(t), len(t.split(" ")), 1.0] for t in texts]
+
+
+@query
+def embed_model(spark, folder):
+    rows = embed(tables.papers(spark, folder).select("doc_key", "text"), Model(shape_model))
+    entries = _numbered(rows, F.col("embedding"), "i", "x", "doc_key")
+    return entries.select("doc_key", "i", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
 # Cleaning
 
 
@@ -253,6 +276,62 @@ def chunk_sections(spark, folder):
     return _flat(chunking.chunk_documents(tables.sectioned_papers(spark, folder), TINY))
 
 
+def forty_per_word():
+    """A counter by which texts have more tokens than bytes."""
+    return lambda text: 40 * len(text.split())
+
+
+@query
+def chunk_documents_counted(spark, folder):
+    """The chunking job with a counter of one's own."""
+    counted = Packing(chunk_size=64 * 40, overlap=40, counter=FunctionCounter(forty_per_word))
+    return _flat(chunking.chunk_documents(tables.papers(spark, folder), counted))
+
+
+def refuses_bars():
+    """A counter that raises, as encoders do on reserved signs."""
+
+    def count(text):
+        if "|" in text:
+            raise ValueError("reserved sign")
+        return len(text.split())
+
+    return count
+
+
+@query
+def failed_documents_counted(spark, folder):
+    """Papers for which the counter raises fail alone."""
+    counted = Packing(counter=FunctionCounter(refuses_bars))
+    statistics = chunking.document_statistics(tables.papers(spark, folder), counted)
+    return statistics.select("filename", "error", *_big("chunks", "tokens"))
+
+
+@query
+def split_by_paragraphs(spark, folder):
+    """Texts over the budget that have several paragraphs are packed by these."""
+    text = F.replace(F.col("text"), F.lit(". "), F.lit(".\n \t\n "))
+    rows = tables.papers(spark, folder).withColumn("text", text)
+    chunks = packing.recursive_split(rows, "text", "chunks", SMALL)
+    return _numbered(chunks, F.col("chunks"), "chunk_no", "chunk", "doc_key")
+
+
+@query
+def chunk_run(spark, folder):
+    """A whole chunking job as stored: totals and settings, read back."""
+    rows, out = tables.papers(spark, folder), shared_folder(spark, "run")
+    chunks = chunking.with_chunk_key(chunking.chunk_documents(rows, SMALL))
+    config = {"chunk_size": SMALL.chunk_size, "chunk_overlap": SMALL.overlap, "encoding": "words"}
+    chunk_store.write_run(chunks, chunking.document_statistics(rows, SMALL), config, out)
+    run = chunk_store.read_run(spark, out)
+    totals = run["statistics"].withColumn("avg_chunk_size", F.round("avg_chunk_size", 6))
+    stored = run["chunks"].agg(F.count("*").alias("stored_chunks"))
+    # One row each.
+    rows = totals.withColumn("one", F.lit(1)).join(run["config"].withColumn("one", F.lit(1)), "one")
+    rows = rows.join(stored.withColumn("one", F.lit(1)), "one").drop("one")
+    return rows.withColumns({c: F.col(c).cast("bigint") for c in ("chunk_size", "chunk_overlap")})
+
+
 @query
 def chunk_metadata(spark, folder):
     return _flat(chunking.chunk_documents(tables.marked_papers(spark, folder), SMALL)).drop("text")
@@ -314,7 +393,6 @@ def stream_chunks(spark, folder):
         "text",
     )
     out = shared_folder(spark, "stream")
-    rows = tables.spread(rows, "doc_key", stored)
     start_chunk_stream(rows, f"{out}/chunks", f"{out}/state").awaitTermination()
     return _flat(spark.read.parquet(f"{out}/chunks"))
 
@@ -344,7 +422,7 @@ def l2_normalize_vectors(spark, folder):
 @query
 def cosine_scores(spark, folder):
     """Each vector against the mean direction of its label."""
-    means = tables.label_vectors(spark, folder).withColumnRenamed("embedding", "mean")
+    means = tables.small(tables.label_vectors(spark, folder).withColumnRenamed("embedding", "mean"))
     scored = tables.vectors(spark, folder).join(means, "label")
     return scored.select("vec_key", "label", (score(F.col("embedding"), F.col("mean")) + 0.0).alias("score"))
 
@@ -371,9 +449,18 @@ def knn_exact(spark, folder):
 
 @query
 def knn_grid(spark, folder):
-    """The same search in shards, as for more questions than can be sent around."""
+    """The same search in blocks, as for more questions than can be sent around."""
     asked, rows = _label_questions(spark, folder), tables.vectors(spark, folder)
-    return _hits(search.search_exact(asked, rows, way="grid"))
+    return _hits(search.search_exact(asked, rows, block_questions=3))
+
+
+@query
+def knn_unknown(spark, folder):
+    """Vectors with an unknown number take no place from others."""
+    broken = F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice("embedding", 2, QUESTION_DIMENSION))
+    rows = tables.vectors(spark, folder)
+    rows = rows.withColumn("embedding", F.when(F.col("vec_key") % 3 == 0, broken).otherwise(F.col("embedding")))
+    return _hits(search.search(_label_questions(spark, folder), rows))
 
 
 @query
@@ -396,15 +483,12 @@ def _text_questions(spark, folder) -> DataFrame:
 
 
 def _ivf_hits(spark, folder) -> DataFrame:
-    centroids = _label_centroids(spark, folder)
-    assigned = ivf.assign_cells(tables.vectors(spark, folder).select("vec_key", "embedding"), centroids)
-    return ivf.search_ivf(_text_questions(spark, folder), assigned, centroids, nprobe=PROBES)
+    stored, centroids = tables.stored_cells(spark, folder)
+    return search.search(_text_questions(spark, folder), stored, method="ivf", centroids=centroids, nprobe=PROBES)
 
 
 def _lsh_hits(spark, folder) -> DataFrame:
-    return search_lsh(
-        _text_questions(spark, folder), tables.vectors(spark, folder), tables=TABLES, bits=BITS
-    )
+    return search_buckets(_text_questions(spark, folder), tables.stored_buckets(spark, folder, TABLES, BITS))
 
 
 @query
@@ -417,6 +501,16 @@ def knn_lsh(spark, folder):
     return _hits(_lsh_hits(spark, folder))
 
 
+@query
+def search_hnsw(spark, folder):
+    """The approximate search as the selector offers it, over vectors that are not stored by bucket."""
+    return _hits(
+        search.search(
+            _text_questions(spark, folder), tables.vectors(spark, folder), method="hnsw", tables=TABLES, bits=BITS
+        )
+    )
+
+
 @query
 def knn_recall(spark, folder):
     """Recall of both approximate searches against the exact one."""
@@ -430,10 +524,10 @@ def knn_recall(spark, folder):
 
 @query
 def knn_ivf_trained(spark, folder):
-    """Cells from k-means over all vectors."""
+    """Cells from k-means over all vectors; a question that looks into all finds what there is."""
     return _hits(
         search.search(
-            _text_questions(spark, folder), tables.vectors(spark, folder), method="ivf", nprobe=PROBES
+            _text_questions(spark, folder), tables.vectors(spark, folder), method="ivf", nprobe=ivf.MAX_CELLS
         )
     )
 

@@ -6,45 +6,46 @@ folder, like the stages of a batch job that hand over through files.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.vectors import l2_normalize
 from corpusflow.operators.chunking import chunk_documents, with_chunk_key
 from corpusflow.operators.embedding import HashedWords, embed
-from corpusflow.session import shared_folder
+from corpusflow.operators.ivf import assign_cells, collect_centroids
+from corpusflow.operators.lsh import write_buckets
+from corpusflow.session import handed_over, shared_folder
 from corpusflow.sources.chunk_store import write_chunks
-from corpusflow.sources.vector_store import write_vectors
+from corpusflow.sources.vector_store import read_centroids, read_vectors, write_centroids, write_vectors
 
 MARKED_HEAD = "[opt]x\n\\documentclass[a]{b}\\usepackage{c}\n\\begin{document} \\section*{A   title}\n"
 MARKED_TAIL = "\n\\cite{k} \\ref{r}\\label{l}  \\alpha_{x}\n  [z] keep?\nab\n\n\n\ndocument\n\\end{document}\n"
 
-_stored: dict[tuple[str, str, str], str] = {}
+# Rows up to which a derived table is marked for broadcast.
+SMALL_ROWS = 10_000
+
+_stored: dict[tuple[str, str, str, str], str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(rows: DataFrame, key: str, read: DataFrame | None = None) -> DataFrame:
-    """Use all cores for a table of fewer file splits than cores; large tables stay as read.
-
-    The splits are those of ``read``, for a stream of the files of that table.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if (read or rows).rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, key)
+def small(rows: DataFrame) -> DataFrame:
+    """``rows``, computed once and counted; marked for broadcast if there are few."""
+    held = handed_over(rows, "small")
+    return F.broadcast(held) if held.count() <= SMALL_ROWS else held
 
 
 def papers(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` as papers ``(doc_key, source_file, text)``."""
-    rows = table(spark, folder, "documents").select(
+    return table(spark, folder, "documents").select(
         F.col("doc_id").alias("doc_key"),
         F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"),
         "text",
     )
-    return spread(rows, "doc_key")
 
 
 def marked_papers(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,10 +60,9 @@ def sectioned_papers(spark: SparkSession, folder: str) -> DataFrame:
     text = F.concat_ws(
         "\n", "text", "role", "text", F.lit("Results\nDiscussion"), "text", F.lit("1. Last part"), "text"
     )
-    rows = table(spark, folder, "conversations").select(
+    return table(spark, folder, "conversations").select(
         turn.alias("doc_key"), F.concat(turn, F.lit(".txt")).alias("source_file"), text.alias("text")
     )
-    return spread(rows, "doc_key")
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,52 +77,71 @@ def question_vectors(spark: SparkSession, folder: str, dimension: int) -> DataFr
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """``embeddings`` as vectors ``(vec_key, embedding, label)``."""
-    rows = table(spark, folder, "embeddings").select(
+    return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("vec_key"), "embedding", F.col("label").cast("bigint").alias("label")
     )
-    return spread(rows, "vec_key")
 
 
 def mean_vectors(rows: DataFrame, key: str) -> DataFrame:
     """Unit vector in the direction of the mean of each group: ``(key, embedding)``."""
-    means = (
-        rows.select(key, F.posexplode("embedding").alias("i", "x"))
-        .groupBy(key, "i")
-        .agg(F.avg("x").alias("x"))
-    )
-    # One row per dimension and group is left here.
-    ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
-    mean = F.transform(ordered, lambda s: s["x"])
-    return means.groupBy(key).agg(mean.alias("m")).select(
-        key, l2_normalize(F.col("m")).alias("embedding")
-    )
+    mean = Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))
+    means = rows.groupBy(key).agg(vector_to_array(mean).alias("m"))
+    return means.select(key, l2_normalize(F.col("m")).alias("embedding"))
 
 
 def label_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return mean_vectors(vectors(spark, folder), "label")
 
 
-def _store(spark: SparkSession, folder: str, name: str, write) -> DataFrame:
-    key = (spark.sparkContext.applicationId, folder, name)
+def _state(spark: SparkSession, path: str) -> str:
+    """The files of a table with their lengths and times; changed data has another state."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    listed = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
+    return str(tuple(listed.first()))
+
+
+def _store(spark: SparkSession, folder: str, source: str, name: str, write) -> str:
+    """Path of a derived table or index, written once for each state of its source."""
+    key = (spark.sparkContext.applicationId, name, folder, _state(spark, f"{folder}/{source}.parquet"))
     if key not in _stored:
         path = shared_folder(spark, name)
         write(path)
         _stored[key] = path
-    return spark.read.parquet(_stored[key])
+    return _stored[key]
 
 
 def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """The chunk table of the papers: ``(text, metadata, chunk_key)``."""
-    return _store(
-        spark, folder, "chunks",
-        lambda path: write_chunks(with_chunk_key(chunk_documents(papers(spark, folder))), path),
+    """The chunk table of the papers: ``(text, metadata, chunk_key, key_bucket)``."""
+    return spark.read.parquet(
+        _store(
+            spark, folder, "documents", "chunks",
+            lambda path: write_chunks(with_chunk_key(chunk_documents(papers(spark, folder))), path),
+        )
     )
 
 
 def stored_chunk_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of the chunk table: ``(vec_key, embedding)``."""
     texts = stored_chunks(spark, folder).select(F.col("chunk_key").alias("vec_key"), "text")
+    return spark.read.parquet(
+        _store(spark, folder, "documents", "chunk-vectors", lambda path: write_vectors(embed(texts, HashedWords()), path))
+    )
+
+
+def stored_cells(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors parted by cell, and the centroids: the mean directions of the labels."""
+
+    def write(path: str) -> None:
+        write_centroids(label_vectors(spark, folder).withColumnRenamed("label", "cell_id"), f"{path}/centroids")
+        centroids = collect_centroids(read_centroids(spark, f"{path}/centroids"))
+        write_vectors(assign_cells(vectors(spark, folder).select("vec_key", "embedding"), centroids), f"{path}/vectors")
+
+    path = _store(spark, folder, "embeddings", "cells", write)
+    return read_vectors(spark, f"{path}/vectors"), read_centroids(spark, f"{path}/centroids")
+
+
+def stored_buckets(spark: SparkSession, folder: str, tables: int, bits: int) -> str:
+    """Path of the vectors stored by hash bucket."""
     return _store(
-        spark, folder, "chunk-vectors",
-        lambda path: write_vectors(embed(spread(texts, "vec_key"), HashedWords()), path),
+        spark, folder, "embeddings", f"buckets-{tables}-{bits}", lambda path: write_buckets(vectors(spark, folder), path, tables, bits)
     )

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.operators.chunking import corpus_statistics
+
 # Layout of a chunk file.
 METADATA = (
     "struct<paper_id:string,chunk_index:int,total_chunks:int,section:string,char_count:int,"
     "token_count:int,source_file:string>"
 )
 CHUNK_SCHEMA = f"text string, metadata {METADATA}"
+CONFIG_SCHEMA = "chunk_size int, chunk_overlap int, encoding string"
+TOTALS_SCHEMA = "total_documents long, total_chunks long, total_tokens long, avg_chunk_size double"
 CHUNK_FILE_SCHEMA = f"""
     chunks array<struct<text:string,metadata:{METADATA}>>,
     statistics struct<total_documents:int,total_chunks:int,total_tokens:bigint,
@@ -20,13 +24,43 @@ CHUNK_FILE_SCHEMA = f"""
 """
 
 
+# Folders that a stored chunk table is parted into by key; lookups read those that they need.
+KEY_BUCKETS = 16
+
+
+def key_bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Write chunks with their key as Parquet, with filters for single-key lookups."""
-    (
-        chunks.write.option("parquet.bloom.filter.enabled#chunk_key", "true")
-        .mode("overwrite")
-        .parquet(path)
-    )
+    """Write chunks with their key as Parquet, parted by ``key_bucket``.
+
+    Tasks write the buckets of the chunks they hold, so nothing is shuffled.
+    """
+    bucketed = chunks.withColumn("key_bucket", key_bucket(F.col("chunk_key")))
+    bucketed.write.mode("overwrite").partitionBy("key_bucket").parquet(path)
+
+
+def write_run(chunks: DataFrame, statistics: DataFrame, config: dict[str, int | str], path: str) -> None:
+    """Write a chunking job: its chunks, what it says about each document, totals and settings.
+
+    ``statistics`` is that of ``document_statistics``; each of the four is a table of its own.
+    """
+    write_chunks(chunks, f"{path}/chunks")
+    statistics.write.mode("overwrite").parquet(f"{path}/documents")
+    stored = chunks.sparkSession.read.parquet(f"{path}/documents")
+    corpus_statistics(stored).write.mode("overwrite").json(f"{path}/statistics")
+    chunks.sparkSession.createDataFrame([config]).coalesce(1).write.mode("overwrite").json(f"{path}/config")
+
+
+def read_run(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a stored chunking job by name: chunks, documents, statistics, config."""
+    return {
+        "chunks": spark.read.parquet(f"{path}/chunks"),
+        "documents": spark.read.parquet(f"{path}/documents"),
+        "statistics": spark.read.schema(TOTALS_SCHEMA).json(f"{path}/statistics"),
+        "config": spark.read.schema(CONFIG_SCHEMA).json(f"{path}/config"),
+    }
 
 
 def write_chunks_json(chunks: DataFrame, path: str) -> None:

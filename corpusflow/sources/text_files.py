@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,19 @@ FILE_PATTERN = "*.txt"
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
+# Stands for a replacement character that a broken file holds itself, while its bytes that are
+# not UTF-8 are taken out; no text has this.
+MASK = "\x00\x02fffd\x03\x00"
+
+
 def decode(content: Column) -> Column:
     """UTF-8 text of raw bytes with Unix line ends; bytes that are not UTF-8 are dropped."""
-    valid = F.make_valid_utf8(content.cast("string"))
-    return F.regexp_replace(F.replace(valid, F.lit("�"), F.lit("")), "\r\n?", "\n")
+    text = content.cast("string")
+    # As Latin-1 every byte is one character, so bytes can be replaced.
+    latin = F.replace(F.decode(content, "ISO-8859-1"), F.lit("\u00ef\u00bf\u00bd"), F.lit(MASK))
+    masked = F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
+    repaired = F.replace(F.replace(masked, F.lit("\ufffd"), F.lit("")), F.lit(MASK), F.lit("\ufffd"))
+    return F.regexp_replace(F.when(F.is_valid_utf8(text), text).otherwise(repaired), "\r\n?", "\n")
 
 
 def file_stem(name: Column) -> Column:
@@ -31,10 +42,17 @@ def as_documents(files: DataFrame) -> DataFrame:
 def read_papers(spark: SparkSession, folder: str) -> DataFrame:
     """Documents ``(doc_key, source_file, text)`` of the files directly in a folder.
 
-    Spark's file sources skip empty files, so those do not count as documents.
+    Spark's scan skips empty files. They are what its listing has beyond the scan, and count as
+    documents with an empty text.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", FILE_PATTERN).load(folder)
-    return as_documents(files)
+    listed = spark.createDataFrame([(unquote(p.rsplit("/", 1)[-1]),) for p in files.inputFiles()], "name string")
+    read = files.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    empty = listed.join(read, "name", "left_anti").select(
+        F.col("name").alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"),
+        F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content"),
+    )
+    return as_documents(files.unionByName(empty))
 
 
 def stream_papers(spark: SparkSession, folder: str, files_per_batch: int = 10_000) -> DataFrame:

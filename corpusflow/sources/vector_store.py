@@ -29,6 +29,25 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_centroids(centroids: DataFrame, path: str) -> None:
+    """Write the centroids ``(cell_id, embedding)`` that a vector table was parted by."""
+    centroids.select("cell_id", "embedding").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_centroids(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def write_index_config(vectors: DataFrame, model_name: str, path: str, method: str = "flat") -> None:
+    """Write the record of ``index_config`` beside an index."""
+    index_config(vectors, model_name, method).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_index_config(spark: SparkSession, path: str) -> DataFrame:
+    kinds = "model_name string, embedding_dimension int, total_vectors long, index_type string"
+    return spark.read.schema(kinds).json(path)
+
+
 def index_config(vectors: DataFrame, model_name: str, method: str = "flat") -> DataFrame:
     """One row: model, dimension, number of vectors and kind of index."""
     return vectors.agg(

@@ -65,3 +65,25 @@ def test_function_counter_gives_the_same_as_words(spark):
         plain = f(papers(spark), Packing(60, 12))
         counted = f(papers(spark), Packing(60, 12, counter=words))
         assert sorted(map(str, counted.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_a_counter_that_raises_fails_one_document(spark):
+    def factory():
+        def count(text):
+            if "|" in text:
+                raise ValueError("reserved sign")
+            return 7 * len(text)
+
+        return count
+
+    rows = [("a", "a.txt", "plain words. " * 40), ("b", "b.txt", "bad | sign. " * 40), ("c", "c.txt", None), ("d", "d.txt", "")]
+    table = spark.createDataFrame(rows, "doc_key string, source_file string, text string")
+    p = Packing(chunk_size=600, overlap=90, counter=FunctionCounter(factory))
+    stats = {r.doc_key: r for r in chunking.document_statistics(table, p).collect()}
+    assert {k: r.error for k, r in stats.items()} == {"a": None, "b": "token counter failed: reserved sign", "c": "no text", "d": None}
+    chunks = chunking.chunk_documents(table, p).collect()
+    assert {r.metadata.paper_id for r in chunks} == {"a"} and stats["a"].chunks == len(chunks) > 5
+    assert all(r.metadata.token_count == 7 * len(r.text) for r in chunks)
+    assert stats["a"].tokens == sum(r.metadata.token_count for r in chunks)
+    failed = chunking.failed_documents(chunking.chunk_arrays(table, p)).collect()
+    assert sorted(r.doc_key for r in failed) == ["b", "c"]

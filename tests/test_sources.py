@@ -28,12 +28,21 @@ def folder(tmp_path):
 
 def test_papers_of_a_folder(spark, folder):
     rows = {r.doc_key: r for r in text_files.read_papers(spark, str(folder)).collect()}
-    assert set(rows) == {"0810.1v2", "long"}  # file sources skip empty files
+    assert set(rows) == {"0810.1v2", "long", "empty"} and rows["empty"].text == ""
     assert rows["0810.1v2"].source_file == "0810.1v2.txt"
     raw = (folder / "0810.1v2.txt").open(encoding="utf-8", errors="ignore").read()
     assert rows["0810.1v2"].text == raw == "one\ntwo\nthree  é\n"
 
 
+def test_replacement_characters_of_a_text_stay(spark, tmp_path):
+    cases = {"valid": "a\ufffdb\r\n".encode(), "broken": b"\xff\xef\xbf\xbd\xe2\x82x\xef\xbf\xbd\xef\xbf", "é ü": b"\xc3"}
+    for name, content in cases.items():
+        (tmp_path / f"{name}.txt").write_bytes(content)
+    (tmp_path / "no thing é.txt").write_bytes(b"")
+    rows = {r.doc_key: r.text for r in text_files.read_papers(spark, str(tmp_path)).collect()}
+    assert rows == {"valid": "a\ufffdb\n", "broken": "\ufffdx\ufffd", "é ü": "", "no thing é": ""}
+
+
 @pytest.mark.parametrize("name", ["a.txt", "a.b.txt", ".txt", "a", "a.", "..a.txt"])
 def test_file_stem(value, name):
     from pathlib import Path

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.vectors import l2_normalize, score
 from corpusflow.operators import embedding, ivf, knn, lsh, search
+from corpusflow.sources import vector_store
 
 DIM, N, Q, K = 16, 400, 30, 5
 
@@ -44,9 +45,12 @@ def found(hits):
     return {tuple(r) for r in hits.collect()}
 
 
-@pytest.mark.parametrize("way", ["scan", "grid"])
-def test_exact(tables, data, way):
-    hits = search.search_exact(*tables, K, way=way, shard_rows=40)
+BLOCKS = pytest.mark.parametrize("block", [50_000, 7])
+
+
+@BLOCKS
+def test_exact(tables, data, block):
+    hits = search.search_exact(*tables, K, block_questions=block)
     assert found(hits) == brute(data)
 
 
@@ -73,8 +77,8 @@ def test_first_round_of_ranking_changes_nothing(spark, tables, data):
     assert found(ranked) == brute(data)
 
 
-@pytest.mark.parametrize("way", ["scan", "grid"])
-def test_ivf(tables, data, way):
+@BLOCKS
+def test_ivf(tables, data, block):
     questions, vectors = tables
     centroids = ivf.train_centroids(vectors)
     assert centroids.shape == (ivf.cell_count(N), DIM) == (20, DIM)
@@ -82,18 +86,81 @@ def test_ivf(tables, data, way):
     cell = np.argmax(np.round(data @ centroids.T, 6), axis=1)
     for nprobe in (1, 3):
         near = np.argsort(-np.round(data[:Q] @ centroids.T, 6), axis=1, kind="stable")[:, :nprobe]
-        hits = ivf.search_ivf(questions, assigned, centroids, K, nprobe, way=way)
+        hits = ivf.search_ivf(questions, assigned, centroids, K, nprobe, block_questions=block)
         assert found(hits) == brute(data, lambda q, v: cell[v] in near[q])
-    everything = ivf.search_ivf(questions, assigned, centroids, K, len(centroids), way=way)
+    everything = ivf.search_ivf(questions, assigned, centroids, K, len(centroids), block_questions=block)
     assert found(everything) == brute(data)
 
 
-@pytest.mark.parametrize("way", ["scan", "grid"])
-def test_lsh(tables, data, way):
+@BLOCKS
+def test_lsh(tables, data, tmp_path, block):
     signs = np.round(data @ lsh.directions(4, 5, DIM).T, 9) >= 0
     buckets = signs.reshape(N, 4, 5)
-    hits = lsh.search_lsh(*tables, K, tables=4, bits=5, way=way)
-    assert found(hits) == brute(data, lambda q, v: (buckets[q] == buckets[v]).all(axis=1).any())
+    hits = lsh.search_lsh(*tables, K, tables=4, bits=5, block_questions=block)
+    want = brute(data, lambda q, v: (buckets[q] == buckets[v]).all(axis=1).any())
+    assert found(hits) == want
+    lsh.write_buckets(tables[1], str(tmp_path / "b"), tables=4, bits=5)
+    assert found(lsh.search_buckets(tables[0], str(tmp_path / "b"), K, block_questions=block)) == want
+
+
+def test_bits_follow_the_number_of_vectors():
+    assert [lsh.bits_for(n) for n in (0, 100, 200, 100_000, 10**12)] == [1, 1, 1, 10, 20]
+
+
+def test_stored_cells_are_searched_without_training(tables, data, tmp_path, monkeypatch):
+    questions, vectors = tables
+    spark = vectors.sparkSession
+    centroids = ivf.train_centroids(vectors)
+    vector_store.write_centroids(ivf.centroid_rows(spark, centroids), str(tmp_path / "c"))
+    vector_store.write_vectors(ivf.assign_cells(vectors, centroids), str(tmp_path / "v"))
+    monkeypatch.setattr(search, "train_centroids", None)
+    stored, read = vector_store.read_vectors(spark, str(tmp_path / "v")), vector_store.read_centroids(spark, str(tmp_path / "c"))
+    hits = search.search(questions, stored, K, "ivf", centroids=read, nprobe=len(centroids))
+    assert found(hits) == brute(data)
+    best = np.argmax(np.round(data @ centroids.T, 6), axis=1)
+    assert {(r.vec_key, r.cell_id) for r in stored.collect()} == {(f"v{i:03d}", c) for i, c in enumerate(best)}
+
+
+def test_cells_of_odd_vectors(spark, tables):
+    questions, vectors = tables
+    odd = [("z", [0.0] * DIM), ("n", [float("nan")] * DIM), ("m", None)]
+    some = vectors.unionAll(spark.createDataFrame(odd, vectors.schema))
+    centroids = ivf.train_centroids(some, cells=6)
+    assert centroids.shape == (6, DIM) and np.isfinite(centroids).all()
+    assert ivf.assign_cells(some, centroids).count() == N + 1
+    nothing = vectors.limit(0)
+    assert ivf.train_centroids(nothing).size == 0
+    assert search.search(questions, nothing, K, "ivf").count() == 0
+    with pytest.raises(ValueError, match="numbered"):
+        ivf.collect_centroids(spark.createDataFrame([(1, [1.0])], "cell_id long, embedding array<double>"))
+
+
+def test_unknown_numbers_take_no_place(spark, tables, data):
+    questions, vectors = tables
+    broken = [(f"n{i}", [float("nan")] + [1.0] * (DIM - 1)) for i in range(6)] + [("e", [None] + [1.0] * (DIM - 1)), ("f", [float("inf")] * DIM)]
+    some = vectors.unionAll(spark.createDataFrame(broken, vectors.schema)).coalesce(1)
+    asked = questions.unionAll(spark.createDataFrame([(99, [float("nan")] * DIM)], questions.schema))
+    assert found(search.search(asked, some, K)) == brute(data)
+    rows = search.search_one(some, data[4].tolist(), K).collect()
+    assert {(4, i + 1, r.vec_key, r.score) for i, r in enumerate(rows)} == {h for h in brute(data) if h[0] == 4}
+
+
+def test_building_a_search_reads_no_vectors_and_questions_once(spark, tables):
+    questions, vectors = tables
+    seen, asked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(rows, counter):
+        def each(batches):
+            for b in batches:
+                counter.add(b.num_rows)
+                yield b
+
+        return rows.mapInArrow(each, rows.schema)
+
+    hits = search.search(counted(questions, asked), counted(vectors.repartition(3), seen), K)
+    assert seen.value == 0
+    hits.collect()
+    assert (seen.value, asked.value) == (N, Q)
 
 
 def test_methods_and_recall(tables):
