@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +11,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import mixed, runs, texts
+from corpusflow.llm.common import batches, mixed, runs, texts
 
 #: Text in bytes that one task counts and scores at a time.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 12_000_000
 BACKOFF = 0.4
 
 
@@ -30,15 +30,16 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 class Grams:
-    """Hashed n-grams of the documents of a chunk; ``keys[n]`` begins with that of each n-gram.
+    """Hashed n-grams of the compressed documents of a chunk: ``keys[n]`` by their last word.
 
     ``keys[0]`` has the empty n-gram once per word, so its count is the number of words.
     n-grams do not cross documents. Equal 64-bit hashes count as equal n-grams.
     """
 
-    def __init__(self, column: Sequence[str], order: int):
+    def __init__(self, column: Sequence[bytes], order: int):
         known: dict[bytes, int] = {}
-        parts = [np.fromiter((known.setdefault(w, len(known)) for w in t.encode().split()), np.int64) for t in column]
+        plain = zstandard.ZstdDecompressor().decompress
+        parts = [np.fromiter((known.setdefault(w, len(known)) for w in plain(t).split()), np.int32) for t in column]
         self.length = np.array([len(p) for p in parts], np.int64)
         words = np.array([xxhash.xxh3_64_intdigest(w) for w in known], np.uint64)
         words = words[np.concatenate(parts)] if parts else np.zeros(0, np.uint64)
@@ -57,6 +58,25 @@ class Grams:
         first, count = runs(every)
         return every[first], count
 
+    def spread(self, counts: np.ndarray) -> list[np.ndarray]:
+        """The counts of the n-grams that end at each word, given those of ``distinct``.
+
+        The empty n-gram has the least key. n-grams that cross documents count as 0.
+        """
+        inside = [self.place >= n - 1 for n in range(1, len(self.keys))]
+        every = np.concatenate([k[i] for k, i in zip(self.keys[1:], inside)])
+        order = np.argsort(every)
+        _, length = runs(every[order])
+        whole = np.empty(len(every))
+        whole[order] = np.repeat(counts[1:], length)
+        spread, at = [np.full(len(self.place), counts[0] if len(counts) else 0.0)], 0
+        for i in inside:
+            own = np.zeros(len(i))
+            own[i] = whole[at : at + np.count_nonzero(i)]
+            at += np.count_nonzero(i)
+            spread.append(own)
+        return spread
+
 
 def log_scores(grams: Grams, counts: list[np.ndarray], min_count: int) -> tuple[np.ndarray, np.ndarray]:
     """Logarithm of the score of each word, and the length of the n-gram that it rests on.
@@ -75,6 +95,18 @@ def log_scores(grams: Grams, counts: list[np.ndarray], min_count: int) -> tuple[
     return score, used
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``text`` compressed as ``data``, to be shuffled."""
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches(it):
+            data = pa.array([pack(t.encode()) for t in b[2].to_pylist()], pa.binary())
+            yield pa.record_batch([b[0], b[1], data], ["chunk", "doc_id", "data"])
+
+    return rows.mapInArrow(each, "chunk int, doc_id long, data binary")
+
+
 def score(docs: DataFrame, order: int = 3, min_count: int = 2) -> DataFrame:
     """``(doc_id, n_words, log_score, mean_log_score, n_backed_off)`` of each row of ``docs``.
 
@@ -90,7 +122,7 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2) -> DataFrame:
     chunks = -(-size // CHUNK_BYTES)
     bits = max(0, int(chunks - 1).bit_length())
     chunk = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int")
-    dealt = rows.select(chunk.alias("chunk"), "doc_id", "text").repartition(max(1, int(chunks)), "chunk")
+    dealt = _small(rows.select(chunk.alias("chunk"), "doc_id", "text")).repartition(max(1, int(chunks)), "chunk")
 
     def ranges(keys: np.ndarray) -> list[int]:
         """Where each range of hashes begins, and the end."""
@@ -100,7 +132,7 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2) -> DataFrame:
         return [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
 
     def count(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        keys, found = Grams(t["text"].to_pylist(), order).distinct()
+        keys, found = Grams(t["data"].to_pylist(), order).distinct()
         at = ranges(keys)
         own = [(r, a, b) for r, (a, b) in enumerate(zip(at, at[1:])) if b > a]
         return pa.table(
@@ -125,16 +157,11 @@ def score(docs: DataFrame, order: int = 3, min_count: int = 2) -> DataFrame:
         return pa.table({"chunk": t["chunk"], "range": t["range"], "counts": pa.array([packed(p) for p in parts], pa.binary())})
 
     def join(key: tuple[pa.Scalar, ...], t: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = Grams(t["text"].to_pylist(), order)
+        grams = Grams(t["data"].to_pylist(), order)
         answers = answers.sort_by("range")
         counts = [unpacked(x) for x in answers["counts"].to_pylist()]
         counts = np.concatenate(counts).astype(np.float64) if counts else np.zeros(0)
-        keys, _ = grams.distinct()
-        own = []
-        for n, k in enumerate(grams.keys):
-            at = np.searchsorted(keys, k)
-            # What crosses a document was not sent, so may be missing; it is not used either.
-            own.append(counts[np.minimum(at, len(counts) - 1)] if len(counts) else np.zeros(0))
+        own = grams.spread(counts)
         logs, used = log_scores(grams, own, min_count)
         ends = np.cumsum(grams.length)
         starts = ends - grams.length
