@@ -30,9 +30,8 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 class Grams:
-    """Hashed n-grams of the compressed documents of a chunk: ``keys[n]`` by their last word.
+    """Hashed n-grams of the compressed documents of a chunk: ``keys[n - 1]`` by their last word.
 
-    ``keys[0]`` has the empty n-gram once per word, so its count is the number of words.
     n-grams do not cross documents. Equal 64-bit hashes count as equal n-grams.
     """
 
@@ -43,8 +42,10 @@ class Grams:
         self.length = np.array([len(p) for p in parts], np.int64)
         words = np.array([xxhash.xxh3_64_intdigest(w) for w in known], np.uint64)
         words = words[np.concatenate(parts)] if parts else np.zeros(0, np.uint64)
-        self.place = np.arange(len(words)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
-        self.keys = [np.zeros(len(words), np.uint64)]
+        del parts
+        starts = np.repeat(np.cumsum(self.length) - self.length, self.length)
+        self.place = (np.arange(len(words)) - starts).astype(np.int32)
+        self.keys: list[np.ndarray] = []
         gram = np.zeros(len(words), np.uint64)
         for n in range(1, order + 1):
             # The n-gram that ends at a word: the one before it that ends a word earlier, and the word.
@@ -53,21 +54,26 @@ class Grams:
             self.keys.append(gram)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """All keys of the chunk in ascending order, and how often each occurs."""
-        every = np.sort(np.concatenate([k[self.place >= n - 1] for n, k in enumerate(self.keys)]))
+        """All keys of the chunk in ascending order, and how often each occurs.
+
+        The first is 0, the empty n-gram, which occurs once per word.
+        """
+        every = np.sort(np.concatenate([k[self.place >= n] for n, k in enumerate(self.keys)]))
         first, count = runs(every)
-        return every[first], count
+        return np.r_[np.zeros(1, np.uint64), every[first]], np.r_[len(self.place), count]
 
     def spread(self, counts: np.ndarray) -> list[np.ndarray]:
         """The counts of the n-grams that end at each word, given those of ``distinct``.
 
-        The empty n-gram has the least key. n-grams that cross documents count as 0.
+        n-grams that cross documents count as 0.
         """
-        inside = [self.place >= n - 1 for n in range(1, len(self.keys))]
-        every = np.concatenate([k[i] for k, i in zip(self.keys[1:], inside)])
+        inside = [self.place >= n for n in range(len(self.keys))]
+        every = np.concatenate([k[i] for k, i in zip(self.keys, inside)])
+        self.keys = []  # not needed any more
         order = np.argsort(every)
         _, length = runs(every[order])
-        whole = np.empty(len(every))
+        del every
+        whole = np.empty(len(order))
         whole[order] = np.repeat(counts[1:], length)
         spread, at = [np.full(len(self.place), counts[0] if len(counts) else 0.0)], 0
         for i in inside:
