@@ -41,6 +41,7 @@ def batches(it: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa
         step = max(1, int(b.num_rows * chars / max(1, b.nbytes)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+    pa.default_memory_pool().release_unused()
 
 
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

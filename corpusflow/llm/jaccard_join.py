@@ -56,6 +56,12 @@ class Shingles:
         return np.unique(gram)
 
 
+def packed_shingles(n: int) -> Callable[[bytes], np.ndarray]:
+    """``Shingles`` of compressed texts."""
+    shingles, plain = Shingles(n), zstandard.ZstdDecompressor()
+    return lambda data: shingles(plain.decompress(data).decode())
+
+
 def chosen(grams: np.ndarray, path: int, level: int) -> np.ndarray:
     """Where a set goes on from ``path``: at n-grams that a hash of path and n-gram picks.
 
@@ -110,11 +116,11 @@ def _split(hot: DataFrame, stored: DataFrame, n: int, level: int) -> DataFrame:
     """Members of hot buckets go on to the buckets of the next level."""
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, plain = Shingles(n), zstandard.ZstdDecompressor()
+        cut = packed_shingles(n)
         for b in it:
             reps, keys = [], []
             for rep, data, paths in zip(*(b[k].to_pylist() for k in range(3))):
-                grams = shingles(plain.decompress(data).decode())
+                grams = cut(data)
                 for path in paths:
                     found = chosen(grams, path, level)
                     keys.append(found)
@@ -161,11 +167,11 @@ def once(buckets: DataFrame) -> DataFrame:
     return buckets.join(first.select("key"), "key", "left_semi").select("rep", "key", "n")
 
 
-def linked(buckets: DataFrame, stored: DataFrame, make: Callable[[], Callable[[str], np.ndarray]], threshold: float) -> DataFrame:
+def linked(buckets: DataFrame, stored: DataFrame, make: Callable[[], Callable[[bytes], np.ndarray]], threshold: float) -> DataFrame:
     """``(rep, root, links)``: which members of buckets are alike.
 
-    ``buckets``: ``(rep, key, n)`` with the members of each key; ``stored``: ``(rep, copies, data)``
-    with compressed texts; ``make`` gives the function that cuts a text into its set. A pair counts
+    ``buckets``: ``(rep, key, n)`` with the members of each key; ``stored``: ``(rep, copies, data)``;
+    ``make`` gives the function that cuts ``data`` into a set. A pair counts
     in the least of the buckets that both are in, so just once. Each bucket returns a forest: the
     least member that one is connected with there, and how many rows its links stand for. A bucket
     of more than ``BUCKET`` members is compared block by block, each pair of blocks apart.
@@ -188,7 +194,7 @@ def linked(buckets: DataFrame, stored: DataFrame, make: Callable[[], Callable[[s
 
     def each(t: pa.Table) -> pa.Table:
         t = t.sort_by([("key", "ascending"), ("block", "ascending"), ("rep", "ascending")])
-        shingles, plain, sets = make(), zstandard.ZstdDecompressor(), {}
+        cut, sets = make(), {}
         key, block, rep = (np.asarray(t[c]) for c in ("key", "block", "rep"))
         copies, own = np.asarray(t["copies"]), np.asarray(t["own"])
         final, data = t["final"].to_pylist(), t["data"]
@@ -196,7 +202,7 @@ def linked(buckets: DataFrame, stored: DataFrame, make: Callable[[], Callable[[s
 
         def set_of(k: int) -> np.ndarray:
             if rep[k] not in sets:
-                sets[rep[k]] = shingles(plain.decompress(data[k].as_py()).decode())
+                sets[rep[k]] = cut(data[k].as_py())
             return sets[rep[k]]
 
         for at, length in zip(*runs_of(key, block)):
@@ -264,7 +270,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     buckets = final[0]
     for more in final[1:]:
         buckets = buckets.unionByName(more)
-    found = written(linked(buckets, stored, lambda: Shingles(n), threshold), "links")
+    found = written(linked(buckets, stored, lambda: packed_shingles(n), threshold), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(found.select("rep", "root")).select(F.col("node").alias("rep"), "root")
     of_set = distinct.select("s1", "s2", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")

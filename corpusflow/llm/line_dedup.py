@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,21 +159,17 @@ def _shared(bands: DataFrame) -> DataFrame:
 
 
 def _stored(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(rep, copies, data)``: the lines with the keys in ``wanted``, compressed."""
+    """``(rep, copies, data)``: the lines with the keys in ``wanted``, as bytes."""
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             lines = _distinct(b[1].to_pylist(), {})
-            yield pa.record_batch([pa.array(lines, pa.int64()), pa.array(lines.values(), pa.string())], ["rep", "line"])
+            data = pa.array((x.encode() for x in lines.values()), pa.binary())
+            yield pa.record_batch([pa.array(lines, pa.int64()), data], ["rep", "data"])
 
-    def small(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for b in it:
-            data = [pack(x.encode()) for x in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([1] * len(data), pa.int64()), pa.array(data, pa.binary())], ["rep", "copies", "data"])
-
-    lines = texts(docs).select("doc_id", "text").mapInArrow(each, "rep long, line string")
-    return lines.join(wanted.hint("shuffle_hash"), "rep", "left_semi").groupBy("rep").agg(F.first("line").alias("line")).mapInArrow(small, "rep long, copies long, data binary")
+    lines = texts(docs).select("doc_id", "text").mapInArrow(each, "rep long, data binary")
+    some = lines.join(wanted.hint("shuffle_hash"), "rep", "left_semi")
+    return some.groupBy("rep").agg(F.first("data").alias("data")).select("rep", F.lit(1).cast("long").alias("copies"), "data")
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -196,7 +191,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     shared = written(_shared(bands).distinct(), "bands")
     buckets = written(shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key").select("rep", "key", "n"), "buckets")
     stored = written(_stored(docs, buckets.select("rep").distinct()), "lines")
-    found = linked(buckets, stored, lambda: shingle_set, threshold)
+    found = linked(buckets, stored, lambda: lambda data: shingle_set(data.decode()), threshold)
     classes = components(found.select("rep", "root")).select(F.col("node").alias("key"), "root")
     place = F.struct("doc_id", "text_hash", "line_no")
     all_places = all_places.drop("bands")
