@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import batches, part
+from corpusflow.session import shared_folder
 
 #: Bytes of list entries in one array. A longer list is searched array by array.
 ARRAY_BYTES = 64_000_000
@@ -36,15 +36,29 @@ def fits(host: Column, path: Column, rule: str) -> Column:
     return ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(slash + rule_path)
 
 
-def digest_array(entries: Sequence[str], path: str) -> None:
-    """Write ``entries`` as an Arrow file: 64-bit keys in ascending order beside the strings."""
+def digest_array(entries: Sequence[str]) -> bytes:
+    """``entries`` as an Arrow file: 64-bit keys in ascending order beside the strings."""
     entries = sorted(set(entries))
     keys = np.array([xxhash.xxh64_intdigest(e) for e in entries], np.uint64)
     order = np.argsort(keys, kind="stable")
     rows = pa.table({"key": pa.array(keys[order]), "entry": pa.array([entries[i] for i in order], pa.string())})
     rows = rows.combine_chunks()
-    with pa.OSFile(path, "wb") as out, pa.ipc.new_file(out, rows.schema) as writer:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_file(out, rows.schema) as writer:
         writer.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
+def shipped(spark: SparkSession, data: bytes) -> str:
+    """Write a file to the shared folder and have every executor fetch it; returns its name."""
+    path = shared_folder(spark, "digests") + ".arrow"
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(context._jsc.hadoopConfiguration()).create(hadoop)
+    out.write(bytearray(data))
+    out.close()
+    context.addFile(path)
+    return os.path.basename(path)
 
 
 class DigestArray:
@@ -91,14 +105,10 @@ def listed(urls: DataFrame, entries: DataFrame) -> DataFrame:
     entries = entries.where(F.length(name) > 0).select(F.col(name).alias("entry")).distinct()
     size = entries.agg(F.sum(F.octet_length("entry") + 16)).first()[0] or 0
     parts = -(-size // ARRAY_BYTES)
-    folder = tempfile.mkdtemp(prefix="digests-")  # read by the driver alone, which ships the files
     rows = urls.withColumn("entry", F.lit(None).cast("string"))
     for k in range(parts):
         block = entries.where(part(F.col("entry"), parts) == k).toArrow()["entry"].to_pylist()
-        path = os.path.join(folder, f"{os.path.basename(folder)}-{k}.arrow")
-        digest_array(block, path)
-        spark.sparkContext.addFile(path)
-        rows = _probe(rows, os.path.basename(path))
+        rows = _probe(rows, shipped(spark, digest_array(block)))
     return rows
 
 
