@@ -28,12 +28,17 @@ MIN_CHUNK_CHARS = 50
 
 @dataclass(frozen=True)
 class Packing:
-    """Token budget of a chunk, tokens shared with the chunk before, and the counter."""
+    """Token budget of a chunk, tokens shared with the chunk before, the counter and the cut.
+
+    ``split`` cuts a section over the budget into stripped segments, which are then packed; without
+    it they are paragraphs or sentences.
+    """
 
     chunk_size: int = CHUNK_SIZE
     overlap: int = CHUNK_OVERLAP
     min_chars: int = MIN_CHUNK_CHARS
     counter: WordCounter | FunctionCounter = field(default_factory=WordCounter)
+    split: Callable[[Column], Column] | None = None
 
 
 NO_RANGES = (
@@ -296,9 +301,9 @@ def worded_section(section: Column, text: Column, unusual: Column, p: Packing) -
     return let(words(text, unusual), with_words)
 
 
-def segments_of(s: Column) -> Column:
+def segments_of(s: Column, p: Packing) -> Column:
     """Segments of a worded section that may exceed the budget; else none."""
-    return F.when(F.size(s["words"]) > 0, recursive_segments(s["text"])).otherwise(
+    return F.when(F.size(s["words"]) > 0, (p.split or recursive_segments)(s["text"])).otherwise(
         F.array().cast(NO_STRINGS)
     )
 
@@ -318,7 +323,7 @@ def recursive_split(rows: DataFrame, text: str, out: str, p: Packing = Packing()
     """Chunks of section texts: whole, or by paragraphs, sentences or words."""
     prepared = let(
         words(F.col(text)),
-        lambda ws: _with_segments(F.col(text), F.lit(""), ws, recursive_segments(F.col(text))),
+        lambda ws: _with_segments(F.col(text), F.lit(""), ws, (p.split or recursive_segments)(F.col(text))),
     )
     return _add(rows, out, prepared, lambda s: _texts(section_chunks(s, p)), p)
 

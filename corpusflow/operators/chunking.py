@@ -75,7 +75,7 @@ def _steps(p: Packing, application: str) -> dict[str, Column]:
         "headers": header_positions(F.col("lines")),
         "sections": cut_sections(F.col("lines"), F.col("headers")),
         "worded": F.filter(worded, lambda s: s["n_words"] > 0),
-        "segments": F.transform("worded", segments_of),
+        "segments": F.transform("worded", lambda s: segments_of(s, p)),
         "prepared": prepared,
         "measured": p.counter.measure(F.col("prepared"), p.chunk_size),
         "failed": failed,
@@ -215,3 +215,17 @@ def preview_chunks(chunks: DataFrame, n: int = 3) -> DataFrame:
         .orderBy("paper_id", "chunk_index")
         .limit(n)
     )
+
+
+def preview_documents(documents: DataFrame, p: Packing = Packing(), n: int = 3) -> DataFrame:
+    """``preview_chunks`` of a corpus: only so many first papers are chunked as it takes."""
+    ordered = documents.orderBy(F.col("doc_key").cast("string"))
+    papers, total = n, None
+    while True:
+        preview = preview_chunks(chunk_documents(ordered.limit(papers), p), n)
+        if preview.count() >= n:
+            return preview
+        total = documents.count() if total is None else total
+        if papers >= total:
+            return preview
+        papers *= 4

@@ -270,6 +270,7 @@ def _paragraphs(e: str) -> str:
     return f"list_filter(list_transform({cut}, lambda x: {strip('x')}), lambda x: x <> '')"
 
 
+_LINES = f"list_filter(list_transform(string_split(text, {NL}), lambda x: {strip('x')}), lambda x: x <> '')"
 _FIVE = f"list_transform(string_split({strip('t')}, {NL})[1:5], lambda l: {strip('l')})"
 
 ORACLES: dict[str, str] = {
@@ -338,6 +339,8 @@ ORACLES: dict[str, str] = {
             replace(text, '. ', '.' || {NL} || ' ' || chr(9) || {NL} || ' ') as t from ({PAPERS}))""",
         "c", "chunk_no", "chunk",
     ),
+    "chunk_by_lines": f"""with {chunks_cte(SECTIONED, 64, 12, cut=_LINES)} select {FLAT} from chunks""",
+    "chunk_file_source": f"with {chunks_cte(PAPERS, 64, 12)} select {FLAT} from chunks",
     "chunk_run": f"""with {chunks_cte(PAPERS, 64, 12)}, per_doc as (select source_file as filename,
         count(c.paper_id) as chunks, coalesce(sum(c.token_count), 0)::bigint as tokens
         from docs d left join chunks c using (source_file) group by source_file)

@@ -316,6 +316,36 @@ def split_by_paragraphs(spark, folder):
     return _numbered(chunks, F.col("chunks"), "chunk_no", "chunk", "doc_key")
 
 
+def lines_of(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n"), clean.strip), lambda x: x != "")
+
+
+@query
+def chunk_by_lines(spark, folder):
+    """The chunking job with a cut of one's own: long sections are packed by lines."""
+    by_lines = Packing(chunk_size=64, overlap=12, split=lines_of)
+    return _flat(chunking.chunk_documents(tables.sectioned_papers(spark, folder), by_lines))
+
+
+@query
+def chunk_file_source(spark, folder):
+    """Files that hold one object each: the chunks of a paper, its statistics and the settings."""
+    chunks = chunking.chunk_documents(tables.papers(spark, folder), SMALL)
+    entry = F.struct("metadata.chunk_index", "text", "metadata")
+    # The chunks of one paper.
+    papers = chunks.groupBy("metadata.paper_id").agg(F.sort_array(F.collect_list(entry)).alias("found"))
+    whole = F.to_json(
+        F.struct(
+            F.transform("found", lambda c: F.struct(c["text"].alias("text"), c["metadata"].alias("metadata"))).alias("chunks"),
+            F.struct(F.lit(1).alias("total_documents"), F.size("found").alias("total_chunks")).alias("statistics"),
+            F.struct(F.lit(SMALL.chunk_size).alias("chunk_size"), F.lit("words").alias("encoding")).alias("config"),
+        )
+    )
+    out = shared_folder(spark, "chunk-files")
+    write_files(papers.select(F.concat("paper_id", F.lit(".json")).alias("name"), F.encode(whole, "UTF-8").alias("content")), out)
+    return _flat(chunk_store.read_chunk_file(spark, out))
+
+
 @query
 def chunk_run(spark, folder):
     """A whole chunking job as stored: totals and settings, read back."""
@@ -355,7 +385,7 @@ def drop_small_chunks(spark, folder):
 
 @query
 def chunk_preview(spark, folder):
-    chunks = chunking.preview_chunks(chunking.chunk_documents(tables.papers(spark, folder)))
+    chunks = chunking.preview_documents(tables.papers(spark, folder))
     return chunks.select("paper_id", *_big("chunk_index"), "section", *_big("token_count"), "preview")
 
 

@@ -87,3 +87,12 @@ def test_a_counter_that_raises_fails_one_document(spark):
     assert stats["a"].tokens == sum(r.metadata.token_count for r in chunks)
     failed = chunking.failed_documents(chunking.chunk_arrays(table, p)).collect()
     assert sorted(r.doc_key for r in failed) == ["b", "c"]
+
+
+def test_preview_takes_as_many_papers_as_it_needs(spark):
+    rows = [(f"{i:02d}", f"{i}.txt", "A sentence of some words for a chunk, no more. " * 3 if i % 7 == 6 else "short") for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_key string, source_file string, text string")
+    want = chunking.preview_chunks(chunking.chunk_documents(table)).collect()
+    assert chunking.preview_documents(table).collect() == want and len(want) == 3
+    assert len(chunking.preview_documents(table.limit(10)).collect()) == 1
+    assert chunking.preview_documents(table.limit(0)).collect() == []

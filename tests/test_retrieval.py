@@ -101,3 +101,9 @@ def test_example_questions(spark):
 def test_question_without_text_column(retrieved):
     without = retrieved.drop("text")
     assert retrieval.format_sources(without).count() == 2
+
+
+def test_the_system_prompt_is_the_fixed_one():
+    import hashlib
+
+    assert hashlib.md5(retrieval.SYSTEM_PROMPT.encode()).hexdigest() == "d19d01eea00b57443863c66d1510e76c"
