@@ -19,8 +19,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Setting for the bytes that go to Python at a time, and what is set unless the session has its own:
+#: Spark's default of 64 MB, held several times over in each task, is much for long texts.
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc_id`` and ``text`` (null: empty) and the columns ``more``; all others are left out."""
+    """``doc_id`` and ``text`` (null: empty) and the columns ``more``; all others are left out.
+
+    Sees to it that texts go to Python in batches of a few megabytes.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, BATCH)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

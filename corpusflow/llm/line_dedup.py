@@ -91,7 +91,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _lines(text: str) -> list[tuple[int, str]]:
     """Number and normal form of the lines that are long enough."""
-    found = ((k, normal(x)) for k, x in enumerate(text.split("\n")))
+    found = ((k, " ".join(x.split())) for k, x in enumerate(text.lower().split("\n")))
     return [(k, x) for k, x in found if len(x) >= SHINGLE]
 
 
@@ -196,11 +196,12 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "line_no")
     all_places = all_places.drop("bands")
     per_key = all_places.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    of_class = per_key.join(classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    of_class = written(of_class, "line-classes")
+    # A line that is there once and like no other stays.
+    of_class = per_key.join(classes.hint("shuffle_hash"), "key", "left").where("n > 1 OR root IS NOT NULL")
+    of_class = written(of_class.withColumn("root", F.coalesce("root", "key")), "line-classes")
     kept = of_class.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
     doubtful = of_class.select("key", "root").join(kept, "root").select("key", "kept")
-    gone = all_places.join(doubtful, "key").where(
+    gone = all_places.join(doubtful.hint("shuffle_hash"), "key").where(
         ~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash")) & (F.col("line_no") == F.col("kept.line_no")))
     )
     # At most the lines of one document.
