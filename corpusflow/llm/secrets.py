@@ -32,11 +32,15 @@ ENCODINGS = (
     ("base62", "^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
+#: Encodings that share their strata, since a short token may look like any of them.
+MIXED = ("base36", "base62", "base64")
 ONE_CASE = ("decimal", "hex", "letters", "base32", "base36")
 #: Lengths at which a new stratum begins.
 BANDS = (24, 32, 48, 96)
 #: Levels among which each stratum takes the least that keeps false discoveries rare enough.
 LEVELS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5)
+#: p-values above this are taken to be those of random tokens alone.
+EVEN = 0.5
 
 
 def _spans(text: Column, found: Column, pattern: str, keep: Column, kind: int) -> Column:
@@ -76,7 +80,7 @@ def _with(value: Column, f) -> Column:
 
 
 def randomness(token: Column) -> Column:
-    """``(stratum, p)`` of a candidate: its encoding and length band, and the joint p-value.
+    """``(stratum, p)`` of a candidate: its kind of encoding and length band, and the joint p-value.
 
     Three tests against evenly drawn symbols: chi-squared of the symbol counts (upper tail,
     moments for the given length), number of runs above and below the middle of the alphabet,
@@ -90,7 +94,7 @@ def randomness(token: Column) -> Column:
     band = F.lit(0)
     for least in BANDS:
         band = band + F.when(F.length(body) >= least, 1).otherwise(0)
-    stratum = F.concat_ws(":", encoding, band.cast("string"))
+    stratum = F.concat_ws(":", F.when(encoding.isin(*MIXED), "mixed").otherwise(encoding), band.cast("string"))
     shape = F.struct(
         F.when(encoding.isin(*ONE_CASE), F.lower(body)).otherwise(F.translate(body, "-_", "+/")).alias("body"),
         symbols.alias("symbols"), stratum.alias("stratum"),
@@ -140,16 +144,17 @@ def levels(tokens: DataFrame, most_false: float) -> DataFrame:
     """``(stratum, level)``: at which p-value a token of a stratum counts as random.
 
     ``tokens`` has ``stratum`` and ``p``. p-values of random tokens are even between 0 and 1, so
-    twice the tokens above 0.5 estimates how many there are; what stands above a level beyond
-    their share is false. Each stratum, so each length, takes the least of ``LEVELS`` at which
-    the share of false ones is at most ``most_false``, and none if there is no such level.
+    those above ``EVEN`` say how many there are, with a known error. What stands above a level
+    beyond their share and two standard errors is false, and one more for safety, so a few tokens
+    show nothing. Each stratum, so each length, takes the least of ``LEVELS`` at which the share of
+    false ones is at most ``most_false``, and none if there is no such level.
     """
     over = [F.count_if(F.col("p") > t).alias(f"over{i}") for i, t in enumerate(LEVELS)]
     counted = tokens.groupBy("stratum").agg(F.count("*").alias("m"), *over)
-    truly = F.least(2 * F.col(f"over{len(LEVELS) - 1}"), F.col("m"))
+    truly = F.least(F.col(f"over{LEVELS.index(EVEN)}") / (1 - EVEN), F.col("m"))
     level = F.coalesce(
         *(
-            F.when((F.col(f"over{i}") > 0) & (F.col(f"over{i}") - truly * (1 - t) <= most_false * F.col(f"over{i}")), t)
+            F.when((F.col(f"over{i}") > 0) & (F.greatest(F.col(f"over{i}") - truly * (1 - t) - 2 * F.sqrt(truly * EVEN / (1 - EVEN)), F.lit(0.0)) + 1 <= most_false * F.col(f"over{i}")), t)
             for i, t in enumerate(LEVELS)
         )
     )
@@ -168,7 +173,7 @@ def scan(docs: DataFrame, most_false: float = 0.05) -> DataFrame:
     rows = texts(docs)
     tokens = rows.select(F.explode(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).alias("token"))
     tested = tokens.select(randomness(F.col("token")).alias("r")).select("r.*")
-    # A row per encoding and length band, 35 at most.
+    # A row per kind of encoding and length band, 25 at most.
     by_stratum = levels(tested, most_false).agg(F.map_from_entries(F.collect_list(F.struct("stratum", "level"))).alias("of"))
     text = F.col("text")
     found = rows.select(

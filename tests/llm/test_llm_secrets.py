@@ -74,7 +74,7 @@ def test_randomness_by_hand(spark):
     from pyspark.sql import functions as F
 
     got = spark.createDataFrame([(token,)], "t string").select(secrets.randomness(F.col("t")).alias("r")).first()["r"]
-    assert got["stratum"] == "base62:1"
+    assert got["stratum"] == "mixed:1"
     assert abs(got["p"] - want) < 1e-5
 
 
