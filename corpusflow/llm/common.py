@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +49,21 @@ def part(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts))
 
 
-def batches(it: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """The rows of ``it`` in batches of about ``chars`` bytes at most, or of one row."""
+def kept(name: str, make: Callable[[], object]) -> object:
+    """An object that this process keeps for later tasks: Spark reuses its Python workers."""
+    store = sys.modules.setdefault("corpusflow_kept", ModuleType("corpusflow_kept")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
+def batches(it: Iterator[pa.RecordBatch], chars: int = 8_000_000, keeps: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows of ``it`` in batches of about ``chars`` bytes at most, or of one row.
+
+    What tasks of another operator have ``kept`` in this process is given up, unless ``keeps``.
+    """
+    if not keeps and sys.modules.pop("corpusflow_kept", None):
+        gc.collect()
     for b in it:
         step = max(1, int(b.num_rows * chars / max(1, b.nbytes)))
         for i in range(0, b.num_rows, step):

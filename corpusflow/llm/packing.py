@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 from collections.abc import Iterator
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import batches, part, texts, written
+from corpusflow.llm.common import batches, kept, part, texts, written
 
-#: Words kept with their ids in a process; beyond that, between batches, the store starts anew.
-CACHED_WORDS = 1_500_000
+#: Words kept with their ids in a process, in each of two generations: when the younger is full it
+#: becomes the older one, and words of the older that come again move to the younger.
+CACHED_WORDS = 450_000
 #: Fixed value: a special token of the vocabulary.
 MARK = "<|endoftext|>"
 #: Latin letters whose lower case is one letter each, then signs that form one pre-token.
@@ -42,6 +41,7 @@ class WordIds:
         self.mark = self.tokenizer.token_to_id(MARK)
         self.lower = lower
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, words: list[str]) -> None:
         """Encode words, many at once with a special token between them."""
@@ -61,20 +61,28 @@ class WordIds:
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        known, new, match = self.known, set(), LETTERS_SIGNS.fullmatch
+        known, older, new, match = self.known, self.older, set(), LETTERS_SIGNS.fullmatch
         joined, heads, tails = [], [], []
+
+        def want(part: str) -> None:
+            if part not in known:
+                if part in older:
+                    known[part] = older[part]
+                else:
+                    new.add(part)
+
         for w in words:
-            if found := match(w):
+            if w in older:
+                known[w] = older[w]
+            elif found := match(w):
                 letters, signs = found.groups()
                 if self.lower:
                     letters = letters.lower()
                 joined.append(w)
                 heads.append(letters)
                 tails.append(signs)
-                if letters not in known:
-                    new.add(letters)
-                if signs not in known:
-                    new.add(signs)
+                want(letters)
+                want(signs)
             else:
                 new.add(w)
         self.encode(list(new))
@@ -84,7 +92,7 @@ class WordIds:
     def __call__(self, column: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
+            self.known, self.older = {"": b""}, self.known
         get, new, texts = self.known.get, set(), []
         for text in column:
             words = text.replace("\n", " ").split(" ")
@@ -107,14 +115,6 @@ class WordIds:
         return texts
 
 
-def word_ids(path: str) -> WordIds:
-    """The ``WordIds`` of this process: Spark reuses its Python workers for later tasks."""
-    kept = sys.modules.setdefault("corpusflow_kept", ModuleType("corpusflow_kept")).__dict__
-    if path not in kept:
-        kept[path] = WordIds(path)
-    return kept[path]
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, sequence_tokens: int = 4096, end_id: int = 1) -> DataFrame:
     """Token pieces of each document: ``(doc_id, piece, start, length, ids_crc32)``.
 
@@ -124,8 +124,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence_tokens: int = 4096, e
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, width = word_ids(tokenizer), 4 * sequence_tokens
-        for b in batches(it):
+        ids_of, width = kept(tokenizer, lambda: WordIds(tokenizer)), 4 * sequence_tokens
+        for b in batches(it, keeps=True):
             rows = []
             for doc, ids in zip(b[0].to_pylist(), ids_of(b[1].to_pylist())):
                 ids += end
