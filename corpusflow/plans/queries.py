@@ -415,8 +415,8 @@ def corpus_stats(spark, folder):
 def stream_chunks(spark, folder):
     """Papers chunked by a stream over the table's files."""
     stored = tables.table(spark, folder, "documents")
-    files = spark.readStream.schema(stored.schema).option("pathGlobFilter", "documents.parquet")
-    stream = files.parquet(folder)
+    # The pattern stands for the table as one file or as a folder of files.
+    stream = spark.readStream.schema(stored.schema).parquet(f"{folder}/documents.parque[t]")
     rows = stream.select(
         F.col("doc_id").alias("doc_key"),
         F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"),
