@@ -58,7 +58,8 @@ class Grams:
 
         The first is 0, the empty n-gram, which occurs once per word.
         """
-        every = np.sort(np.concatenate([k[self.place >= n] for n, k in enumerate(self.keys)]))
+        every = np.concatenate([k[self.place >= n] for n, k in enumerate(self.keys)])
+        every.sort()
         first, count = runs(every)
         return np.r_[np.zeros(1, np.uint64), every[first]], np.r_[len(self.place), count]
 
