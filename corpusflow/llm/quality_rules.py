@@ -20,7 +20,7 @@ LEAST_WORDS, REPEAT_PERCENT = 50, 50
 
 DIGITS = re.compile(rb"[0-9]+")
 STATS = "doc_id long, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-LINES = "doc_id long, text_hash long, host string, line_hash long, family long, line_words long"
+LINES = "doc_id long, text_hash long, host string, line_hash long, line_words long"
 #: Parts that the rows of one common line are dealt to.
 SALTS = 16
 
@@ -62,18 +62,13 @@ def line_hashes(text: str) -> list[int | None]:
     return found
 
 
-def _line_rows(text: str) -> list[tuple[int, int, int]]:
-    """``(hash, family, words)`` of each distinct line.
-
-    The family is the least hash among the document's other lines: copies of a document, near
-    ones as well, mostly have the same, so that a line they share counts once for all of them.
-    """
+def _line_rows(text: str) -> list[tuple[int, int]]:
+    """``(hash, words)`` of each distinct line."""
     words: dict[int, int] = {}
     for line, h in zip(text.split("\n"), line_hashes(text)):
         if h is not None:
             words[h] = words.get(h, 0) + len(line.encode().split())
-    least = sorted(words)[:2]
-    return [(h, least[0] if h != least[0] else least[-1], n) for h, n in words.items()]
+    return list(words.items())
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -102,10 +97,10 @@ def lines(docs: DataFrame) -> DataFrame:
         for b in batches(it):
             found = [_line_rows(t) for t in b[2].to_pylist()]
             at = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            flat = np.array([x for rows in found for x in rows], np.int64).reshape(-1, 3)
+            flat = np.array([x for rows in found for x in rows], np.int64).reshape(-1, 2)
             yield pa.record_batch(
-                [*(b[k].take(pa.array(at)) for k in (0, 1, 3)), *(pa.array(flat[:, k]) for k in range(3))],
-                ["doc_id", "text_hash", "host", "line_hash", "family", "line_words"],
+                [*(b[k].take(pa.array(at)) for k in (0, 1, 3)), *(pa.array(flat[:, k]) for k in range(2))],
+                ["doc_id", "text_hash", "host", "line_hash", "line_words"],
             )
 
     return _keyed(docs).mapInArrow(each, LINES)
@@ -114,10 +109,10 @@ def lines(docs: DataFrame) -> DataFrame:
 def common_lines(rows: DataFrame, min_documents: int, min_share: float) -> DataFrame:
     """``(host, line_hash)`` of lines in more documents of a host than the limits allow.
 
-    ``rows`` are those of ``lines``. Documents of one family count once. The limit of a host is
-    ``min_documents`` or the share ``min_share`` of its documents, whichever is more.
+    ``rows`` are those of ``lines``. Documents with the same text count once. The limit of a host
+    is ``min_documents`` or the share ``min_share`` of its documents, whichever is more.
     """
-    counted = rows.groupBy("host", "line_hash").agg(F.count_distinct("family").alias("documents"))
+    counted = rows.groupBy("host", "line_hash").agg(F.count_distinct("text_hash").alias("documents"))
     hosts = rows.groupBy("host", "doc_id", "text_hash").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("of_host"))
     often = counted.where(F.col("documents") > min_documents)
     limited = often.join(hosts, "host").where(F.col("documents") > min_share * F.col("of_host"))

@@ -137,3 +137,11 @@ def test_classifier_without_rows_or_labels(spark, documents):
     one = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     rows = quality_classifier.score(documents([(i, "a b") for i in range(20)] + [(3, "a b")]), one).collect()
     assert len(rows) == 21 and all(r["predicted"] == 1 for r in rows)
+
+
+def test_lines_of_templated_hosts_are_counted(documents, prose):
+    """Documents that are mostly template are no copies of each other."""
+    template = [" ".join(prose.words(8)) for _ in range(20)]
+    rows = [(i, "\n".join(template + [" ".join(prose.words(8)) for _ in range(2)]), "h") for i in range(60)]
+    judged = {r["doc_id"]: r for r in quality_rules.judge(documents(rows)).collect()}
+    assert all(not judged[i]["kept"] and judged[i]["common_words"] == 160 for i in range(60))
