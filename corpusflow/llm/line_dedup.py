@@ -17,8 +17,8 @@ from corpusflow.llm.jaccard_join import linked
 #: Characters of a shingle; a power of two. Shorter lines are left alone.
 SHINGLE = 8
 #: Bands, and the signature numbers of each: two lines whose sets have a similarity of 0.8 share a
-#: band with a chance of 99.1 %, of 0.3 with 7 %.
-BANDS, ROWS = 9, 4
+#: band with a chance of 99.5 %, of 0.3 with 8 %.
+BANDS, ROWS = 10, 4
 BASE = 0x9E3779B97F4A7C15
 #: Characters that are hashed at a time, few enough to stay in a processor's cache.
 BLOCK_CHARS = 50_000

@@ -177,6 +177,12 @@ def test_bands_share(prose):
     assert (line_dedup.band_keys(["abcdefgh", "zz abcdefgh yy"])[0] == line_dedup.band_keys(["abcdefgh"])[0]).all()
 
 
+def test_ten_bands_lose_one_pair_in_two_hundred():
+    """At the threshold, by the formula, and in what is made."""
+    assert (1 - 0.8**line_dedup.ROWS) ** line_dedup.BANDS < 0.006
+    assert line_dedup.band_keys(["a line of some words"]).shape == (1, 10)
+
+
 def align_by_hand(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a, 1):
