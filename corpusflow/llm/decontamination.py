@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.common import batches, part, texts
 
-#: Words of a seed, and seeds in a row of which the rarest stands for all.
+#: Words of a seed, and seeds in a row of which the rarest that occurs stands for all.
 GRAM, WINDOW = 3, 2
+#: Occurrences up to which an n-gram is a seed beside a rarer one too: its hits cost next to nothing.
+RARE = 100
 #: Bytes of items that are searched at a time; a larger benchmark takes more scans.
 BLOCK_BYTES = 8_000_000
 #: Seeds that must lie near one diagonal before an alignment is tried.
@@ -100,13 +102,21 @@ class Items:
         return at[hit], found[hit]
 
     def choose(self, count: np.ndarray) -> None:
-        """Seeds: of each ``WINDOW`` n-grams in a row of an item the rarest in the corpus."""
+        """Seeds: of each ``WINDOW`` n-grams in a row of an item the rarest in the corpus, and rare ones.
+
+        N-grams that occur nowhere can't hit and take no other's place. An edited copy may lack the
+        rarest of a window where another document has it, so all ``RARE`` ones stand for themselves.
+        """
         seeds: dict[int, list[tuple[int, int]]] = {}
+        self.chosen = []
         for k, grams in enumerate(self.own):
             often = count[np.searchsorted(self.all, grams)]
             width = min(WINDOW, len(grams))
-            windows = np.lib.stride_tricks.sliding_window_view(often, width)
-            for at in np.unique(windows.argmin(axis=1) + np.arange(len(windows))):
+            windows = np.lib.stride_tricks.sliding_window_view(np.where(often, often, np.iinfo(often.dtype).max), width)
+            rarest = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+            places = np.union1d(rarest[often[rarest] > 0], np.flatnonzero((often > 0) & (often <= RARE)))
+            self.chosen.append(len(places))
+            for at in places:
                 seeds.setdefault(int(grams[at]), []).append((k, int(at)))
         self.seeds = np.array(sorted(seeds), np.int64)
         self.places = [seeds[g] for g in self.seeds.tolist()]
@@ -121,13 +131,13 @@ class Items:
                 diagonals.setdefault(k, []).append(p - q)
         found = []
         for k, offsets in diagonals.items():
-            if len(offsets) < min(LEAST_SEEDS, len(self.own[k])):
+            if len(offsets) < min(LEAST_SEEDS, self.chosen[k]):
                 continue
             item, margin = self.codes[k], len(self.codes[k]) // 4 + 4
             offsets = np.sort(offsets)
             best = (0, 0, 0)
             for group in np.split(offsets, np.flatnonzero(np.diff(offsets) > margin) + 1):
-                if len(group) < min(LEAST_SEEDS, len(self.own[k])):
+                if len(group) < min(LEAST_SEEDS, self.chosen[k]):
                     continue
                 low, high = max(0, int(group[0]) - margin), int(group[-1]) + len(item) + margin
                 score, begin, end = align(item, codes[low:high])

@@ -243,3 +243,19 @@ def test_blocks_of_items_and_clean(spark, documents, prose, monkeypatch):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["10", "11", "None"]
     assert decontamination.search(documents([]), benchmark).collect() == []
     assert decontamination.search(docs, benchmark.limit(0)).where("leaked").count() == 0
+
+
+def test_short_items_and_every_fourth_word(spark, documents, prose):
+    """Edited copies alone and beside a whole one, by full alignment."""
+    items = [(0, " ".join(prose.words(4))), (1, " ".join(prose.words(5)))] + [(k, " ".join(prose.words(20))) for k in range(2, 12)]
+    broken = {k: " ".join(prose.word() + "q" if n % 4 == 3 else w for n, w in enumerate(t.split())) for k, t in items[2:]}
+    rows = [(k, prose.prose(30) + " " + (t if k < 2 else broken[k]) + " " + prose.prose(30)) for k, t in items]
+    rows += [(100 + k, prose.prose(30) + " " + t) for k, t in items[7:]]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: dict(zip(r["item_ids"], r["scores"])) for r in decontamination.search(documents(rows), benchmark).collect()}
+    words = {w: n for n, w in enumerate({w for _, t in items + rows for w in decontamination.words_of(t)})}
+    code = lambda t: [words[w] for w in decontamination.words_of(t)]
+    for i, t in rows:
+        want = {k: align_by_hand(code(x), code(t)) / (2 * len(code(x))) for k, x in items}
+        want = {k: s for k, s in want.items() if s >= 0.5}
+        assert i % 100 in want and got[i] == {k: pytest.approx(s, abs=1e-6) for k, s in want.items()}
