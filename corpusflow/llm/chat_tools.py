@@ -26,8 +26,6 @@ TYPES = {
     "array": "^ARRAY<.*",
     "object": "^OBJECT<.*",
 }
-#: Rounds in which the levels of calls out of order may settle.
-MOST_ROUNDS = 64
 
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
 
@@ -86,24 +84,47 @@ def _late(calls: DataFrame) -> DataFrame:
     )
 
 
+def _shortened(edges: DataFrame) -> DataFrame:
+    """Dependencies with the same levels, past calls that wait for one other only.
+
+    Each round doubles the chains that a dependency spans. ``late`` adds up, to ``most`` + 1 at most,
+    which a chain into a cycle reaches.
+    """
+    going = True
+    while going:
+        one = edges.groupBy("conv_id", F.col("call_id").alias("on_id")).agg(
+            F.first("on_id").alias("next_id"), F.first("late").alias("more"), F.count("*").alias("n")
+        ).where("n = 1").drop("n")
+        longer = edges.join(one, ["conv_id", "on_id"], "left").withColumn("goes", F.col("next_id").isNotNull() & (F.col("late") <= F.col("most")))
+        edges = longer.groupBy("conv_id", "call_id", F.when(F.col("goes"), F.col("next_id")).otherwise(F.col("on_id")).alias("on_id")).agg(
+            F.max("most").alias("most"),
+            F.max(F.when(F.col("goes"), F.least(F.col("late") + F.col("more"), F.col("most") + 1)).otherwise(F.col("late"))).alias("late"),
+            F.max("goes").alias("goes"),
+        )
+        edges = written(edges, "late-edges")
+        going = not edges.where("goes").isEmpty()
+        edges = edges.drop("goes")
+    return edges
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """``(conv_id, call_id, level)`` of calls that may not stand where they do; null in a cycle.
 
     ``calls`` has unique ``(conv_id, call_id)``, ``place`` and ``after``. Sorted by level and
     place, each call comes behind those that it waits for: its level is at least theirs, and
     higher if they stand behind it. A transcript in order has no late dependency and so no row
-    here. Levels settle in as many rounds as the longest such chain has; calls that have not
-    settled after ``MOST_ROUNDS``, or whose level exceeds the late dependencies of their
-    conversation, are reported without a level.
+    here. Chains of calls that wait for one other each are shortened by doubling, then levels rise
+    until none moves. A level counts late dependencies, so one above those of the conversation
+    belongs to a cycle, or waits for one; it rises no further.
     """
     edges = written(_late(calls), "call-edges")
     late = edges.groupBy("conv_id").agg(F.sum("late").alias("most")).where("most > 0")
     at = calls.select("conv_id", "call_id").join(late, "conv_id").withColumn("level", F.lit(0).cast("long"))
     if edges.where("late = 1").isEmpty():
         return at.select("conv_id", "call_id", "level")
-    edges = written(edges.join(late.select("conv_id"), "conv_id", "left_semi"), "late-edges")
-    at = written(at, "levels")
-    for _ in range(MOST_ROUNDS):
+    edges = _shortened(written(edges.join(late, "conv_id"), "late-edges")).drop("most")
+    at, moved = written(at, "levels"), True
+    while moved:
         on = at.select("conv_id", F.col("call_id").alias("on_id"), F.col("level").alias("on_level"))
         raised = edges.join(on, ["conv_id", "on_id"]).groupBy("conv_id", "call_id").agg(F.max(F.col("on_level") + F.col("late")).alias("raised"))
         new = at.join(raised, ["conv_id", "call_id"], "left").select(
@@ -114,10 +135,7 @@ def levels(calls: DataFrame) -> DataFrame:
         new = written(new, "levels")
         moved = not new.where("moved").isEmpty()
         at = new
-        if not moved:
-            break
-    settled = (F.col("level") <= F.col("most")) & ~F.col("moved")
-    return at.select("conv_id", "call_id", F.when(settled, F.col("level")).alias("level"))
+    return at.select("conv_id", "call_id", F.when(F.col("level") <= F.col("most"), F.col("level")).alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

@@ -170,6 +170,16 @@ def test_cycles_have_no_level(spark):
     assert rows == {"a": None, "b": None, "c": None, "d": 0, "e": None}
 
 
+def test_long_chains_and_cycles_beside_them(spark):
+    reversed_ = [(1, f"{k}", k, 0, "g", "{}", [f"{k + 1}"]) for k in range(100)] + [(1, "100", 100, 0, "g", "{}", None)]
+    late = [(2, f"{k}", k, 0, "g", "{}", [f"{k + 100}"]) for k in range(40)] + [(2, f"{k + 100}", k + 100, 0, "g", "{}", None) for k in range(40)]
+    cycle = [(2, "a", 200, 0, "g", "{}", ["b"]), (2, "b", 201, 0, "g", "{}", ["a"])]
+    rows = {(r["conv_id"], r["call_id"]): r["level"] for r in linked(spark, reversed_ + late + cycle, [])}
+    assert [rows[1, f"{k}"] for k in range(101)] == list(range(100, -1, -1))
+    assert all(rows[2, f"{k}"] == 1 and rows[2, f"{k + 100}"] == 0 for k in range(40))
+    assert rows[2, "a"] is None and rows[2, "b"] is None
+
+
 def test_marked_calls(spark):
     text = 'x <tool_call>{"id": "7", "name": "f", "arguments": {"q": "a"}, "after": ["6"]}</tool_call> <tool_call>no</tool_call>'
     turns = spark.createDataFrame([(1, 2, "assistant", text), (1, 3, "tool", '<tool_result>{"id": "7", "content": "ok"}</tool_result>'), (1, 4, None, None)], "conv_id long, turn long, role string, text string")
