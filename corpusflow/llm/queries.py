@@ -15,6 +15,7 @@ from corpusflow.llm import (
     line_dedup,
     lm_scoring,
     packing,
+    personal,
     quality_classifier,
     quality_rules,
     secrets,
@@ -189,6 +190,26 @@ FROM ruled
 """
 
 
+@query
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.scan(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*personal.BASE))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select(
+        "doc_id",
+        *map(count, personal.BASE),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores"),
+    )
+
+
 @query
 def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     made = fill_middle.transform(table(spark, folder, "documents"))
