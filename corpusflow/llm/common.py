@@ -27,14 +27,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
-def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc_id`` and ``text`` (null: empty) and the columns ``more``; all others are left out.
+def small_batches(spark: SparkSession) -> None:
+    """See to it that rows go to Python in batches of a few megabytes."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, BATCH)
 
-    Sees to it that texts go to Python in batches of a few megabytes.
-    """
-    conf = docs.sparkSession.conf
-    if conf.get(BATCH_BYTES, None) is None:
-        conf.set(BATCH_BYTES, BATCH)
+
+def texts(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id`` and ``text`` (null: empty) and the columns ``more``; all others are left out."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

@@ -12,6 +12,7 @@ from corpusflow.llm import (
     decontamination,
     fill_middle,
     jaccard_join,
+    lexical_search,
     line_dedup,
     lm_scoring,
     packing,
@@ -243,3 +244,34 @@ SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN a END AS prefix_chars,
     sha256(t) AS restored_sha256
 FROM parts
 """
+
+
+@query
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op13_lexical_search"] = r"""
+WITH terms AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents
+), counts AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL
+), lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id
+), total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counts CROSS JOIN total GROUP BY term
+), scored AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id) CROSS JOIN total
+    GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 50
+"""
