@@ -34,13 +34,11 @@ SCALE, TF_PART, M_PART, LEVEL, SLOPE = 1_000_000_000, 1000, 20, 50, 50
 STEP = 4096
 
 #: Characters of a segment; the terms that have blocks and are coordinates; documents of a block.
-SEGMENT_BYTES = 8_000_000
+SEGMENT_BYTES = 4_000_000
 COORDINATES = 512
 BLOCK = 64
-#: Numbers of a document's sketch, by which documents are compared.
+#: Bits of a document's sketch, by which documents are compared.
 SKETCH = 64
-#: Items whose bounds are held at a time.
-BOUNDS_AT_ONCE = 128
 
 INDEX = (
     "terms array<string>, df binary, doc_ids array<bigint>, n binary, at binary, term binary, tf binary, "
@@ -56,27 +54,36 @@ KINDS = {
 }
 
 
-def terms_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """All terms of a column of texts in order, the text of each, and the number of each text.
+def _bounds(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a column of texts, where each text begins, and where terms begin and end.
 
-    Works on the UTF-8 buffer of the column: a term begins where a byte of a term has none before
-    it in the same text.
+    A term begins where a byte of a term has none before it in the same text.
     """
     column = pa.concat_arrays([column]).cast(pa.large_string())
     edge = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[edge[0] : edge[-1]] if data is not None and edge[-1] > edge[0] else np.zeros(0, np.uint8)
     edge = edge - edge[0]
-    inside = IN_TERM[raw]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    full = edge[:-1][np.diff(edge) > 0]
-    first[full] = inside[full]
-    starts = np.flatnonzero(first)
+    inside = np.zeros(len(raw) + 2, bool)
+    np.take(IN_TERM, raw, out=inside[1:-1])
+    change = inside[1:] != inside[:-1]
+    places = np.flatnonzero(change)
+    starts, ends = places[::2], places[1::2]
+    # Terms that run on from one text into the next are two.
+    cuts = edge[1:-1][(edge[1:-1] > edge[:-2]) & (edge[1:-1] < len(raw))]
+    cuts = cuts[inside[cuts] & inside[cuts + 1]]
+    if len(cuts):
+        starts, ends = np.sort(np.r_[starts, cuts]), np.sort(np.r_[ends, cuts])
+    return raw, edge, starts, ends
+
+
+def terms_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All terms of a column of texts in order, the text of each, and the number of each text."""
+    raw, edge, starts, ends = _bounds(column)
     doc = np.searchsorted(edge, starts, "right") - 1
     # The bytes of terms alone, one term behind the other.
-    offsets = np.r_[(np.cumsum(inside) - 1)[starts], np.count_nonzero(inside)].astype(np.int64)
-    body = LOWER[raw[inside]]
+    offsets = np.r_[0, np.cumsum(ends - starts)]
+    body = LOWER[raw[IN_TERM[raw]]]
     terms = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
     return terms, doc, np.bincount(doc, minlength=len(column)).astype(np.int64)
 
@@ -105,11 +112,11 @@ def corpus_size(docs: DataFrame) -> tuple[int, int]:
 def clusters(sketch: np.ndarray, docs: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """``docs`` in an order of like documents, and where its blocks of at most ``block`` begin.
 
-    Evenly spaced documents of the list are the centres, each document goes to the centre with the
-    largest inner product; a cluster above the size is cut.
+    Evenly spaced documents of the list are the centres, each document goes to the centre whose
+    sketch differs in the fewest bits, so whose angle is least; a cluster above the size is cut.
     """
     centres = sketch[docs[:: max(1, block // 2)]]
-    nearest = (sketch[docs] @ centres.T).argmax(axis=1)
+    nearest = np.bitwise_count(sketch[docs][:, None] ^ centres).argmin(axis=1)
     order = np.argsort(nearest, kind="stable")
     sizes = np.bincount(nearest)
     starts = np.cumsum(sizes) - sizes
@@ -142,10 +149,10 @@ def segment(ids: pa.Array, column: pa.Array, corpus: tuple[int, int], coordinate
     dense = np.zeros((len(n), max(blocked, 1)), np.uint8)
     frequent = term < blocked
     dense[doc[frequent], term[frequent]] = np.minimum(-(-v[frequent] // STEP), 255)
-    # Sketches: a random projection of the documents' values, which keeps angles roughly.
-    signs = np.random.default_rng(1).integers(0, 2, (max(blocked, 1), SKETCH)).astype(np.float32) * 2 - 1
-    sketch = dense.astype(np.float32) @ signs
-    sketch /= np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-9)
+    # A bit is the side of a random plane through the mean on which a document's values lie.
+    signs = np.random.default_rng(1).integers(0, 2, (SKETCH, dense.shape[1])).astype(np.float32) * 2 - 1
+    sides = np.einsum("dt,st->ds", dense.astype(np.float32) - dense.mean(axis=0, dtype=np.float32), signs) > 0
+    sketch = np.packbits(sides, axis=1).view(np.uint64)[:, 0] if len(n) else np.zeros(0, np.uint64)
     block_at, block_docs, owner, summary, base = [np.zeros(1, np.int64)[:0]], [], [], [], 0
     for t in range(blocked):
         ordered, cuts = clusters(sketch, list_docs[list_at[t] : list_at[t + 1]], block)
@@ -252,15 +259,7 @@ def search_segment(s: Segment, items: list[tuple[np.ndarray, np.ndarray]], best:
     """
     asked = read = 0
     new = np.ones(len(s.n), bool)
-    table = s.summary.astype(np.float64)
     for q, (terms, weight) in enumerate(items):
-        if q % BOUNDS_AT_ONCE == 0:
-            # Upper bounds of all blocks for some items: whole numbers, exact in floating point.
-            dense = np.zeros((s.blocked, min(BOUNDS_AT_ONCE, len(items) - q)))
-            for j, (t, w) in enumerate(items[q : q + BOUNDS_AT_ONCE]):
-                frequent = (s.here[t] >= 0) & (s.here[t] < s.blocked)
-                dense[s.here[t][frequent], j] = w[frequent]
-            bounds = table @ dense
         present = s.here[terms] >= 0
         here, weights = s.here[terms][present], weight[present]
         if not len(here):
@@ -281,10 +280,11 @@ def search_segment(s: Segment, items: list[tuple[np.ndarray, np.ndarray]], best:
         if lists:
             score(np.concatenate(lists))
         if s.blocks:
+            frequent = here[here < s.blocked]
             mine = np.zeros(s.blocked, bool)
-            mine[here[here < s.blocked]] = True
+            mine[frequent] = True
             blocks = np.flatnonzero(mine[s.block_owner])
-            bound = bounds[blocks, q % BOUNDS_AT_ONCE] * STEP
+            bound = (s.summary[np.ix_(blocks, frequent)] * s.weights[frequent]).sum(axis=1) * STEP
             asked += len(blocks)
             order = np.argsort(-bound, kind="stable")
             for some in (order[:8], order[8:]):
@@ -390,7 +390,7 @@ def _ranked(index: DataFrame, corpus: tuple[int, int], block: list[tuple[int, li
 
 def store(index: DataFrame, path: str) -> DataFrame:
     """Write an index and read it again: row groups hold a few segments, so that readers do too."""
-    index.write.option("parquet.block.size", 32 << 20).parquet(path)
+    index.write.options(**{"parquet.block.size": 32 << 20, "compression": "zstd"}).parquet(path)
     return index.sparkSession.read.schema(INDEX).parquet(path)
 
 
