@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import batches, kept, part, texts, written
+from corpusflow.llm.common import batches, part, texts, written
 
-#: Words kept with their ids in a process, in each of two generations: when the younger is full it
-#: becomes the older one, and words of the older that come again move to the younger.
-CACHED_WORDS = 450_000
+#: Bytes of the words that a task keeps with their ids, in two generations: when the younger has half
+#: of them it becomes the older one, and words of the older that come again move to the younger.
+CACHE_BYTES = 48 << 20
+#: Bytes of an entry besides the word's characters and ids: two objects and a place in the table.
+ENTRY_BYTES = 180
+#: Bytes of texts that are worked on at a time: their words are objects, ten times that size.
+TEXTS_BYTES = 1 << 20
 #: Fixed value: a special token of the vocabulary.
 MARK = "<|endoftext|>"
 #: Latin letters whose lower case is one letter each, then signs that form one pre-token.
 LETTERS_SIGNS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([.,!?#$%&*;:|]*)")
+#: Texts that tell whether a tokenizer works word by word.
+PROBES = (
+    "Plain words, in a row. And more", "two  spaces\nlines\n\nÉtude naïve Straße ÑANDÚ", "don't we'll I'M o'clock (a) [b] #c $5 %x",
+    "x=1;y=22 3.14 a-b_c/d\\e", " lead and trail ", "1,000 2nd v2.0", "漢字 かな 😀 e\u0301 \u00a0x\ty\r\nz", "end.\nNew... \"q\" <b>", "word", "",
+)
 #: Pieces that one task packs at a time. Each such group leaves about one sequence part-filled.
-GROUP_PIECES = 8_192
+GROUP_PIECES = 16_384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -31,17 +41,44 @@ class WordIds:
     For tokenizers whose pre-tokenizer never joins characters across a space or line feed and
     parts letters from signs; each word between spaces is encoded once and then looked up. A word
     of plain letters and closing signs is put together from the ids of both, its letters in lower
-    case if ``lower`` says that the tokenizer ignores case.
+    case if the tokenizer ignores case. Whether a tokenizer is of this kind is tried on ``PROBES``;
+    texts go whole to any other (``by_word`` is false).
     """
 
-    def __init__(self, path: str, lower: bool = True):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(MARK)
-        self.lower = lower
+        whole = self.whole(PROBES)
+        for self.lower in (True, False):
+            self.forget()
+            try:
+                # Once as new words and once as known ones.
+                self.by_word = self.looked_up(PROBES) == whole == self.looked_up(PROBES)
+            except ValueError:
+                self.by_word = False
+            if self.by_word:
+                break
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.size = 0
+
+    def whole(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of texts that are encoded as they are."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
+
+    def keep(self, word: str, ids: bytes) -> None:
+        self.known[word] = ids
+        self.size += ENTRY_BYTES + len(word) + len(ids)
+
+    def letters(self, words: list[str]) -> None:
+        """Encode words of ASCII letters, which no rule before the merges changes."""
+        merge, keep = self.tokenizer.model.tokenize, self.keep
+        for w in words:
+            keep(w, np.array([t.id for t in merge(w)], "<u4").tobytes())
 
     def encode(self, words: list[str]) -> None:
         """Encode words, many at once with a special token between them."""
@@ -53,27 +90,25 @@ class WordIds:
             if len(cuts) != len(some) - 1:
                 raise ValueError(f"{MARK} does not stand between all words")
             for w, a, b in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-                self.known[w] = ids[a:b].tobytes()
+                self.keep(w, ids[a:b].tobytes())
         rest = [w for w in words if w not in self.known]
-        for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, ids in zip(rest, self.whole(rest)):
+            self.keep(w, ids)
 
     def learn(self, words: set[str]) -> None:
         known, older, new, match = self.known, self.older, set(), LETTERS_SIGNS.fullmatch
-        joined, heads, tails = [], [], []
+        joined, heads, tails, plain = [], [], [], set()
 
-        def want(part: str) -> None:
+        def want(part: str, to: set[str]) -> None:
             if part not in known:
                 if part in older:
-                    known[part] = older[part]
+                    self.keep(part, older[part])
                 else:
-                    new.add(part)
+                    to.add(part)
 
         for w in words:
             if w in older:
-                known[w] = older[w]
+                self.keep(w, older[w])
             elif found := match(w):
                 letters, signs = found.groups()
                 if self.lower:
@@ -81,18 +116,19 @@ class WordIds:
                 joined.append(w)
                 heads.append(letters)
                 tails.append(signs)
-                want(letters)
-                want(signs)
+                want(letters, plain if letters.isascii() else new)
+                want(signs, new)
             else:
                 new.add(w)
+        self.letters(list(plain))
         self.encode(list(new))
         for w, letters, signs in zip(joined, heads, tails):
-            known[w] = known[letters] + known[signs]
+            if signs or w != letters:
+                self.keep(w, known[letters] + known[signs])
 
-    def __call__(self, column: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > CACHED_WORDS:
-            self.known, self.older = {"": b""}, self.known
+    def looked_up(self, column: Sequence[str]) -> list[bytes]:
+        if self.size > CACHE_BYTES // 2:
+            self.known, self.older, self.size = {"": b""}, self.known, 0
         get, new, texts = self.known.get, set(), []
         for text in column:
             words = text.replace("\n", " ").split(" ")
@@ -114,18 +150,26 @@ class WordIds:
                 texts[n] = b"".join(ids)
         return texts
 
+    def __call__(self, column: Sequence[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        return self.looked_up(column) if self.by_word else self.whole(column)
+
 
 def token_pieces(docs: DataFrame, tokenizer: str, sequence_tokens: int = 4096, end_id: int = 1) -> DataFrame:
     """Token pieces of each document: ``(doc_id, piece, start, length, ids_crc32)``.
 
     A document's ids and ``end_id`` are cut every ``sequence_tokens``. Null and empty texts are
-    the end id alone; null ids of documents and repeated rows are kept as rows of their own.
+    the end id alone; null ids of documents and repeated rows are kept as rows of their own. Very
+    long texts are cut like others, and a text's ids are in memory whole. ``tokenizer`` is the path
+    of any tokenizer file; see ``WordIds``. Other columns are left out, so their names cannot clash.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, width = kept(tokenizer, lambda: WordIds(tokenizer)), 4 * sequence_tokens
-        for b in batches(it, keeps=True):
+        # A task is one thread; threads of the library's own would each keep memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        ids_of, width = WordIds(tokenizer), 4 * sequence_tokens
+        for b in batches(it, TEXTS_BYTES):
             rows = []
             for doc, ids in zip(b[0].to_pylist(), ids_of(b[1].to_pylist())):
                 ids += end

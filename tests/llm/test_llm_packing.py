@@ -33,6 +33,28 @@ def test_pieces_equal_the_tokenizer(documents, tokenizer, prose):
         assert at == len(ids)
 
 
+def test_other_tokenizers_get_whole_texts(documents, prose):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.WordIds(word_tokenizer()).by_word and not packing.WordIds(path).by_word
+    other = Tokenizer.from_file(path)
+    texts = ["Hello  World", " a\nb ", "Don't É 漢字", prose.prose(300)]
+    rows = packing.token_pieces(documents(list(enumerate(texts))), path).collect()
+    want = {i: zlib.crc32(np.array(other.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in rows} == want
+
+
+def test_small_cache_gives_the_same_ids(prose, monkeypatch):
+    texts = [prose.prose(200) + " Mot É été! " + "漢字" * k for k in range(40)]
+    big = packing.WordIds(word_tokenizer())
+    want = [big([t])[0] for t in texts]
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    small = packing.WordIds(word_tokenizer())
+    assert [small([t])[0] for t in texts] == want == big.whole(texts)
+    assert small.older and small.size < 200_000
+
+
 def check_sequences(rows, tokens, documents_, cost):
     bins = defaultdict(list)
     for r in rows:
