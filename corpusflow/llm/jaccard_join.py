@@ -85,14 +85,18 @@ def repetitions(threshold: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(lost))
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    return texts(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+
+
 def _keyed(docs: DataFrame, n: int, reps: int) -> DataFrame:
-    """Each document's set as two hashes, its size and the paths of the first level."""
+    """Each document's set as two hashes, its size and the paths of the first level; a hash of its text."""
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
         for b in batches(it):
             rows = []
-            for doc, text in zip(b[0].to_pylist(), b[1].to_pylist()):
+            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
                 grams = shingles(text)
                 if len(grams):
                     whole = xxhash.xxh3_128_intdigest(grams.tobytes())
@@ -101,9 +105,10 @@ def _keyed(docs: DataFrame, n: int, reps: int) -> DataFrame:
                 else:
                     rows.append((doc, None, None, 0, []))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "s1", "s2", "size", "keys"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+            yield pa.record_batch([b["text_hash"], *columns], ["text_hash", "doc_id", "s1", "s2", "size", "keys"])
 
-    return texts(docs).mapInArrow(each, "doc_id long, s1 long, s2 long, size int, keys array<long>")
+    return hashed(docs).mapInArrow(each, "text_hash long, doc_id long, s1 long, s2 long, size int, keys array<long>")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -249,16 +254,16 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     runs repeat until a pair at the threshold is met with chance ``recall``. Rows without words
     or without an id have no links; without words the class is their own id.
     """
-    docs = texts(docs)
     reps = repetitions(threshold, recall)
     keyed = written(_keyed(docs, n, reps), "sets")
     with_set = keyed.where("doc_id IS NOT NULL AND size > 0")
-    distinct = with_set.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
-    distinct = written(distinct, "distinct-sets")
+    # A set goes by the first half of its hash; rows may share an id and differ in their texts.
+    one = with_set.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    distinct = written(one.select(F.col("s1").alias("rep"), "s2", "one.*", "copies", "keys"), "distinct-sets")
     # The first level. What shares no path with another set is done.
     level = written(_shared(distinct.select("rep", F.explode("keys").alias("key"))), "buckets")
-    wanted = distinct.join(level.select("rep").distinct(), "rep", "left_semi").select("rep", "s1", "s2", "copies")
-    stored = written(_stored(docs, wanted, n), "members")
+    wanted = distinct.join(level.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "text_hash", "copies")
+    stored = written(_stored(docs, wanted), "members")
     final, hot = [level.where(F.col("n") <= BUCKET)], level.where(F.col("n") > BUCKET)
     for k in range(1, LEVELS):
         if hot.isEmpty():
@@ -272,30 +277,32 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
         buckets = buckets.unionByName(more)
     found = written(linked(buckets, stored, lambda: packed_shingles(n), threshold), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(found.select("rep", "root")).select(F.col("node").alias("rep"), "root")
-    of_set = distinct.select("s1", "s2", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
-    of_set = of_set.select("s1", "s2", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    ids = distinct.select("rep", "doc_id")
+    members = components(found.select("rep", "root")).withColumnRenamed("node", "rep")
+    least = members.join(ids, "rep").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    classes = members.join(least, "root").select("rep", "class_id")
+    of_set = distinct.select("rep", "s2", "doc_id", "copies").join(links, "rep", "left").join(classes, "rep", "left")
+    of_set = of_set.select(
+        F.col("rep").alias("s1"), "s2", F.coalesce("class_id", "doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    )
     rows = keyed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("s1")).alias("s1"), "s2").join(of_set, ["s1", "s2"], "left")
     return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _stored(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """Texts, compressed, of the documents that stand for the sets in ``wanted``."""
+def _stored(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts, compressed before they are shuffled, of the documents that stand for the sets in ``wanted``.
+
+    Rows may share an id; the hash of the text says which of them has the set.
+    """
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, small = Shingles(n), zstandard.ZstdCompressor(level=3)
+        small = zstandard.ZstdCompressor(level=3)
         for b in batches(it):
-            rows = []
-            for rep, s1, s2, copies, text in zip(*(b[k].to_pylist() for k in range(5))):
-                # Rows may share an id; only the text that has the set counts.
-                if xxhash.xxh3_128_intdigest(shingles(text).tobytes()) == ((s1 + 2**63) << 64) + s2 + 2**63:
-                    rows.append((rep, copies, small.compress(text.encode())))
-            kinds = [pa.int64(), pa.int64(), pa.binary()]
-            columns = zip(*rows) if rows else [[]] * 3
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["rep", "copies", "data"])
-
-    found = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "s1", "s2", "copies", "text")
-    return found.mapInArrow(each, "rep long, copies long, data binary").dropDuplicates(["rep"])
+            data = pa.array((small.compress(t.encode()) for t in b["text"].to_pylist()), pa.binary())
+            yield pa.record_batch([b["doc_id"], b["text_hash"], data], ["doc_id", "text_hash", "data"])
+
+    found = hashed(docs).where("doc_id IS NOT NULL").mapInArrow(each, "doc_id long, text_hash long, data binary")
+    return found.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("rep", "copies", "data")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -259,3 +259,12 @@ def test_short_items_and_every_fourth_word(spark, documents, prose):
         want = {k: align_by_hand(code(x), code(t)) / (2 * len(code(x))) for k, x in items}
         want = {k: s for k, s in want.items() if s >= 0.5}
         assert i % 100 in want and got[i] == {k: pytest.approx(s, abs=1e-6) for k, s in want.items()}
+
+
+def test_rows_that_share_an_id_keep_their_own_links(documents, prose):
+    from corpusflow.llm import jaccard_join
+
+    a, b = prose.prose(120), prose.prose(120)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, prose.prose(120)), (1, a)]
+    got = sorted(tuple(r) for r in jaccard_join.join(documents(rows)).collect())
+    assert got == [(1, 1, 1), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 1), (4, 4, 0)]
