@@ -4,27 +4,30 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import batches, part, texts, written
 
-#: Bytes of the words that a task keeps with their ids, in two generations: when the younger has half
-#: of them it becomes the older one, and words of the older that come again move to the younger.
-CACHE_BYTES = 48 << 20
+#: Bytes of the words that a task keeps with their ids, before it begins again without any.
+CACHE_BYTES = 32 << 20
 #: Bytes of an entry besides the word's characters and ids: two objects and a place in the table.
 ENTRY_BYTES = 180
-#: Bytes of texts that are worked on at a time: their words are objects, ten times that size.
-TEXTS_BYTES = 1 << 20
+#: Bytes of texts that are worked on at a time.
+TEXTS_BYTES = 4 << 20
 #: Fixed value: a special token of the vocabulary.
 MARK = "<|endoftext|>"
 #: Latin letters whose lower case is one letter each, then signs that form one pre-token.
-LETTERS_SIGNS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([.,!?#$%&*;:|]*)")
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+"
+LETTERS_SIGNS = f"^(?P<letters>{LETTERS})(?P<signs>[.,!?#$%&*;:|]*)$"
+LATIN = re.compile(LETTERS.replace("A-Z", ""))
 #: Texts that tell whether a tokenizer works word by word.
 PROBES = (
     "Plain words, in a row. And more", "two  spaces\nlines\n\nÉtude naïve Straße ÑANDÚ", "don't we'll I'M o'clock (a) [b] #c $5 %x",
@@ -39,10 +42,10 @@ class WordIds:
     """Ids of whole texts, word by word.
 
     For tokenizers whose pre-tokenizer never joins characters across a space or line feed and
-    parts letters from signs; each word between spaces is encoded once and then looked up. A word
-    of plain letters and closing signs is put together from the ids of both, its letters in lower
-    case if the tokenizer ignores case. Whether a tokenizer is of this kind is tried on ``PROBES``;
-    texts go whole to any other (``by_word`` is false).
+    parts letters from signs. The words between spaces are numbered in Arrow, and only different
+    ones are looked at: a word of plain letters and closing signs is put together from the ids of
+    both, its letters in lower case if the tokenizer ignores case. Whether a tokenizer is of this
+    kind is tried on ``PROBES``; texts go whole to any other (``by_word`` is false).
     """
 
     def __init__(self, path: str):
@@ -50,36 +53,32 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(MARK)
-        whole = self.whole(PROBES)
+        # How the pre-tokenizer writes letters beyond ASCII, each by itself.
+        before = self.tokenizer.pre_tokenizer
+        self.written = {k: "".join(x for x, _ in before.pre_tokenize_str(chr(k))) for k in range(0xC0, 0x17F)} if before else {}
+        probes = pa.array(PROBES)
+        whole, edges = self.whole(probes)
         for self.lower in (True, False):
-            self.forget()
+            self.known: dict[str, bytes] = {}
+            self.size = 0
             try:
-                # Once as new words and once as known ones.
-                self.by_word = self.looked_up(PROBES) == whole == self.looked_up(PROBES)
+                ids, cuts = self.looked_up(probes)
             except ValueError:
                 self.by_word = False
+            else:
+                self.by_word = np.array_equal(ids, whole) and np.array_equal(cuts, edges)
             if self.by_word:
                 break
 
-    def forget(self) -> None:
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.size = 0
-
-    def whole(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids of texts that are encoded as they are."""
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
+    def whole(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are encoded as they are, and where those of each text begin and end."""
+        found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, "<u4"), *found]), np.r_[0, np.cumsum([len(f) for f in found], dtype=np.int64)]
 
     def keep(self, word: str, ids: bytes) -> None:
         self.known[word] = ids
         self.size += ENTRY_BYTES + len(word) + len(ids)
 
-    def letters(self, words: list[str]) -> None:
-        """Encode words of ASCII letters, which no rule before the merges changes."""
-        merge, keep = self.tokenizer.model.tokenize, self.keep
-        for w in words:
-            keep(w, np.array([t.id for t in merge(w)], "<u4").tobytes())
-
     def encode(self, words: list[str]) -> None:
         """Encode words, many at once with a special token between them."""
         plain = [w for w in words if "<|" not in w] if self.mark is not None else []
@@ -92,66 +91,44 @@ class WordIds:
             for w, a, b in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
                 self.keep(w, ids[a:b].tobytes())
         rest = [w for w in words if w not in self.known]
-        for w, ids in zip(rest, self.whole(rest)):
-            self.keep(w, ids)
-
-    def learn(self, words: set[str]) -> None:
-        known, older, new, match = self.known, self.older, set(), LETTERS_SIGNS.fullmatch
-        joined, heads, tails, plain = [], [], [], set()
-
-        def want(part: str, to: set[str]) -> None:
-            if part not in known:
-                if part in older:
-                    self.keep(part, older[part])
-                else:
-                    to.add(part)
-
-        for w in words:
-            if w in older:
-                self.keep(w, older[w])
-            elif found := match(w):
-                letters, signs = found.groups()
-                if self.lower:
-                    letters = letters.lower()
-                joined.append(w)
-                heads.append(letters)
-                tails.append(signs)
-                want(letters, plain if letters.isascii() else new)
-                want(signs, new)
-            else:
-                new.add(w)
-        self.letters(list(plain))
-        self.encode(list(new))
-        for w, letters, signs in zip(joined, heads, tails):
-            if signs or w != letters:
-                self.keep(w, known[letters] + known[signs])
-
-    def looked_up(self, column: Sequence[str]) -> list[bytes]:
-        if self.size > CACHE_BYTES // 2:
-            self.known, self.older, self.size = {"": b""}, self.known, 0
-        get, new, texts = self.known.get, set(), []
-        for text in column:
-            words = text.replace("\n", " ").split(" ")
-            ids = list(map(get, words))
-            if None in ids:
-                gaps = [k for k, i in enumerate(ids) if i is None]
-                unknown = [words[k] for k in gaps]
-                new.update(unknown)
-                texts.append((ids, gaps, unknown))
+        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+            self.keep(w, np.array(e.ids, "<u4").tobytes())
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of different words. Those of Latin letters go to the merges right away."""
+        if self.size > CACHE_BYTES:
+            self.known, self.size = {}, 0
+        new = [w for w in words if w not in self.known]
+        merge, latin, others = self.tokenizer.model.tokenize, LATIN.fullmatch, []
+        for w in new:
+            if latin(w):
+                found = merge(w if w.isascii() else w.translate(self.written))
+                self.keep(w, struct.pack(f"<{len(found)}I", *(t.id for t in found)))
             else:
-                texts.append(b"".join(ids))
-        self.learn(new)
-        get = self.known.get
-        for n, text in enumerate(texts):
-            if not isinstance(text, bytes):
-                ids, gaps, unknown = text
-                for k, w in zip(gaps, unknown):
-                    ids[k] = get(w)
-                texts[n] = b"".join(ids)
-        return texts
-
-    def __call__(self, column: Sequence[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+                others.append(w)
+        self.encode(others)
+        return list(map(self.known.__getitem__, words))
+
+    def looked_up(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        found = pc.extract_regex(words, LETTERS_SIGNS)
+        letters, signs = (pc.struct_field(found, k) for k in ("letters", "signs"))
+        heads = pc.if_else(found.is_valid(), pc.utf8_lower(letters) if self.lower else letters, words).dictionary_encode()
+        tails = pc.if_else(found.is_valid(), signs, "").dictionary_encode()
+        ids = self.ids_of(heads.dictionary.to_pylist()) + self.ids_of(tails.dictionary.to_pylist())
+        pool, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = np.cumsum(size) - size
+        # Each word is a head and a tail in the pool.
+        pieces = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + len(heads.dictionary)], axis=1)[code].ravel()
+        length = size[pieces]
+        ends = np.cumsum(length)
+        out = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[pieces] - (ends - length), length)]
+        return out, np.r_[0, ends][2 * np.asarray(parts.offsets, np.int64)]
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned 32-bit ids of all texts of a column, and where those of each begin and end."""
         return self.looked_up(column) if self.by_word else self.whole(column)
 
 
@@ -163,22 +140,25 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence_tokens: int = 4096, e
     long texts are cut like others, and a text's ids are in memory whole. ``tokenizer`` is the path
     of any tokenizer file; see ``WordIds``. Other columns are left out, so their names cannot clash.
     """
-    end = np.array([end_id], "<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A task is one thread; threads of the library's own would each keep memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, width = WordIds(tokenizer), 4 * sequence_tokens
+        ids_of = WordIds(tokenizer)
         for b in batches(it, TEXTS_BYTES):
-            rows = []
-            for doc, ids in zip(b[0].to_pylist(), ids_of(b[1].to_pylist())):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), width)):
-                    piece = ids[at : at + width]
-                    rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names)
+            found, edges = ids_of(b["text"])
+            ends = edges[1:] + np.arange(b.num_rows)
+            ids = np.insert(found, edges[1:], np.uint32(end_id)).astype("<u4")
+            starts, rows = np.r_[0, ends[:-1] + 1][: b.num_rows], []
+            data = memoryview(ids).cast("B")
+            for doc, a, z in zip(b["doc_id"].to_pylist(), starts.tolist(), (ends + 1).tolist()):
+                for k, at in enumerate(range(a, z, sequence_tokens)):
+                    piece = data[4 * at : 4 * min(at + sequence_tokens, z)]
+                    rows.append((doc, k, at - a, len(piece) // 4, zlib.crc32(piece)))
+            columns = zip(*rows) if rows else [[]] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     return texts(docs).mapInArrow(cut, PIECES)
 

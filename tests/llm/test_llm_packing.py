@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -48,11 +49,13 @@ def test_other_tokenizers_get_whole_texts(documents, prose):
 def test_small_cache_gives_the_same_ids(prose, monkeypatch):
     texts = [prose.prose(200) + " Mot É été! " + "漢字" * k for k in range(40)]
     big = packing.WordIds(word_tokenizer())
-    want = [big([t])[0] for t in texts]
+    want, edges = big.whole(pa.array(texts))
     monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
-    small = packing.WordIds(word_tokenizer())
-    assert [small([t])[0] for t in texts] == want == big.whole(texts)
-    assert small.older and small.size < 200_000
+    for ids_of in (big, packing.WordIds(word_tokenizer())):
+        got, cuts = zip(*(ids_of(pa.array(["cut", t]).slice(1)) for t in texts))
+        assert np.array_equal(np.concatenate(got), want)
+        assert [c.tolist() for c in cuts] == [[0, n] for n in np.diff(edges)]
+    assert ids_of.size < 200_000
 
 
 def check_sequences(rows, tokens, documents_, cost):
