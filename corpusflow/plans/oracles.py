@@ -416,5 +416,5 @@ ORACLES: dict[str, str] = {
             case when ok then g.context else '' end as context
         from judged join gathered g using (question_id) join cited using (question_id)""",
 }
-ORACLES["knn_grid"] = ORACLES["knn_exact"]
+ORACLES["knn_grid"] = ORACLES["knn_bounded"] = ORACLES["knn_exact"]
 ORACLES["search_hnsw"] = ORACLES["knn_lsh"]

@@ -13,7 +13,7 @@ from corpusflow.functions import clean, packing, sections
 from corpusflow.functions.packing import Packing
 from corpusflow.functions.tokens import FunctionCounter, WordCounter
 from corpusflow.functions.vectors import l2_normalize, score
-from corpusflow.operators import chunking, ivf, retrieval, search
+from corpusflow.operators import bounded, chunking, ivf, retrieval, search
 from corpusflow.operators.embedding import HashedWords, Model, embed, embed_new, with_content_key
 from corpusflow.operators.lsh import search_buckets
 from corpusflow.plans import tables
@@ -477,6 +477,13 @@ def knn_exact(spark, folder):
     return _hits(search.search(_label_questions(spark, folder), tables.vectors(spark, folder)))
 
 
+@query
+def knn_bounded(spark, folder):
+    """The same hits from the cells whose bounds say that they can hold one."""
+    stored, cells = tables.stored_bounds(spark, folder)
+    return _hits(bounded.search_bounded(_label_questions(spark, folder), stored, cells))
+
+
 @query
 def knn_grid(spark, folder):
     """The same search in blocks, as for more questions than can be sent around."""

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.vectors import l2_normalize
+from corpusflow.operators.bounded import read_cells, write_cells
 from corpusflow.operators.chunking import chunk_documents, with_chunk_key
 from corpusflow.operators.embedding import HashedWords, embed
-from corpusflow.operators.ivf import assign_cells, collect_centroids
+from corpusflow.operators.ivf import assign_cells, collect_centroids, train_centroids
 from corpusflow.operators.lsh import write_buckets
 from corpusflow.session import handed_over, shared_folder
 from corpusflow.sources.chunk_store import write_chunks
@@ -140,6 +141,19 @@ def stored_cells(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return read_vectors(spark, f"{path}/vectors"), read_centroids(spark, f"{path}/centroids")
 
 
+def stored_bounds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors parted by cells of k-means, and the cells with their reach."""
+
+    def write(path: str) -> None:
+        rows = vectors(spark, folder).select("vec_key", "embedding")
+        centroids = train_centroids(rows)
+        write_vectors(assign_cells(rows, centroids), f"{path}/vectors")
+        write_cells(read_vectors(spark, f"{path}/vectors"), centroids, f"{path}/cells")
+
+    path = _store(spark, folder, "embeddings", "bounds", write)
+    return read_vectors(spark, f"{path}/vectors"), read_cells(spark, f"{path}/cells")
+
+
 def stored_buckets(spark: SparkSession, folder: str, tables: int, bits: int) -> str:
     """Path of the vectors stored by hash bucket."""
     return _store(
