@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.vectors import finite, score
+from corpusflow.operators.graph import search_graph
 from corpusflow.operators.ivf import assign_cells, collect_centroids, search_ivf, train_centroids
 from corpusflow.operators.knn import TOP_K, search_exact
 from corpusflow.operators.lsh import search_lsh
 
-# The kinds of index. "hnsw" asks for a fast approximate search, which hash
-# buckets provide here.
+# The kinds of index. "hnsw" asks for a fast approximate search, along a graph of
+# neighbours or in hash buckets.
 METHODS = ("flat", "ivf", "hnsw")
 
 
@@ -21,14 +22,16 @@ def search(
     """Best ``k`` vectors per question as ``(question_id, rank, vec_key, score)``.
 
     ``ivf`` takes ``centroids``, a table of them or an array, if ``vectors`` has the ``cell_id`` that
-    they gave; without them it trains ``cells`` centroids first.
+    they gave; without them it trains ``cells`` centroids first. ``hnsw`` goes along a ``graph`` from
+    ``build_graph``; without one it looks into hash buckets.
     """
     if method not in METHODS:
         raise ValueError(f"Unknown index type: {method}")
     if method == "flat":
         return search_exact(questions, vectors, k, **options)
     if method == "hnsw":
-        return search_lsh(questions, vectors, k, **options)
+        graph = options.pop("graph", None)
+        return search_lsh(questions, vectors, k, **options) if graph is None else search_graph(questions, vectors, graph, k, **options)
     centroids, cells = options.pop("centroids", None), options.pop("cells", None)
     if centroids is None:
         centroids = train_centroids(vectors, cells)

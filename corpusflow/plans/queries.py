@@ -26,8 +26,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 SMALL = Packing(chunk_size=64, overlap=12)
 TINY = Packing(chunk_size=40, overlap=8)
 QUESTION_DIMENSION = 64
-PROBES = 3
-TABLES, BITS = 8, 4
+# Probes and tables that find nine of ten neighbours of questions far from all vectors.
+PROBES = 8
+TABLES, BITS = 12, 3
 SHORT_QUESTION = 150
 
 REGISTRY: dict[str, Query] = {}
@@ -548,6 +549,13 @@ def search_hnsw(spark, folder):
     )
 
 
+@query
+def knn_graph(spark, folder):
+    """The approximate search along a stored graph of neighbours."""
+    graph = tables.stored_graph(spark, folder)
+    return _hits(search.search(_text_questions(spark, folder), tables.vectors(spark, folder), method="hnsw", graph=graph))
+
+
 @query
 def knn_recall(spark, folder):
     """Recall of both approximate searches against the exact one."""

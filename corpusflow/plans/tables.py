@@ -15,6 +15,7 @@ from corpusflow.functions.vectors import l2_normalize
 from corpusflow.operators.bounded import read_cells, write_cells
 from corpusflow.operators.chunking import chunk_documents, with_chunk_key
 from corpusflow.operators.embedding import HashedWords, embed
+from corpusflow.operators.graph import build_graph
 from corpusflow.operators.ivf import assign_cells, collect_centroids, train_centroids
 from corpusflow.operators.lsh import write_buckets
 from corpusflow.session import handed_over, shared_folder
@@ -154,6 +155,13 @@ def stored_bounds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     return read_vectors(spark, f"{path}/vectors"), read_cells(spark, f"{path}/cells")
 
 
+def stored_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """The graph of neighbours of the vectors: ``(vec_key, near)``."""
+    return spark.read.parquet(
+        _store(spark, folder, "embeddings", "graph", lambda path: build_graph(vectors(spark, folder)).write.parquet(path))
+    )
+
+
 def stored_buckets(spark: SparkSession, folder: str, tables: int, bits: int) -> str:
     """Path of the vectors stored by hash bucket."""
     return _store(
