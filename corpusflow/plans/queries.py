@@ -64,10 +64,7 @@ def _flat(chunks: DataFrame) -> DataFrame:
 
 def write_files(files: DataFrame, folder: str) -> None:
     """Write ``(name, content)`` rows as files, each by the task that holds its row."""
-    context = files.sparkSession.sparkContext
-    hadoop = context._jvm.org.apache.hadoop.fs.Path(folder)
-    # A folder without a scheme is one of the file system that the cluster has by default.
-    whole = hadoop.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    whole = text_files.qualified(files.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(whole)

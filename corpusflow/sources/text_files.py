@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.session import handed_over
+
 # Fixed value: which files of a folder are documents.
 FILE_PATTERN = "*.txt"
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -39,20 +44,82 @@ def as_documents(files: DataFrame) -> DataFrame:
     )
 
 
-def read_papers(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents ``(doc_key, source_file, text)`` of the files directly in a folder.
+LISTED = "folder string, name string, length bigint"
+#: Files that a listing task hands on at a time, and bytes of files that a task reads at a time.
+LISTED_ROWS = 10_000
+READ_BYTES = 8 << 20
+#: Bytes and files of about so many make a task of the scan.
+TASK_BYTES, TASK_FILES = 128 << 20, 20_000
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with its scheme; one without is of the file system that the cluster has by default."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return hadoop.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
+def list_files(folders: DataFrame, pattern: str = FILE_PATTERN) -> DataFrame:
+    """``(folder, name, length)`` of the files directly in each of ``folders(folder)``, empty ones too.
+
+    Each folder is listed by the task that holds its row, so no name passes through the driver.
+    Folders need a scheme; see ``qualified``.
+    """
 
-    Spark's scan skips empty files. They are what its listing has beyond the scan, and count as
-    documents with an empty text.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("folder", pa.string()), ("name", pa.string()), ("length", pa.int64())])
+        for b in batches:
+            for folder in b.column("folder").to_pylist():
+                system, path = fs.FileSystem.from_uri(folder)
+                found = [f for f in system.get_file_info(fs.FileSelector(path)) if f.is_file and fnmatchcase(f.base_name, pattern)]
+                for k in range(0, len(found), LISTED_ROWS):
+                    some = found[k : k + LISTED_ROWS]
+                    yield pa.record_batch([[folder] * len(some), [f.base_name for f in some], [f.size for f in some]], schema=kind)
+
+    return folders.select("folder").mapInArrow(run, LISTED)
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """``files`` of ``list_files`` as ``(path, length, content)``, each read by the task that holds its row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+        systems: dict[str, tuple[fs.FileSystem, str]] = {}
+
+        def made(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kind.types)], schema=kind)
+
+        for b in batches:
+            rows, size = [], 0
+            for folder, name, length in zip(*(c.to_pylist() for c in b.columns)):
+                if folder not in systems:
+                    systems[folder] = fs.FileSystem.from_uri(folder)
+                system, path = systems[folder]
+                with system.open_input_stream(f"{path}/{name}") as file:
+                    content = file.read()
+                rows.append((f"{folder.rstrip('/')}/{name}", length, content))
+                size += len(content)
+                if size >= READ_BYTES:
+                    yield made(rows)
+                    rows, size = [], 0
+            if rows:
+                yield made(rows)
+
+    return files.select("folder", "name", "length").mapInArrow(run, "path string, length bigint, content binary")
+
+
+def read_papers(spark: SparkSession, *folders: str) -> DataFrame:
+    """Documents ``(doc_key, source_file, text)`` of the files directly in the folders.
+
+    Tasks list the folders; the list is written, and its files are dealt to the tasks that read
+    them, as many as their bytes and their number ask for. Empty files count as documents with an
+    empty text. A folder that is not there raises an error.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", FILE_PATTERN).load(folder)
-    listed = spark.createDataFrame([(unquote(p.rsplit("/", 1)[-1]),) for p in files.inputFiles()], "name string")
-    read = files.select(F.element_at(F.split("path", "/"), -1).alias("name"))
-    empty = listed.join(read, "name", "left_anti").select(
-        F.col("name").alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"),
-        F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content"),
-    )
-    return as_documents(files.unionByName(empty))
+    named = spark.createDataFrame([(qualified(spark, f),) for f in folders], "folder string")
+    listed = handed_over(list_files(named.repartition(len(folders))), "files")
+    n, size = listed.agg(F.count("*"), F.sum("length")).first()
+    tasks = max(1, -(-(size or 0) // TASK_BYTES), -(-n // TASK_FILES), min(n, spark.sparkContext.defaultParallelism))
+    return as_documents(read_files(listed.repartition(tasks, F.xxhash64("folder", "name"))))
 
 
 def stream_papers(spark: SparkSession, folder: str, files_per_batch: int = 10_000) -> DataFrame:

@@ -34,6 +34,20 @@ def test_papers_of_a_folder(spark, folder):
     assert rows["0810.1v2"].text == raw == "one\ntwo\nthree  é\n"
 
 
+def test_papers_of_several_folders(spark, folder, tmp_path):
+    (tmp_path / "more").mkdir()
+    for k in range(50):
+        (tmp_path / "more" / f"{k}.txt").write_text("x" * k)
+    rows = text_files.read_papers(spark, str(folder), str(tmp_path / "more"))
+    assert rows.count() == 53 and {r.doc_key for r in rows.where("text = ''").collect()} == {"empty", "0"}
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "LocalRelation" not in plan and "inputFiles" not in plan
+    (tmp_path / "none").mkdir()
+    assert text_files.read_papers(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="not"):
+        text_files.read_papers(spark, str(tmp_path / "missing"))
+
+
 def test_replacement_characters_of_a_text_stay(spark, tmp_path):
     cases = {"valid": "a\ufffdb\r\n".encode(), "broken": b"\xff\xef\xbf\xbd\xe2\x82x\xef\xbf\xbd\xef\xbf", "é ü": b"\xc3"}
     for name, content in cases.items():
