@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.functions.vectors import DIMENSION, plain_words
+from corpusflow.session import handed_over
+from corpusflow.sources import versioned
 
 # Fixed value: texts per model call.
 BATCH_SIZE = 128
@@ -138,3 +140,26 @@ def embed_new(
     new = keyed.select("content_key").distinct().join(stored.select("content_key"), "content_key", "left_anti")
     fetched = keyed.join(new, "content_key", "left_semi").groupBy("content_key").agg(F.first(text).alias(text))
     return embed(fetched, embedder, text)
+
+
+def embed_sync(texts: DataFrame, path: str, embedder: HashedWords | Model) -> dict | None:
+    """Bring the versioned table ``path`` in line with ``texts(vec_key, text)``, keys being distinct.
+
+    Afterwards it holds ``(vec_key, content_key, embedding)`` of just these texts, as if it had been
+    made from them. Keys and digests say what is new, changed or deleted; only new and changed texts
+    are moved and embedded. If ``texts`` has a ``content_key`` already, other texts are not
+    even read. All changes appear at once. Texts that are null have no vector. Returns the
+    manifest; nothing is written if nothing has changed.
+    """
+    spark = texts.sparkSession
+    if "content_key" not in texts.columns:
+        texts = with_content_key(texts)
+    texts = texts.select("vec_key", "content_key", "text").where("content_key IS NOT NULL")
+    now = versioned.manifest(spark, path)
+    stored = versioned.read_version(spark, path, ["vec_key", "content_key"]) if now else None
+    changes = handed_over(versioned.differences(texts, stored, "vec_key", "content_key"), "changes")
+    if now and changes.isEmpty():
+        return now
+    moved = changes.where("change != 'deleted'").select("vec_key")
+    rows = embed(texts.join(moved, "vec_key", "left_semi"), embedder)
+    return versioned.commit(rows, changes.where("change != 'new'"), path, ["vec_key"], based_on=now)

@@ -14,12 +14,12 @@ from corpusflow.functions.packing import Packing
 from corpusflow.functions.tokens import FunctionCounter, WordCounter
 from corpusflow.functions.vectors import l2_normalize, score
 from corpusflow.operators import bounded, chunking, ivf, retrieval, search
-from corpusflow.operators.embedding import HashedWords, Model, embed, embed_new, with_content_key
+from corpusflow.operators.embedding import HashedWords, Model, embed, embed_new, embed_sync, with_content_key
 from corpusflow.operators.lsh import search_buckets
 from corpusflow.plans import tables
 from corpusflow.session import handed_over, shared_folder
-from corpusflow.sources import chunk_store, text_files, vector_store
-from corpusflow.streaming.ingest import start_chunk_stream
+from corpusflow.sources import chunk_store, text_files, vector_store, versioned
+from corpusflow.streaming.ingest import current_chunks, start_chunk_stream, start_paper_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -154,6 +154,20 @@ def embed_incremental(spark, folder):
     )
 
 
+@query
+def embed_sync_store(spark, folder):
+    """Papers stored, then some changed, some deleted and some added, as a rebuild would have them."""
+    rows = tables.table(spark, folder, "documents").select(F.col("doc_id").alias("vec_key"), "lang", "text")
+    old = F.when(F.col("vec_key") % 5 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))
+    out = shared_folder(spark, "synchronised")
+    embed_sync(rows.where("lang != 'fr'").withColumn("text", old), out, HashedWords())
+    for _ in range(2):
+        embed_sync(rows.where("lang != 'de'"), out, HashedWords())
+    return versioned.read_version(spark, out).select(
+        "vec_key", "content_key", F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("used_buckets")
+    )
+
+
 def shape_model():
     """A stand-in for an embedding model: how long a text is, and how many words it has."""
     return lambda texts: [[len(t), len(t.split(" ")), 1.0] for t in texts]
@@ -425,6 +439,28 @@ def stream_chunks(spark, folder):
     return _flat(spark.read.parquet(f"{out}/chunks"))
 
 
+@query
+def stream_redelivered(spark, folder):
+    """Papers that arrive up to three times, out of order and over a restart; the last delivery counts."""
+    rows = tables.papers(spark, folder)
+    out = shared_folder(spark, "deliveries")
+    third, stale = F.col("doc_key") % 3 == 0, F.concat("text", F.lit(" stale"))
+
+    def deliver(number: int, papers: DataFrame, text: Column) -> None:
+        papers.withColumns({"text": text, "delivered": F.lit(number)}).write.mode("append").parquet(f"{out}/in")
+
+    def ingest() -> None:
+        stream = spark.readStream.schema(spark.read.parquet(f"{out}/in").schema).parquet(f"{out}/in")
+        start_paper_stream(stream, f"{out}/papers", f"{out}/state").awaitTermination()
+
+    deliver(1, rows, stale)
+    deliver(3, rows.where(third), F.col("text"))
+    ingest()
+    deliver(2, rows, F.when(third, stale).otherwise(F.col("text")))
+    ingest()
+    return _flat(current_chunks(spark, f"{out}/papers"))
+
+
 # Vectors and search
 
 
