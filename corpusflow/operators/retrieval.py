@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from corpusflow.functions.text import strip
 from corpusflow.operators.search import search
+from corpusflow.session import handed_over
+from corpusflow.sources import versioned
 from corpusflow.sources.chunk_store import key_bucket
 
 # Wording and layout of context, citations and prompts.
@@ -209,15 +211,50 @@ def complete(prompts: DataFrame, factory: Callable[[], AnswerModel]) -> DataFram
     return prompts.mapInArrow(run, schema)
 
 
+#: Prompts that are answered before their answers are committed; a broken-off run loses no more.
+STORED_PROMPTS = 10_000
+
+
+def complete_once(prompts: DataFrame, factory: Callable[[], AnswerModel], store: str | None = None) -> DataFrame:
+    """``complete``, with one call of the model for all rows that have the same messages.
+
+    With ``store``, the path of a versioned table ``(prompt_key, answer, error)``, answers that are
+    there are not asked for again. New ones are committed every ``STORED_PROMPTS``, so a run that
+    broke off goes on where it stopped. Prompts that failed are asked again by a later run.
+    """
+    spark = prompts.sparkSession
+    keyed = handed_over(prompts.withColumn("prompt_key", F.sha2(F.to_json("messages"), 256)), "prompts")
+    # Equal prompts meet by their hash and are combined before the shuffle.
+    missing = keyed.groupBy("prompt_key").agg(F.first("messages").alias("messages"))
+    if store is None:
+        answered = handed_over(complete(missing, factory), "answers")
+    else:
+        if versioned.manifest(spark, store):
+            known = versioned.read_version(spark, store, ["prompt_key", "error"]).where("error IS NULL")
+            missing = missing.join(known, "prompt_key", "left_anti")
+        missing = handed_over(missing, "missing-prompts")
+        blocks = -(-missing.count() // STORED_PROMPTS)
+        for b in range(blocks):
+            some = missing.where(F.pmod(F.xxhash64("prompt_key"), F.lit(blocks)) == b)
+            rows = handed_over(complete(some, factory), "answers")
+            versioned.commit(rows, rows, store, ["prompt_key"])
+        if not versioned.manifest(spark, store):
+            return complete(prompts, factory)  # there are no prompts at all
+        answered = versioned.read_version(spark, store)
+    return keyed.drop("messages").join(answered, "prompt_key").drop("prompt_key")
+
+
 def answer_questions(
     questions: DataFrame,
     retrieved: DataFrame,
     factory: Callable[[], AnswerModel],
     include_sources: bool = False,
     system_prompt: str = SYSTEM_PROMPT,
+    store: str | None = None,
 ) -> DataFrame:
     """Answers with sources and context: ``question_id, answer, sources, context, success,
-    error``. A failed answer keeps no sources and no context."""
+    error``. A failed answer keeps no sources and no context. Questions with the same prompt are
+    answered once, and with ``store`` once for all runs; see ``complete_once``."""
     gathered = gather_hits(retrieved)
     hit_type = gathered.schema["hits"].dataType
     asked = (
@@ -235,7 +272,7 @@ def answer_questions(
         cited = F.concat(answer, citation_text(F.col("hits")))
         answer = F.when(success, cited).otherwise(answer)
     kept = F.when(success, F.col("hits")).otherwise(F.array().cast(hit_type))
-    return complete(prompts, factory).select(
+    return complete_once(prompts, factory, store).select(
         "question_id",
         answer.alias("answer"),
         F.transform(kept, lambda h: F.struct(*[h[f] for f in SOURCE_FIELDS])).alias("sources"),

@@ -417,6 +417,7 @@ ORACLES: dict[str, str] = {
         from judged join gathered g using (question_id) join cited using (question_id)""",
 }
 ORACLES["knn_grid"] = ORACLES["knn_bounded"] = ORACLES["knn_exact"]
+ORACLES["answer_stored"] = ORACLES["answer_batch"]
 ORACLES["stream_redelivered"] = ORACLES["stream_chunks"]
 ORACLES["embed_sync_store"] = f"""with {hashed_cte("select doc_id as tid, text from documents where lang <> 'de'", 'h', 384)}
     select doc_id as vec_key, sha256(text) as content_key, count(bucket) as used_buckets

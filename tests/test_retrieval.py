@@ -88,6 +88,46 @@ def test_answers(retrieved, questions):
     assert plain.answer == "system"
 
 
+def counting_model(log, broken):
+    """A model that writes down each call, and fails for questions that have ``broken`` in them."""
+
+    def made():
+        def answer(messages):
+            question = messages[1]["content"].split("USER QUESTION: ")[1].split("\n")[0]
+            with open(log, "a") as out:
+                out.write(question + "\n")
+            if broken and broken in question:
+                raise RuntimeError("not now")
+            return question.upper()
+
+        return answer
+
+    return made
+
+
+def test_each_prompt_is_asked_once(spark, tmp_path, monkeypatch):
+    log, store = tmp_path / "calls", str(tmp_path / "answers")
+
+    def run(rows, broken=None, store=store):
+        before = log.read_text().split("\n") if log.exists() else []
+        asked = spark.createDataFrame(rows, "question_id long, question string")
+        hits = spark.createDataFrame([], "question_id long, rank int, paper_id string, section string, score double, chunk_index int, source_file string, total_chunks int, token_count int, text string")
+        got = retrieval.answer_questions(asked, hits, counting_model(str(log), broken), store=store)
+        answers = {r.question_id: (r.answer, r.error) for r in got.collect()}
+        return answers, len(log.read_text().split("\n")) - max(1, len(before)) if log.exists() else 0
+
+    rows = [(i, f"q{i % 4}") for i in range(20)]
+    assert run(rows, store=None) == ({i: (f"Q{i % 4}", None) for i in range(20)}, 4)
+    first, calls = run(rows, broken="3")
+    assert calls == 4 and first[0] == ("Q0", None) and first[3] == ("Sorry, I encountered an error: not now", "not now")
+    # What is stored is not asked again; what failed is, and what is new.
+    monkeypatch.setattr(retrieval, "STORED_PROMPTS", 1)
+    second, calls = run([*rows, (30, "q9"), (31, "q9")])
+    assert calls == 2 and second == {**{i: (f"Q{i % 4}", None) for i in range(20)}, 30: ("Q9", None), 31: ("Q9", None)}
+    assert run([(1, "q9")]) == ({1: ("Q9", None)}, 0)
+    assert run([]) == ({}, 0) and run([], store=str(tmp_path / "none")) == ({}, 0)
+
+
 def test_valid_questions(spark):
     rows = spark.createDataFrame([(1, " a? \n"), (2, " \t\n"), (3, ""), (4, None)], "question_id long, question string")
     assert [tuple(r) for r in retrieval.valid_questions(rows).collect()] == [(1, "a?")]
