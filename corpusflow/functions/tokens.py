@@ -2,14 +2,16 @@
 
 Packing needs the token count of many overlapping stretches of one text. A counter
 therefore measures every word and segment once and answers stretches from running sums.
-That is exact whenever the counter treats ``a + " " + b`` as ``a`` followed by ``" b"``,
-which holds for word counts, character counts and byte-pair encodings that attach a space
-to the word after it.
+What a stretch adds behind a space is the difference that it makes behind a plain word. That is
+exact whenever nothing is merged across a space that follows something else, which holds for word
+counts, character counts, byte-level encodings that attach a space to the word after it, encodings
+that drop spaces, and piece models that put a mark in front of each word and of the text
+(``tests/test_token_joins.py`` holds five encodings to it).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,8 +110,14 @@ class _Counts(dict):
         return n
 
 
-def _running_sums(counts: _Counts, items: Iterable[str], prefix: str) -> list[int]:
-    return np.cumsum([0] + [counts[prefix + item] for item in items]).tolist()
+#: A word that every counter takes, in front of what is counted behind a space.
+LEAD = "a"
+
+
+def _running_sums(counts: _Counts, items: list[str], spaced: bool) -> list[int]:
+    """Sums of the counts of ``items``, each alone or behind a space."""
+    lead, without = (f"{LEAD} ", counts[LEAD] if items else 0) if spaced else ("", 0)
+    return np.cumsum([0] + [counts[lead + item] - without for item in items]).tolist()
 
 
 class FunctionCounter:
@@ -151,8 +159,8 @@ class FunctionCounter:
                 tokens, found = count_text(s["text"]), {}
                 for items, own, spaced in (("words", "words_own", "words_spaced"), ("segments", "segments_own", "segments_spaced")):
                     over = s[items] if tokens > budget else []
-                    found[own] = _running_sums(counts, over, "")
-                    found[spaced] = _running_sums(counts, over, " ")
+                    found[own] = _running_sums(counts, over, False)
+                    found[spaced] = _running_sums(counts, over, True)
                 return {"tokens": tokens, **found}
 
             def measured(sections: list[dict] | None) -> list[dict] | None:
