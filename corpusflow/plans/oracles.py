@@ -416,7 +416,7 @@ ORACLES: dict[str, str] = {
             case when ok then g.context else '' end as context
         from judged join gathered g using (question_id) join cited using (question_id)""",
 }
-ORACLES["knn_grid"] = ORACLES["knn_bounded"] = ORACLES["knn_exact"]
+ORACLES["knn_grid"] = ORACLES["knn_bounded"] = ORACLES["knn_quantised"] = ORACLES["knn_exact"]
 ORACLES["answer_stored"] = ORACLES["answer_batch"]
 ORACLES["stream_redelivered"] = ORACLES["stream_chunks"]
 ORACLES["embed_sync_store"] = f"""with {hashed_cte("select doc_id as tid, text from documents where lang <> 'de'", 'h', 384)}

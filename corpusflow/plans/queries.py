@@ -13,7 +13,7 @@ from corpusflow.functions import clean, packing, sections
 from corpusflow.functions.packing import Packing
 from corpusflow.functions.tokens import FunctionCounter, WordCounter
 from corpusflow.functions.vectors import l2_normalize, score
-from corpusflow.operators import bounded, chunking, ivf, retrieval, search
+from corpusflow.operators import bounded, chunking, ivf, quantised, retrieval, search
 from corpusflow.operators.embedding import HashedWords, Model, embed, embed_new, embed_sync, with_content_key
 from corpusflow.operators.lsh import search_buckets
 from corpusflow.plans import tables
@@ -518,6 +518,13 @@ def knn_bounded(spark, folder):
     return _hits(bounded.search_bounded(_label_questions(spark, folder), stored, cells))
 
 
+@query
+def knn_quantised(spark, folder):
+    """The same hits from codes of a byte for each number, and few whole vectors."""
+    codes = tables.stored_codes(spark, folder)
+    return _hits(quantised.search_quantised(_label_questions(spark, folder), codes, tables.vectors(spark, folder)))
+
+
 @query
 def knn_grid(spark, folder):
     """The same search in blocks, as for more questions than can be sent around."""

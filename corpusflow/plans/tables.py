@@ -18,6 +18,7 @@ from corpusflow.operators.embedding import HashedWords, embed
 from corpusflow.operators.graph import build_graph
 from corpusflow.operators.ivf import assign_cells, collect_centroids, train_centroids
 from corpusflow.operators.lsh import write_buckets
+from corpusflow.operators.quantised import quantise
 from corpusflow.session import handed_over, shared_folder
 from corpusflow.sources.chunk_store import write_chunks
 from corpusflow.sources.vector_store import read_centroids, read_vectors, write_centroids, write_vectors
@@ -162,6 +163,13 @@ def stored_graph(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stored_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors with a byte for each number."""
+    return spark.read.parquet(
+        _store(spark, folder, "embeddings", "codes", lambda path: quantise(vectors(spark, folder)).write.parquet(path))
+    )
+
+
 def stored_buckets(spark: SparkSession, folder: str, tables: int, bits: int) -> str:
     """Path of the vectors stored by hash bucket."""
     return _store(
