@@ -106,14 +106,19 @@ def lines(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(each, LINES)
 
 
+#: A line is common on a host if it is in more documents than this, and than this share of them.
+MIN_DOCUMENTS, MIN_SHARE = 5, 0.05
+
+
 def common_lines(rows: DataFrame, min_documents: int, min_share: float) -> DataFrame:
     """``(host, line_hash)`` of lines in more documents of a host than the limits allow.
 
-    ``rows`` are those of ``lines``. Documents with the same text count once. The limit of a host
-    is ``min_documents`` or the share ``min_share`` of its documents, whichever is more.
+    ``rows`` are those of ``lines``. Documents of a host with the same text are one document, where
+    a line is counted and where the host is. The limit of a host is ``min_documents`` or the
+    share ``min_share`` of its documents with a word, whichever is more.
     """
     counted = rows.groupBy("host", "line_hash").agg(F.count_distinct("text_hash").alias("documents"))
-    hosts = rows.groupBy("host", "doc_id", "text_hash").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("of_host"))
+    hosts = rows.groupBy("host").agg(F.count_distinct("text_hash").alias("of_host"))
     often = counted.where(F.col("documents") > min_documents)
     limited = often.join(hosts, "host").where(F.col("documents") > min_share * F.col("of_host"))
     return limited.select("host", "line_hash")
@@ -124,14 +129,16 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 
 def judge(
-    docs: DataFrame, min_documents: int = 20, min_share: float = 0.0005, least_left: float = 0.3
+    docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE, least_left: float = 0.3
 ) -> DataFrame:
     """One row per row of ``docs``: its figures, the verdict and ``common``, its common lines.
 
     ``base_failed``: under 50 words, or more than half of the words in repeated windows.
     ``kept``: not failed, and at least ``least_left`` of its words stand in lines that are not
-    common on its host (``source``; null: the empty host). Null texts have no words and fail.
-    Repeated rows are judged alike, one by one.
+    common on its host (``source``; null: the empty host). Null and empty texts have no words and
+    fail. Repeated rows are judged alike, one by one; rows that share an id are judged by their texts.
+    A line at a limit is not common. Very long texts are judged whole, in memory one by one. Other
+    columns are left out, so their names cannot clash. An empty table gives no rows.
     """
     seen = written(lines(docs), "lines")
     often = common_lines(seen, min_documents, min_share).select(

@@ -118,6 +118,45 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).drop("text_hash", "common")
 
 
+ORACLES["op8_quality_rules"] = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents
+), split AS (
+    SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+    FROM d
+), places AS (
+    SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i,
+        unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS w
+    FROM split
+), windows AS (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM places
+), repeated AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n FROM windows CROSS JOIN (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY doc_id
+), lines AS (
+    SELECT doc_id, t, host, unnest(ls) AS line FROM split
+), normal AS (
+    SELECT doc_id, t, host, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+        regexp_replace(array_to_string(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'), ' '), '[0-9]+', '0', 'g') AS line
+    FROM lines
+), hosts AS (SELECT host, count(DISTINCT t) AS n FROM normal GROUP BY host
+), often AS (
+    SELECT host, line FROM normal JOIN hosts USING (host) GROUP BY host, line
+    HAVING count(DISTINCT t) > greatest(5, 0.05 * any_value(n))
+), lost AS (
+    SELECT doc_id, sum(words)::BIGINT AS n FROM normal JOIN often USING (host, line) GROUP BY doc_id
+), figures AS (
+    SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS common_words
+    FROM split LEFT JOIN repeated r USING (doc_id) LEFT JOIN lost l USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - common_words >= 0.3 * n_words AS kept
+FROM figures
+"""
+
+
 #: Functions that the turns of ``conversations`` call, and their parameters.
 CHAT_SCHEMAS = {
     "lookup": {"prompt": ("string", True), "words": ("integer", True)},

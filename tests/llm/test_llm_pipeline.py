@@ -14,16 +14,16 @@ from test_llm_copies import align_by_hand, classes, shingles
 FOLDER = "/root/testdata/sf0.001"
 
 
-def rules_by_hand(docs, min_documents=20):
-    families = defaultdict(set)
+def rules_by_hand(docs):
+    seen, hosts = defaultdict(set), defaultdict(set)
     hashes = {}
     for i, (t, source) in docs.items():
         hashes[i] = quality_rules.line_hashes(t)
-        distinct = sorted({h for h in hashes[i] if h is not None})
-        for h in distinct:
-            families[source, h].add(next((x for x in distinct if x != h), h))
-    per_host = Counter(source for _, source in docs.values())
-    common = {k for k, f in families.items() if len(f) > max(min_documents, 0.0005 * per_host[k[0]])}
+        for h in hashes[i]:
+            if h is not None:
+                seen[source, h].add(t)
+                hosts[source].add(t)
+    common = {k for k, d in seen.items() if len(d) > max(5, 0.05 * len(hosts[k[0]]))}
     kept = {}
     for i, (t, source) in docs.items():
         words = t.encode().split()

@@ -48,19 +48,35 @@ def test_common_lines_go_and_depleted_documents_too(documents, prose):
 
 
 def test_common_lines_by_hand(documents, prose):
-    """The limit and the families against a plain count."""
+    """The limits against a plain count; copies of a text are one document on both sides."""
     pool = [prose.prose(8) for _ in range(30)]
     rows = [(i, "\n".join(prose.rng.sample(pool, 3) + [prose.prose(60)]), f"h{i % 2}") for i in range(80)]
-    lines = {i: {h: t for h, t in zip(quality_rules.line_hashes(t), t.split("\n")) if h is not None} for i, t, _ in rows}
-    seen = {}
-    for i, _, host in rows:
-        for h in lines[i]:
-            others = sorted(x for x in lines[i] if x != h)
-            seen.setdefault((host, h), set()).add(others[0] if others else h)
-    want = {k for k, f in seen.items() if len(f) > 5}
-    got = quality_rules.common_lines(quality_rules.lines(documents(rows)), 5, 0.0).collect()
-    assert {(r["host"], r["line_hash"]) for r in got} == want
-    assert want
+    rows += [(100 + i, rows[0][1], "h0") for i in range(50)] + [(200, rows[0][1], "h1"), (201, None, "h1"), (202, rows[1][1], None)]
+    seen, hosts = {}, {}
+    for _, t, host in rows:
+        for h in quality_rules.line_hashes(t or ""):
+            if h is not None:
+                seen.setdefault((host or "", h), set()).add(t)
+                hosts.setdefault(host or "", set()).add(t)
+    for least, share in ((5, 0.0), (2, 0.15), (3, 0.1)):
+        want = {k for k, d in seen.items() if len(d) > least and len(d) > share * len(hosts[k[0]])}
+        got = quality_rules.common_lines(quality_rules.lines(documents(rows)), least, share).collect()
+        assert {(r["host"], r["line_hash"]) for r in got} == want
+        assert want
+
+
+def test_a_host_of_fifty_documents(documents, prose):
+    """A footer goes, whatever copies the host has, and pages of little else are rejected."""
+    menu = [f"menu {prose.prose(7)}" for _ in range(9)]
+    page = lambda k, n: "\n".join(menu + [f"{prose.prose(n)} {k}"])
+    rows = [(i, prose.prose(90)) for i in range(40)] + [(i, page(i, 70)) for i in range(40, 46)] + [(i, page(i, 8)) for i in range(46, 50)]
+    for copies in (0, 20):
+        some = rows + [(100 + k, rows[40][1]) for k in range(copies)]
+        judged = {r["doc_id"]: r for r in quality_rules.judge(documents(some)).collect()}
+        assert all(r["kept"] and not r["common_words"] for i, r in judged.items() if i < 40)
+        assert all(judged[i]["common_words"] == 72 for i in range(40, 50))
+        assert all(judged[i]["kept"] for i in judged if 40 <= i < 46 or i >= 100)
+        assert not any(judged[i]["kept"] or judged[i]["base_failed"] for i in range(46, 50))
 
 
 def test_clean_keeps_columns_and_nulls(documents):
