@@ -1,7 +1,8 @@
 """Tool calls and their results: linking, order, validation and canonical JSON.
 
-Only DataFrame functions. Nothing gathers a conversation: calls and results meet by hash join on
-their identifier, and order is a sort key of each call, so a conversation may have any size.
+Only DataFrame functions. Calls and results meet by hash join on their identifier, and order is a sort
+key of each call. Only conversations with a dependency against their turns are gathered for it, up to
+``FOLDED`` calls each; larger ones are ordered by joins, so a conversation may have any size.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import written
@@ -27,6 +29,9 @@ TYPES = {
     "object": "^OBJECT<.*",
 }
 
+#: Calls up to which the order of a conversation is found in one row.
+FOLDED = 2000
+
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
 
 
@@ -107,22 +112,75 @@ def _shortened(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _folded(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(conv_id, call_id, level)`` of conversations of up to ``FOLDED`` calls, each in one row.
+
+    Calls that wait for none are done first; each that is done counts down those that wait for it,
+    and raises their level. What is never counted down to none waits for a cycle. The work of a row is the
+    product of its calls and its dependencies, whatever their shape.
+    """
+    place = W.partitionBy("conv_id").orderBy("place", "call_id")
+    numbered = written(nodes.select("conv_id", "call_id", (F.row_number().over(place) - 1).alias("i")), "numbered-calls")
+    on = numbered.select("conv_id", F.col("call_id").alias("on_id"), F.col("i").alias("on"))
+    found = written(edges.join(numbered, ["conv_id", "call_id"]).join(on, ["conv_id", "on_id"]).select("conv_id", "i", "on", "late"), "numbered-edges")
+    waits = found.groupBy("conv_id", "i").agg(F.count("*").cast("int").alias("waits"))
+    followed = found.groupBy("conv_id", "on").agg(F.sort_array(F.collect_list(F.struct("i", "late"))).alias("by"))
+    of = followed.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("on", F.transform("by", lambda x: x["i"]).alias("i")))).alias("who"),
+                                         F.map_from_entries(F.collect_list(F.struct("on", F.transform("by", lambda x: x["late"]).alias("late")))).alias("late"))
+    row = numbered.join(waits, ["conv_id", "i"], "left").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("i", "call_id", F.coalesce("waits", F.lit(0)).alias("waits")))).alias("calls")
+    )
+    row = row.join(of, "conv_id").withColumn("waits", F.transform("calls", lambda c: c["waits"]))
+
+    def state(queue: Column, waits: Column, level: Column) -> Column:
+        return F.struct(queue.alias("queue"), waits.alias("waits"), level.alias("level"))
+
+    def step(st: Column, k: Column) -> Column:
+        done = F.get(st["queue"], k)
+        who, late = F.try_element_at("who", done), F.try_element_at("late", done)
+        here = F.get(st["level"], done)
+        level = F.transform(st["level"], lambda x, j: F.greatest(x, here + F.try_element_at(late, F.nullif(F.array_position(who, j).cast("int"), F.lit(0)))))
+        left = F.transform(st["waits"], lambda x, j: F.when(F.array_contains(who, j), x - 1).otherwise(x))
+        queue = F.concat(st["queue"], F.filter(who, lambda j: F.get(st["waits"], j) == 1))
+        return F.when(who.isNull(), st).otherwise(state(queue, left, level))
+
+    first = F.filter(F.transform("waits", lambda x, j: F.when(x == 0, j)), lambda j: j.isNotNull())
+    begin = state(first, F.col("waits"), F.transform("waits", lambda x: F.lit(0)))
+    end = row.select("conv_id", "calls", F.aggregate(F.sequence(F.lit(0), F.size("calls") - 1), begin, step).alias("end"))
+    each = end.select("conv_id", F.explode(F.arrays_zip("calls", F.col("end.waits").alias("waits"), F.col("end.level").alias("level"))).alias("c"))
+    return each.select("conv_id", "c.calls.call_id", F.when(F.col("c.waits") == 0, F.col("c.level")).cast("long").alias("level"))
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """``(conv_id, call_id, level)`` of calls that may not stand where they do; null in a cycle.
 
     ``calls`` has unique ``(conv_id, call_id)``, ``place`` and ``after``. Sorted by level and
     place, each call comes behind those that it waits for: its level is at least theirs, and
     higher if they stand behind it. A transcript in order has no late dependency and so no row
-    here. Chains of calls that wait for one other each are shortened by doubling, then levels rise
-    until none moves. A level counts late dependencies, so one above those of the conversation
-    belongs to a cycle, or waits for one; it rises no further.
+    here. Conversations of up to ``FOLDED`` calls take a fixed number of joins, see ``_folded``; larger
+    ones as many rounds as ``_risen`` needs.
     """
     edges = written(_late(calls), "call-edges")
     late = edges.groupBy("conv_id").agg(F.sum("late").alias("most")).where("most > 0")
-    at = calls.select("conv_id", "call_id").join(late, "conv_id").withColumn("level", F.lit(0).cast("long"))
-    if edges.where("late = 1").isEmpty():
-        return at.select("conv_id", "call_id", "level")
-    edges = _shortened(written(edges.join(late, "conv_id"), "late-edges")).drop("most")
+    size = calls.join(late, "conv_id").groupBy("conv_id").agg(F.count("*").alias("n"), F.first("most").alias("most"))
+    size = written(size, "late-conversations")
+    few, many = size.where(F.col("n") <= FOLDED), size.where(F.col("n") > FOLDED)
+    folded = _folded(calls.join(few, "conv_id", "left_semi"), edges.join(few, "conv_id", "left_semi"))
+    if many.isEmpty():
+        return folded
+    many = many.select("conv_id", "most")
+    return folded.unionByName(_risen(calls.select("conv_id", "call_id").join(many, "conv_id"), edges.join(many, "conv_id")))
+
+
+def _risen(at: DataFrame, edges: DataFrame) -> DataFrame:
+    """The levels of ``_folded`` by joins, for conversations of any size.
+
+    Chains of calls that wait for one other each are shortened by doubling, then levels rise
+    until none moves. A level counts late dependencies, so one above those of the conversation
+    belongs to a cycle, or waits for one; it rises no further.
+    """
+    at = at.withColumn("level", F.lit(0).cast("long"))
+    edges = _shortened(written(edges, "late-edges")).drop("most")
     at, moved = written(at, "levels"), True
     while moved:
         on = at.select("conv_id", F.col("call_id").alias("on_id"), F.col("level").alias("on_level"))
@@ -148,6 +206,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     ``status``: linked, unanswered, early (a result before its call), repeated, orphan or
     nameless (a null id, which links to nothing); ``problems``, see there; ``level``, the sort
     key before turn and seq, null in a cycle; ``json``, canonical JSON of call and result.
+    Equal rows are one call or result and its repetitions. Texts may be of any length. Empty tables
+    give no rows.
     """
     place = F.struct(F.col("turn").isNull(), "turn", F.col("seq").isNull(), "seq")
     calls = calls.select(

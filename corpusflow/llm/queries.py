@@ -166,22 +166,32 @@ CHAT_SCHEMAS = {
 
 @query
 def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    """Each user turn is a call that waits for the user turn two before, the turn behind it the result.
+    """Each user turn is a call, the turn behind it the result.
 
-    Calls and results that are marked in a text count as well.
+    A call waits for the user turn two before; by a hash of the conversation, in some all wait for the
+    one behind instead, and in some for both, so that calls wait for each other. By a hash of the turn some
+    break their schema or are made twice. Calls and results that are marked in a text count as well.
     """
     turns = table(spark, folder, "conversations")
     key = F.concat_ws(":", "conv_id", "turn")
+    drawn, whole = F.crc32(key), F.crc32(F.col("conv_id").cast("string"))
     words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+
+    def turn(by: int):
+        return F.concat_ws(":", F.col("conv_id"), F.col("turn") + by)
+
+    before, behind = F.when(F.col("turn") >= 2, turn(-2)), turn(2)
+    after = F.when(whole % 8 == 0, F.array(behind)).when(whole % 8 == 1, F.array(before, behind)).otherwise(F.array(before))
+    prompt = F.when(drawn % 13 != 0, F.col("text")).alias("prompt")
+    plain = F.to_json(F.struct(words.alias("words"), prompt))
+    wrong = F.to_json(F.struct(words.cast("string").alias("words"), prompt))
     calls = turns.where("role = 'user'").select(
-        "conv_id", key.alias("call_id"), "turn", F.lit(0).alias("seq"),
-        F.when(words <= 30, "lookup").otherwise("compose").alias("name"),
-        F.to_json(F.struct(words.alias("words"), F.col("text").alias("prompt"))).alias("arguments"),
-        F.when(F.col("turn") >= 2, F.array(F.concat_ws(":", F.col("conv_id"), F.col("turn") - 2))).alias("after"),
-    )
+        "conv_id", key.alias("call_id"), "turn", F.explode(F.when(drawn % 19 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("seq"),
+        F.when(drawn % 17 == 0, "search").when(words <= 30, "lookup").otherwise("compose").alias("name"),
+        F.when(drawn % 11 == 0, wrong).otherwise(plain).alias("arguments"), F.array_compact(after).alias("after"),
+    )
     results = turns.where("role = 'assistant'").select(
-        "conv_id", F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1).alias("call_id"), "turn", F.lit(0).alias("seq"),
-        F.col("text").alias("content"),
+        "conv_id", turn(-1).alias("call_id"), "turn", F.lit(0).alias("seq"), F.col("text").alias("content")
     )
     return chat_tools.link(
         calls.unionByName(chat_tools.marked_calls(turns)), results.unionByName(chat_tools.marked_results(turns)), CHAT_SCHEMAS

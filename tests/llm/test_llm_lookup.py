@@ -180,6 +180,54 @@ def test_long_chains_and_cycles_beside_them(spark):
     assert rows[2, "a"] is None and rows[2, "b"] is None
 
 
+def written_tables(spark):
+    import glob
+
+    return len(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/*"))
+
+
+def test_ladders_and_dense_cycles_take_few_tables(spark):
+    ladder = [(1, f"{k}", k, 0, "g", "{}", [f"{k + 1}", f"{k + 2}"]) for k in range(1000)]
+    dense = [(2, f"{k}", k, 0, "g", "{}", [f"{(k + 1) % 300}", f"{(k + 7) % 300}"]) for k in range(300)] + [(2, "free", 400, 0, "g", "{}", None)]
+    before = written_tables(spark)
+    rows = {(r["conv_id"], r["call_id"]): r["level"] for r in linked(spark, ladder + dense, [])}
+    assert written_tables(spark) - before <= 12
+    # The last call waits for none, the one before it for that one, and so on.
+    assert [rows[1, f"{k}"] for k in range(1000)] == list(range(999, -1, -1))
+    assert all(rows[2, f"{k}"] is None for k in range(300)) and rows[2, "free"] == 0
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_large_conversations_have_the_same_levels(spark, monkeypatch, seed):
+    import random
+
+    rng = random.Random(seed)
+    calls = []
+    for c in range(6):
+        place = list(range(12))
+        rng.shuffle(place)
+        calls += [(c, f"{k:02d}", place[k], 0, "g", "{}", [f"{j:02d}" for j in rng.sample(range(12 if c % 2 else k), min(k, 1 + c % 2))]) for k in range(12)]
+    folded = {(r["conv_id"], r["call_id"]): r["level"] for r in linked(spark, calls, [])}
+    monkeypatch.setattr(chat_tools, "FOLDED", 0)
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in linked(spark, calls, [])} == folded
+    assert {x is None for x in folded.values()} == {True, False} and max(x or 0 for x in folded.values()) > 2
+
+
+def test_the_query_orders_and_validates(spark):
+    """Every status, problem and kind of order that the query can have is there."""
+    from collections import Counter
+
+    from corpusflow.llm.queries import REGISTRY
+
+    rows = REGISTRY["op9_chat_formatting"](spark, "/root/testdata/sf0.01").collect()
+    status = Counter(r["status"] for r in rows)
+    assert status["linked"] > 100 and status["repeated"] > 3 and status["unanswered"] > 3
+    problems = Counter(p for r in rows for p in r["problems"])
+    assert {"words: not integer", "prompt: missing", "unknown function"} <= set(problems)
+    level = Counter(r["level"] for r in rows)
+    assert level[1] > 3 and level[None] > 1 and level[0] > 100
+
+
 def test_marked_calls(spark):
     text = 'x <tool_call>{"id": "7", "name": "f", "arguments": {"q": "a"}, "after": ["6"]}</tool_call> <tool_call>no</tool_call>'
     turns = spark.createDataFrame([(1, 2, "assistant", text), (1, 3, "tool", '<tool_result>{"id": "7", "content": "ok"}</tool_result>'), (1, 4, None, None)], "conv_id long, turn long, role string, text string")
