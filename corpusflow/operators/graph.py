@@ -119,7 +119,8 @@ def search_graph(
     round it expands its ``EXPANDED`` best candidates, which adds their neighbours that it has not
     scored before, and keeps the ``beam`` best. It ends when all of a beam are expanded, or after
     ``steps`` rounds, each of two joins: the candidates with the graph and their neighbours with the
-    vectors. The number of scores of each round is added to ``scored``. Vectors and questions with unknown
+    vectors. Of up to ``ENTRIES`` vectors all are scored at the start, so the hits are those of an exact
+    search. The number of scores of each round is added to ``scored``. Vectors and questions with unknown
     numbers have no hits.
     """
     asked = handed_over(questions.where(finite(F.col("embedding"))).select("question_id", F.col("embedding").alias("asked")), "graph-questions")
