@@ -64,14 +64,17 @@ class Items:
 
     def __init__(self, rows: Sequence[tuple[int, str]]):
         self.words: dict[bytes, int] = {}
-        self.ids, self.codes, first = [], [], {}
+        self.ids: list[list[int]] = []
+        self.codes, first = [], {}
         for item, text in sorted(rows):
             words = words_of(text)
             key = tuple(words)
+            if key in first and item not in self.ids[first[key]]:
+                self.ids[first[key]].append(item)  # equal items are searched as one
             if len(words) < GRAM or key in first:
-                continue  # equal items are searched as the first of them
-            first[key] = item
-            self.ids.append(item)
+                continue
+            first[key] = len(self.ids)
+            self.ids.append([item])
             self.codes.append(np.array([self.words.setdefault(w, len(self.words)) for w in words], np.int64))
         self.base = len(self.words) + 1
         self.own = [self.grams(c) for c in self.codes]
@@ -133,18 +136,18 @@ class Items:
         for k, offsets in diagonals.items():
             if len(offsets) < min(LEAST_SEEDS, self.chosen[k]):
                 continue
-            item, margin = self.codes[k], len(self.codes[k]) // 4 + 4
+            codes_of, margin = self.codes[k], len(self.codes[k]) // 4 + 4
             offsets = np.sort(offsets)
             best = (0, 0, 0)
             for group in np.split(offsets, np.flatnonzero(np.diff(offsets) > margin) + 1):
                 if len(group) < min(LEAST_SEEDS, self.chosen[k]):
                     continue
-                low, high = max(0, int(group[0]) - margin), int(group[-1]) + len(item) + margin
-                score, begin, end = align(item, codes[low:high])
+                low, high = max(0, int(group[0]) - margin), int(group[-1]) + len(codes_of) + margin
+                score, begin, end = align(codes_of, codes[low:high])
                 best = max(best, (score, low + begin, low + end))
-            share = best[0] / (MATCH * len(item))
+            share = best[0] / (MATCH * len(codes_of))
             if share >= least:
-                found.append((self.ids[k], share, best[1], best[2]))
+                found += [(item, share, best[1], best[2]) for item in self.ids[k]]
         return found
 
 
@@ -172,8 +175,10 @@ def search(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFra
 
     ``item_ids`` are all items whose best alignment reaches ``least``, as a share of the score of
     the whole item, ascending, with their ``scores``; ``item_id`` and the rest say which is best and the
-    words of the text, from 0, that it covers. Of equal items the least id stands for all;
-    items of fewer than ``GRAM`` words or without an id are not searched. Null texts match none.
+    words of the text, from 0, that it covers. Items with equal words are all found, each id once;
+    of items with equal scores the least id is the best. Items of fewer than ``GRAM`` words or without
+    an id are not searched. Null and empty texts match none, repeated rows match alike, and very
+    long texts are searched whole. Other columns are left out. Without documents there are no rows.
 
     Items are few beside documents: blocks of them, of bounded size, go to all tasks, and documents are
     scanned twice for each block, once to count its n-grams and once to match; nothing of the

@@ -217,7 +217,7 @@ def test_leaks_are_found(spark, documents, prose):
     assert all(i in found for i in want if i % 3 == 1) and len(found) >= 0.95 * len(want)
     assert not any(got[i]["leaked"] for i in range(0, 120, 3)) and not got[500]["leaked"] and not got[501]["leaked"]
     assert got[502]["item_id"] == 3 and got[502]["score"] == 1.0 and got[502]["begin"] == 0
-    assert got[503]["item_ids"] == list(range(20))
+    assert got[503]["item_ids"] == [*range(20), 53]
 
 
 def test_scores_equal_brute_force(spark, documents, prose):
@@ -268,3 +268,14 @@ def test_rows_that_share_an_id_keep_their_own_links(documents, prose):
     rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, prose.prose(120)), (1, a)]
     got = sorted(tuple(r) for r in jaccard_join.join(documents(rows)).collect())
     assert got == [(1, 1, 1), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 1), (4, 4, 0)]
+
+
+def test_equal_items_are_all_found(spark, documents, prose):
+    from corpusflow.llm import decontamination
+
+    a, b = prose.prose(20), prose.prose(20)
+    items = spark.createDataFrame([(7, a), (3, a.upper()), (5, b), (7, a), (9, a)], "item_id long, text string")
+    docs = documents([(1, f"x {a} y"), (2, prose.prose(60)), (3, f"{b} and {a}")])
+    rows = {r["doc_id"]: r for r in decontamination.search(docs, items).collect()}
+    assert rows[1]["item_ids"] == [3, 7, 9] and rows[1]["item_id"] == 3
+    assert rows[2]["item_ids"] == [] and rows[3]["item_ids"] == [3, 5, 7, 9]
