@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,26 @@ from corpusflow.llm.common import batches, mixed, runs, texts, written
 from corpusflow.llm.components import components
 from corpusflow.llm.jaccard_join import linked
 
-#: Characters of a shingle; a power of two. Shorter lines are left alone.
-SHINGLE = 8
-#: Bands, and the signature numbers of each: two lines whose sets have a similarity of 0.8 share a
-#: band with a chance of 99.5 %, of 0.3 with 8 %.
-BANDS, ROWS = 10, 4
+
+class Kind(NamedTuple):
+    """Lines of ``least`` to ``most`` characters, compared by shingles of ``width`` characters.
+
+    Two of them whose sets have a similarity of 0.8 share one of ``bands`` bands of ``rows``
+    signature numbers with a chance of over 99 %.
+    """
+
+    width: int
+    least: int
+    most: int
+    bands: int
+    rows: int
+
+
+#: One changed character breaks ``width`` shingles, which only lines of 39 characters survive at a
+#: width of 4 and of 79 at a width of 8. Short shingles meet by chance, so their bands are longer. Two
+#: lines meet in each kind that both belong to: lengths between 128 and 160 are in both, since
+#: alike lines differ in length by a fifth at most.
+KINDS = (Kind(4, 4, 159, 21, 7), Kind(8, 128, 2**31, 10, 4))
 BASE = 0x9E3779B97F4A7C15
 #: Characters that are hashed at a time, few enough to stay in a processor's cache.
 BLOCK_CHARS = 50_000
@@ -30,58 +46,65 @@ def normal(line: str) -> str:
 
 
 def key_of(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - 2**63
+    """Hash of a line, even: its last bit is left for a kind."""
+    return (xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - 2**63) & -2
 
 
-def shingle_hashes(codes: np.ndarray) -> np.ndarray:
-    """Hash of the ``SHINGLE`` characters from each position on, by doubling."""
-    h, width, base = codes.astype(np.uint64) + np.uint64(1), 1, BASE
-    while width < SHINGLE:
-        h = h[:-width] * np.uint64(base) + h[width:]
-        width, base = 2 * width, base * base % 2**64
+def shingle_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` characters from each position on, by doubling; ``width`` is a power of two."""
+    h, done, base = codes.astype(np.uint64) + np.uint64(1), 1, BASE
+    while done < width:
+        h = h[:-done] * np.uint64(base) + h[done:]
+        done, base = 2 * done, base * base % 2**64
     return mixed(h, 3)
 
 
-def shingle_set(line: str) -> np.ndarray:
-    return np.unique(shingle_hashes(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")))
+def shingle_set(line: str, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4"), width))
+
 
+def named_set(data: bytes) -> np.ndarray:
+    """The set of a stored line: the number of its kind, then its text."""
+    return shingle_set(data[1:].decode("utf-8", "surrogatepass"), KINDS[data[0]].width)
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """A row of ``BANDS`` hashes for each line of at least ``SHINGLE`` characters."""
+
+def band_keys(lines: list[str], number: int) -> np.ndarray:
+    """A row of hashes, one a band, for each of some lines of a kind; their last bit is its number."""
+    kind = KINDS[number]
     rng = np.random.default_rng(11)
-    odd = rng.integers(0, 2**31, (BANDS, ROWS), dtype=np.uint64).astype(np.uint32) * 2 + 1
-    found = np.empty((len(lines), BANDS), np.int64)
+    odd = rng.integers(0, 2**31, (kind.bands, kind.rows), dtype=np.uint64).astype(np.uint32) * 2 + 1
+    found = np.empty((len(lines), kind.bands), np.int64)
     first = 0
     while first < len(lines):
         last, chars = first, 0
         while last < len(lines) and chars < BLOCK_CHARS:
             chars += len(lines[last])
             last += 1
-        x, starts = line_shingles(lines[first:last])
-        least = np.empty((last - first, ROWS), np.uint32)
-        for b in range(BANDS):
-            for k in range(ROWS):
+        x, starts = line_shingles(lines[first:last], kind.width)
+        least = np.empty((last - first, kind.rows), np.uint32)
+        for b in range(kind.bands):
+            for k in range(kind.rows):
                 least[:, k] = np.minimum.reduceat(x * odd[b, k], starts)
             key = np.full(last - first, b + 1, np.uint64)
-            for k in range(ROWS):
+            for k in range(kind.rows):
                 key = mixed(key * np.uint64(BASE) + least[:, k], 1)
-            found[first:last, b] = key.view(np.int64)
+            found[first:last, b] = key.view(np.int64) & -2 | number
         first = last
     return found
 
 
-def line_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def line_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the shingles of all lines, and where each line's begin."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
     length = np.fromiter(map(len, lines), np.int64, len(lines))
     # Shingles that run over the end of a line are left out.
     whole = np.ones(len(codes), bool)
     ends = np.cumsum(length)
-    for k in range(1, SHINGLE):
+    for k in range(1, width):
         whole[ends - k] = False
-    hashes = shingle_hashes(codes)
+    hashes = shingle_hashes(codes, width)
     x = (hashes[whole[: len(hashes)]] >> np.uint64(32)).astype(np.uint32)
-    count = length - SHINGLE + 1
+    count = length - width + 1
     return x, np.cumsum(count) - count
 
 
@@ -90,15 +113,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _lines(text: str) -> list[tuple[int, str]]:
-    """Number and normal form of the lines that are long enough."""
+    """Number and normal form of the lines that are not blank."""
     found = ((k, " ".join(x.split())) for k, x in enumerate(text.lower().split("\n")))
-    return [(k, x) for k, x in found if len(x) >= SHINGLE]
+    return [(k, x) for k, x in found if x]
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, line_no, key, bands)`` of each line that is long enough.
+    """``(doc_id, text_hash, line_no, key, bands, data)`` of each line that is not blank.
 
-    Of equal lines of a batch only the first has ``bands``.
+    Of equal lines of a batch only the first has ``bands``, of all kinds that it belongs to, and
+    its normal form as ``data``.
     """
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,22 +132,23 @@ def places(docs: DataFrame) -> DataFrame:
             flat = [x for rows in found for x in rows]
             keys = np.array([key_of(x) for _, x in flat], np.int64)
             _, first = np.unique(keys, return_index=True)
-            bands = band_keys([flat[i][1] for i in first])
-            row = np.full(len(flat), -1)
-            row[first] = np.arange(len(first))
-            offsets = np.r_[0, np.cumsum(BANDS * (row >= 0))].astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[row[row >= 0]].ravel()), mask=pa.array(row < 0))
+            owner, bands = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            length = np.fromiter((len(flat[i][1]) for i in first), np.int64, len(first))
+            for number, kind in enumerate(KINDS):
+                own = first[(length >= kind.least) & (length <= kind.most)]
+                bands.append(band_keys([flat[i][1] for i in own], number).ravel())
+                owner.append(np.repeat(own, kind.bands))
+            owner, bands = np.concatenate(owner), np.concatenate(bands)
+            count = np.bincount(owner, minlength=len(flat))
+            offsets = pa.array(np.r_[0, np.cumsum(count)].astype(np.int32))
+            values = pa.array(bands[np.argsort(owner, kind="stable")])
+            listed = pa.ListArray.from_arrays(offsets, values, mask=pa.array(count == 0))
             number = pa.array([k for k, _ in flat], pa.int32())
-            yield pa.record_batch([b[0].take(at), b[1].take(at), number, pa.array(keys), listed], ["doc_id", "text_hash", "line_no", "key", "bands"])
-
-    return _keyed(docs).mapInArrow(each, "doc_id long, text_hash long, line_no int, key long, bands array<long>")
+            data = pa.array((x.encode("utf-8", "surrogatepass") if n else None for (_, x), n in zip(flat, count)), pa.binary())
+            names = ["doc_id", "text_hash", "line_no", "key", "bands", "data"]
+            yield pa.record_batch([b[0].take(at), b[1].take(at), number, pa.array(keys), listed, data], names)
 
-
-def _distinct(texts_: list[str], seen: dict[int, str]) -> dict[int, str]:
-    for t in texts_:
-        for _, x in _lines(t):
-            seen.setdefault(key_of(x), x)
-    return seen
+    return _keyed(docs).mapInArrow(each, "doc_id long, text_hash long, line_no int, key long, bands array<long>, data binary")
 
 
 def _shared(bands: DataFrame) -> DataFrame:
@@ -158,18 +183,18 @@ def _shared(bands: DataFrame) -> DataFrame:
     return bands.repartition("key").sortWithinPartitions("key").mapInArrow(each, "key long, rep long")
 
 
-def _stored(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(rep, copies, data)``: the lines with the keys in ``wanted``, as bytes."""
+def _line_key(rep: str) -> Column:
+    """The hash of a line, whatever the kind it is compared in."""
+    return F.col(rep).bitwiseAND(F.lit(-2).cast("long"))
 
-    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it):
-            lines = _distinct(b[1].to_pylist(), {})
-            data = pa.array((x.encode() for x in lines.values()), pa.binary())
-            yield pa.record_batch([pa.array(lines, pa.int64()), data], ["rep", "data"])
 
-    lines = texts(docs).select("doc_id", "text").mapInArrow(each, "rep long, data binary")
-    some = lines.join(wanted.hint("shuffle_hash"), "rep", "left_semi")
-    return some.groupBy("rep").agg(F.first("data").alias("data")).select("rep", F.lit(1).cast("long").alias("copies"), "data")
+def _stored(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(rep, copies, data)``: of the lines ``(key, data)`` those in ``wanted``, with the number of their kind in front."""
+    kinds = wanted.groupBy(_line_key("rep").alias("key")).agg(F.collect_set("rep").alias("reps"))  # two at most
+    some = lines.join(kinds.hint("shuffle_hash"), "key")
+    some = some.groupBy("key").agg(F.first("data").alias("data"), F.first("reps").alias("reps")).select("data", F.explode("reps").alias("rep"))
+    number = F.when(F.col("rep").bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(b"\x01")).otherwise(F.lit(b"\x00"))
+    return some.select("rep", F.lit(1).cast("long").alias("copies"), F.concat(number, "data").alias("data"))
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -179,22 +204,25 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 def repeated_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``(doc_id, text_hash, n_lines, removed)`` of each row of ``docs``.
 
-    ``removed`` are the numbers, from 0, of the ``\\n``-split lines that give way to another. Lines
-    are alike if their sets of ``SHINGLE``-character shingles, of lower-case text with single
-    spaces, have a Jaccard similarity of at least ``threshold``; of the lines that this connects the
-    first by ``doc_id``, hash of the text and line number stays. Lines shorter than a shingle
-    stay; null texts have one empty line. Equal 64-bit hashes count as equal lines. Rows that are
-    wholly equal are judged as one row, so all of them keep the same lines.
+    ``removed`` are the numbers, from 0, of the ``\\n``-split lines that give way to another. Lines,
+    in lower case with single spaces, are alike if they are equal, if both have 4 to 159 characters
+    and their sets of 4-character shingles a Jaccard similarity of at least ``threshold``, or if both
+    have at least 128 and their sets of 8-character shingles do; of the lines that this connects the
+    first by ``doc_id``, hash of the text and line number stays. Blank lines stay; null texts have
+    one empty line. Equal 63-bit hashes count as equal lines. Rows that are wholly equal are judged
+    as one row, so all of them keep the same lines. Other columns are not looked at.
     """
     all_places = written(places(docs), "places")
-    bands = all_places.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), F.col("key").alias("rep"))
+    bands = all_places.where("bands IS NOT NULL").select("key", F.explode("bands").alias("band"))
+    # A line is compared apart in each of its kinds.
+    bands = bands.select(F.col("band").alias("key"), F.col("key").bitwiseOR(F.col("band").bitwiseAND(F.lit(1).cast("long"))).alias("rep"))
     shared = written(_shared(bands).distinct(), "bands")
     buckets = written(shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key").select("rep", "key", "n"), "buckets")
-    stored = written(_stored(docs, buckets.select("rep").distinct()), "lines")
-    found = linked(buckets, stored, lambda: lambda data: shingle_set(data.decode()), threshold)
-    classes = components(found.select("rep", "root")).select(F.col("node").alias("key"), "root")
+    stored = written(_stored(all_places.where("data IS NOT NULL").select("key", "data"), buckets.select("rep").distinct()), "lines")
+    found = linked(buckets, stored, lambda: named_set, threshold)
+    classes = components(found.select(_line_key("rep").alias("rep"), _line_key("root").alias("root"))).select(F.col("node").alias("key"), "root")
     place = F.struct("doc_id", "text_hash", "line_no")
-    all_places = all_places.drop("bands")
+    all_places = all_places.drop("bands", "data")
     per_key = all_places.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     # A line that is there once and like no other stays.
     of_class = per_key.join(classes.hint("shuffle_hash"), "key", "left").where("n > 1 OR root IS NOT NULL")
@@ -212,8 +240,6 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     )
 
 
-
-
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` with the lines that stay; documents that lose all lines with a word are left out.
 

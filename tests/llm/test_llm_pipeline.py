@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from corpusflow.llm import decontamination, line_dedup, quality_rules
 from corpusflow.llm.queries import ORACLES, REGISTRY, word_tokenizer
-from test_llm_copies import align_by_hand, classes, shingles
+from test_llm_copies import align_by_hand, classes, line_sets, shingles
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -50,14 +50,14 @@ def alike_by_hand(sets, least=0.8):
 
 
 def lines_by_hand(docs):
-    places, sets, order = [], {}, {}
+    places = []
     for i, (t, _) in docs.items():
         for k, x in enumerate(t.split("\n")):
             x = line_dedup.normal(x)
-            if len(x) >= 8:
+            if x:
                 places.append((i, k, x))
-                sets[x] = {x[p : p + 8] for p in range(len(x) - 7)}
-    root = classes(alike_by_hand(sets), sets)
+    kinds = line_sets({x for *_, x in places})
+    root = classes([p for sets in kinds for p in alike_by_hand(sets)], {x for *_, x in places})
     first = {}
     for i, k, x in sorted(places):
         first.setdefault(root[x], (i, k))
