@@ -42,7 +42,15 @@ BLOCK_CHARS = 50_000
 
 def normal(line: str) -> str:
     """A line in lower case with single spaces."""
-    return " ".join(line.lower().split())
+    return _spaced(line.lower())
+
+
+def _spaced(line: str) -> str:
+    """``line`` with single spaces; most lines have them already, which is told without cutting words."""
+    # All white space but the space itself counts as not printable.
+    if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":
+        return line
+    return " ".join(line.split())
 
 
 def key_of(line: str) -> int:
@@ -114,7 +122,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _lines(text: str) -> list[tuple[int, str]]:
     """Number and normal form of the lines that are not blank."""
-    found = ((k, " ".join(x.split())) for k, x in enumerate(text.lower().split("\n")))
+    found = ((k, _spaced(x)) for k, x in enumerate(text.lower().split("\n")))
     return [(k, x) for k, x in found if x]
 
 

@@ -201,6 +201,15 @@ def test_lines_of_repeated_rows_and_null_ids(documents, prose):
     assert line_dedup.repeated_lines(documents([])).collect() == []
 
 
+def test_normal_lines_have_single_spaces(prose):
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    assert all(line_dedup.normal(f"A{c}b") == line_dedup.normal(f"{c}a b{c}") == "a b" for c in spaces)
+    assert line_dedup.normal(" \u00ad\u200b A  ") == "\u00ad\u200b a" and line_dedup.normal(" \t ") == line_dedup.normal("") == ""
+    for _ in range(2000):
+        line = "".join(prose.rng.choice([" ", "a", "B", "\t", "\u3000", "\u00e9", "\x00"]) for _ in range(prose.rng.randint(0, 6)))
+        assert line_dedup.normal(line) == " ".join(line.lower().split())
+
+
 def test_bands_share(prose):
     """Lines at the threshold share a band, as often as the formula says."""
     met = 0
