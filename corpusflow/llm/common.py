@@ -36,10 +36,10 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def written(rows: DataFrame, purpose: str) -> DataFrame:
+def written(rows: DataFrame, purpose: str, **options: str) -> DataFrame:
     """``rows`` as a table in the shared folder: cuts lineage, survives lost executors."""
     path = shared_folder(rows.sparkSession, purpose)
-    rows.write.parquet(path)
+    rows.write.options(**options).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -220,7 +220,7 @@ def repeated_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     one empty line. Equal 63-bit hashes count as equal lines. Rows that are wholly equal are judged
     as one row, so all of them keep the same lines. Other columns are not looked at.
     """
-    all_places = written(places(docs), "places")
+    all_places = written(places(docs), "places", compression="zstd")
     bands = all_places.where("bands IS NOT NULL").select("key", F.explode("bands").alias("band"))
     # A line is compared apart in each of its kinds.
     bands = bands.select(F.col("band").alias("key"), F.col("key").bitwiseOR(F.col("band").bitwiseAND(F.lit(1).cast("long"))).alias("rep"))
