@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.session import shared_folder
+from corpusflow.session import shared_folder, small_batches
 
 #: White space between words.
 SPACES = "\\x20\\x09-\\x0D"
@@ -19,17 +19,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Setting for the bytes that go to Python at a time, and what is set unless the session has its own:
-#: Spark's default of 64 MB, held several times over in each task, is much for long texts.
-BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """See to it that rows go to Python in batches of a few megabytes."""
-    if spark.conf.get(BATCH_BYTES, None) is None:
-        spark.conf.set(BATCH_BYTES, BATCH)
-
-
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) and the columns ``more``; all others are left out."""
     small_batches(docs.sparkSession)

@@ -12,11 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.functions.vectors import DIMENSION, plain_words
-from corpusflow.session import handed_over
+from corpusflow.session import handed_over, small_batches
 from corpusflow.sources import versioned
 
 # Fixed value: texts per model call.
 BATCH_SIZE = 128
+# Texts that are embedded at a time, and bytes of them, by their mean length.
+PIECE_ROWS, PIECE_BYTES = 16 * BATCH_SIZE, 8 << 20
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, as many at a time as an embedder may hold as matrices and word lists."""
+    fitting = int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes))
+    step = max(1, min(PIECE_ROWS, fitting))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -41,16 +51,23 @@ def arrow_to_vectors(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), lengths[0])
 
 
+def word_positions(words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of each word, from its MD5 digest: 32 bits and the bit that follows."""
+    digests = b"".join(hashlib.md5(w.encode()).digest() for w in words)
+    parts = np.frombuffer(digests, dtype=">u4").reshape(-1, 4)
+    return (parts[:, 0] % width).astype(np.int64), np.where(parts[:, 1] < 1 << 31, 1.0, -1.0)
+
+
 def word_position(word: str, width: int) -> tuple[int, float]:
-    """Bucket and sign of a word, from its MD5 digest: 32 bits and the bit that follows."""
-    digest = hashlib.md5(word.encode()).hexdigest()
-    return int(digest[:8], 16) % width, 1.0 if digest[8] < "8" else -1.0
+    """The same for one word."""
+    bucket, sign = word_positions([word], width)
+    return int(bucket[0]), float(sign[0])
 
 
 class HashedWords:
     """Counts of hashed words, signed and normalised. Needs no model.
 
-    Words are cut in the JVM; each distinct word of an Arrow batch is hashed once.
+    Words are cut in the JVM; each distinct word of a piece is hashed once.
     """
 
     def __init__(self, dimension: int = DIMENSION):
@@ -64,9 +81,7 @@ class HashedWords:
 
         def embed(texts: pa.Array) -> np.ndarray:
             encoded = texts.flatten().dictionary_encode()
-            known = [word_position(w, width) for w in encoded.dictionary.to_pylist()]
-            bucket = np.array([b for b, _ in known], dtype=np.int64)
-            sign = np.array([s for _, s in known], dtype=np.float64)
+            bucket, sign = word_positions(encoded.dictionary.to_pylist(), width)
             word = encoded.indices.to_numpy()
             text = np.repeat(np.arange(len(texts)), np.diff(texts.offsets.to_numpy()))
             counts = np.bincount(
@@ -110,12 +125,13 @@ def embed(texts: DataFrame, embedder: HashedWords | Model, text: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = embedder.open()
         for batch in batches:
-            if batch.num_rows:
-                vectors = vectors_to_arrow(_unit_rows(model(batch.column("_input"))))
+            for piece in _pieces(batch):
+                vectors = vectors_to_arrow(_unit_rows(model(piece.column("_input"))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in kept] + [vectors], names=[*kept, "embedding"]
+                    [piece.column(c) for c in kept] + [vectors], names=[*kept, "embedding"]
                 )
 
+    small_batches(texts.sparkSession)
     prepared = texts.filter(F.col(text).isNotNull()).select(
         *kept, embedder.prepare(F.col(text)).alias("_input")
     )

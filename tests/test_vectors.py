@@ -220,3 +220,32 @@ def test_only_new_texts_are_embedded(spark):
     new = embedding.embed_new(texts, stored, embedding.HashedWords(8))
     assert new.count() == 2
     assert embedding.embed_new(texts, stored.select("content_key").union(new.select("content_key")), embedding.HashedWords(8)).count() == 0
+
+
+class _Bounded:
+    """An embedder that refuses more than it may hold at a time."""
+
+    def prepare(self, text):
+        return text
+
+    def open(self):
+        def embed(texts):
+            assert len(texts) <= embedding.PIECE_ROWS and texts.nbytes <= 2 * embedding.PIECE_BYTES
+            return np.array([[len(t), 1.0] for t in texts.to_pylist()])
+
+        return embed
+
+
+@pytest.mark.parametrize("rows, length", [(3 * embedding.PIECE_ROWS, 5), (60, 1 << 20)])
+def test_texts_are_embedded_in_bounded_pieces(spark, rows, length):
+    """However many texts a task has, and however long they are."""
+    texts = spark.range(0, rows, 1, 1).select("id", F.repeat(F.lit("x"), length).alias("text"))
+    found = embedding.embed(texts, _Bounded()).selectExpr("count(DISTINCT id)", "min(embedding[1])").first()
+    assert found[0] == rows and found[1] == pytest.approx(1 / np.hypot(length, 1))
+
+
+def test_positions_of_words_are_those_of_each():
+    words = ["a", "b", "straße", "漢字", ""]
+    bucket, sign = embedding.word_positions(words, 97)
+    assert list(zip(bucket, sign)) == [embedding.word_position(w, 97) for w in words]
+    assert embedding.word_positions([], 97)[0].shape == (0,)
