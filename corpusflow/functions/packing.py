@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.sections import split_paragraphs, split_sentences
 from corpusflow.functions.text import join_slice, let, materialize, words
 from corpusflow.functions.tokens import FunctionCounter, WordCounter
+from corpusflow.session import small_batches
 
 # The defaults of the chunking job.
 CHUNK_SIZE = 512
@@ -312,6 +313,8 @@ def _add(
     rows: DataFrame, out: str, prepared: Column, body: Callable[[Column], Column], p: Packing
 ) -> DataFrame:
     """Add ``body`` of a prepared section, measured by the counter, as column ``out``."""
+    if p.counter.in_python:
+        small_batches(rows.sparkSession)
     held = materialize(rows, F.array(prepared), "_prepared")
     measured = held.withColumn("_measured", p.counter.measure(F.col("_prepared")))
     return measured.withColumn(out, let(F.get("_measured", F.lit(0)), body)).drop(

@@ -95,6 +95,16 @@ COUNTS = T.StructType(
 FAILED = "token counter failed: "
 #: Stretches whose counts a task keeps at a time.
 KEPT_COUNTS = 200_000
+#: Bytes of documents that a task holds as Python strings at a time, or one document.
+PIECE_BYTES = 1 << 20
+
+
+def _pieces(batches: Iterator[pa.Array]) -> Iterator[list]:
+    """The rows of ``batches`` as Python values, a few at a time, however large the batches are."""
+    for batch in batches:
+        step = max(1, int(len(batch) * PIECE_BYTES / max(1, batch.nbytes)))
+        for i in range(0, len(batch), step):
+            yield batch.slice(i, step).to_pylist()
 
 
 class _Counts(dict):
@@ -133,9 +143,8 @@ class FunctionCounter:
     def __init__(self, factory: Callable[[], Callable[[str], int]]):
         def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             count_text = factory()
-            for batch in batches:
-                counts = [None if t is None else count_text(t) for t in batch.to_pylist()]
-                yield pa.array(counts, pa.int32())
+            for texts in _pieces(batches):
+                yield pa.array([None if t is None else count_text(t) for t in texts], pa.int32())
 
         def count_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             count_text = factory()
@@ -148,8 +157,8 @@ class FunctionCounter:
                 except Exception as e:
                     return {"counts": None, "error": f"{FAILED}{e}"}
 
-            for batch in batches:
-                yield pa.array([counts(t) for t in batch.to_pylist()], to_arrow_type(COUNTS))
+            for docs in _pieces(batches):
+                yield pa.array([counts(t) for t in docs], to_arrow_type(COUNTS))
 
         def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             count_text = factory()
@@ -170,8 +179,8 @@ class FunctionCounter:
                     return [{"error": f"{FAILED}{e}"}]
 
             kind = pa.list_(to_arrow_type(MEASURES))
-            for batch in batches:
-                yield pa.array([measured(doc) for doc in batch.to_pylist()], kind)
+            for docs in _pieces(batches):
+                yield pa.array([measured(doc) for doc in docs], kind)
 
         def register(f, kind):
             return F.arrow_udf(f, kind)

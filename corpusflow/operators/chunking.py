@@ -21,6 +21,7 @@ from corpusflow.functions.packing import (
 )
 from corpusflow.functions.sections import cut_sections, header_positions
 from corpusflow.functions.text import has_unusual_space, materialize, strip
+from corpusflow.session import small_batches
 
 # Fixed value: how much of a chunk a preview shows.
 PREVIEW_LENGTH = 200
@@ -93,6 +94,8 @@ def chunk_arrays(documents: DataFrame, p: Packing = Packing()) -> DataFrame:
     for which the token counter raises, fails alone: it keeps its row, with an ``error`` and
     no chunks.
     """
+    if p.counter.in_python:
+        small_batches(documents.sparkSession)
     steps = _steps(p, documents.sparkSession.sparkContext.applicationId)
     kept: list[str | Column] = ["doc_key", "source_file"]
 

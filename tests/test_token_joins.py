@@ -5,10 +5,12 @@ import os
 import random
 import re
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from corpusflow.functions.tokens import _Counts, _running_sums
+from corpusflow.functions import tokens
+from corpusflow.functions.tokens import FunctionCounter, _Counts, _running_sums
 
 HOME = "/opt/tokenizers"
 JOINS = 10_000
@@ -83,3 +85,17 @@ def test_joined_segments(name):
             wrong += [carried] * (count(carried) != parts)
             done += 2
     assert not wrong, (len(wrong), wrong[:3])
+
+
+@pytest.mark.parametrize("name", ["_count", "_count_all", "_measure"])
+def test_batches_are_measured_a_few_documents_at_a_time(name):
+    """However large a batch is, a task holds and returns few of its documents at a time."""
+    text = "some words " * 500
+    docs = {"_count": text, "_count_all": [text], "_measure": [{"text": text, "words": text.split(), "segments": [text], "budget": 9}]}
+    batch = pa.array([docs[name]] * 1000 + [None])
+    counter = FunctionCounter(lambda: lambda t: len(t.split()))
+    parts = list(getattr(counter, name).func(iter([batch])))
+    assert sum(map(len, parts)) == 1001 and max(map(len, parts)) <= 1 + tokens.PIECE_BYTES * 1001 // batch.nbytes
+    found = [x for part in parts for x in part.to_pylist()]
+    own = {"_count": lambda d: d, "_count_all": lambda d: d["counts"][0], "_measure": lambda d: d[0]["tokens"]}[name]
+    assert {own(d) for d in found[:-1]} == {1000} and found[-1] in (None, {"counts": None, "error": None})
