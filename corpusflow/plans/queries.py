@@ -30,6 +30,8 @@ QUESTION_DIMENSION = 64
 PROBES = 8
 TABLES, BITS = 12, 3
 SHORT_QUESTION = 150
+# Folders that the files of one query are dealt to.
+FILE_FOLDERS = 64
 
 REGISTRY: dict[str, Query] = {}
 
@@ -63,7 +65,10 @@ def _flat(chunks: DataFrame) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Write ``(name, content)`` rows as files, each by the task that holds its row."""
+    """Write ``(name, content)`` rows as files, each by the task that holds its row.
+
+    Names may begin with folders that are there.
+    """
     whole = text_files.qualified(files.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,8 +359,12 @@ def chunk_file_source(spark, folder):
         )
     )
     out = shared_folder(spark, "chunk-files")
-    write_files(papers.select(F.concat("paper_id", F.lit(".json")).alias("name"), F.encode(whole, "UTF-8").alias("content")), out)
-    return _flat(chunk_store.read_chunk_file(spark, out))
+    # Millions of files are dealt to folders, which are listed and filled side by side.
+    inner = F.pmod(F.xxhash64("paper_id"), F.lit(FILE_FOLDERS)).cast("string")
+    name = F.concat_ws("/", inner, F.coalesce(F.concat("paper_id", F.lit(".json")), F.lit("None")))
+    text_files.make_folders(spark, *[f"{out}/{k}" for k in range(FILE_FOLDERS)])
+    write_files(papers.select(name.alias("name"), F.encode(whole, "UTF-8").alias("content")), out)
+    return _flat(chunk_store.read_chunk_file(spark, *[f"{out}/{k}" for k in range(FILE_FOLDERS)]))
 
 
 @query

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.functions.text import materialize
 from corpusflow.operators.chunking import corpus_statistics
+from corpusflow.sources import text_files
 
 # Layout of a chunk file.
 METADATA = (
@@ -15,8 +19,9 @@ METADATA = (
 CHUNK_SCHEMA = f"text string, metadata {METADATA}"
 CONFIG_SCHEMA = "chunk_size int, chunk_overlap int, encoding string"
 TOTALS_SCHEMA = "total_documents long, total_chunks long, total_tokens long, avg_chunk_size double"
+CHUNKS_SCHEMA = f"chunks array<struct<text:string,metadata:{METADATA}>>"
 CHUNK_FILE_SCHEMA = f"""
-    chunks array<struct<text:string,metadata:{METADATA}>>,
+    {CHUNKS_SCHEMA},
     statistics struct<total_documents:int,total_chunks:int,total_tokens:bigint,
         avg_chunk_size:double,
         documents_processed:array<struct<filename:string,chunks:int,tokens:int>>>,
@@ -72,9 +77,26 @@ def read_chunks_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNK_SCHEMA).json(path)
 
 
-def read_chunk_file(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of exchange files that hold one object ``{chunks, statistics, config}`` each."""
-    files = spark.read.schema(CHUNK_FILE_SCHEMA).option("multiLine", True).json(path)
+def _utf8(content: bytes) -> bytes | None:
+    """JSON in UTF-8, whichever Unicode encoding the file has; None if it is broken."""
+    try:
+        return content.decode(json.detect_encoding(content)).encode()
+    except UnicodeError:
+        return None
+
+
+def read_chunk_file(spark: SparkSession, *paths: str) -> DataFrame:
+    """Chunks of exchange files that hold one object ``{chunks, statistics, config}`` each.
+
+    Folders may hold millions of files, so tasks list and read them; single files, patterns and
+    stores that only Spark reaches are read by Spark's source.
+    """
+    if all(text_files.is_folder(spark, path) for path in paths):
+        contents = text_files.read_folders(spark, *paths, pattern="*", deep=True, made_of=_utf8)
+        parsed = F.from_json(F.col("content").cast("string"), CHUNKS_SCHEMA)
+        files = materialize(contents.select("content"), parsed, "file").select("file.chunks")
+    else:
+        files = spark.read.schema(CHUNK_FILE_SCHEMA).option("multiLine", True).json(list(paths))
     return files.select(F.explode("chunks").alias("c")).select("c.text", "c.metadata")
 
 

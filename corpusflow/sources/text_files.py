@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fnmatch import fnmatchcase
 
 import pyarrow as pa
@@ -59,9 +59,37 @@ def qualified(spark: SparkSession, folder: str) -> str:
     return hadoop.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
-def list_files(folders: DataFrame, pattern: str = FILE_PATTERN) -> DataFrame:
+def make_folders(spark: SparkSession, *folders: str) -> None:
+    for folder in folders:
+        system, path = fs.FileSystem.from_uri(qualified(spark, folder))
+        system.create_dir(path, recursive=True)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether tasks can list a path and read the files in it."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(context._jsc.hadoopConfiguration())
+    if not (system.exists(place) and system.getFileStatus(place).isDirectory()):
+        return False
+    try:
+        fs.FileSystem.from_uri(system.makeQualified(place).toString())
+    except pa.ArrowInvalid:  # a scheme of Hadoop's alone
+        return False
+    return True
+
+
+def _taken(name: str) -> bool:
+    """Whether Spark's sources read a file of a folder: it is not hidden, and folders between are named ``k=v``."""
+    *inner, last = name.split("/")
+    return not last.startswith(".") and not (last.startswith("_") and "=" not in last) and not last.endswith("._COPYING_") and all("=" in p and p[0] != "." for p in inner)
+
+
+def list_files(folders: DataFrame, pattern: str = FILE_PATTERN, deep: bool = False) -> DataFrame:
     """``(folder, name, length)`` of the files directly in each of ``folders(folder)``, empty ones too.
 
+    ``deep``: also of those in folders ``k=v`` below, ``name`` beginning with these; none that are hidden.
+
     Each folder is listed by the task that holds its row, so no name passes through the driver.
     Folders need a scheme; see ``qualified``.
     """
@@ -71,16 +99,20 @@ def list_files(folders: DataFrame, pattern: str = FILE_PATTERN) -> DataFrame:
         for b in batches:
             for folder in b.column("folder").to_pylist():
                 system, path = fs.FileSystem.from_uri(folder)
-                found = [f for f in system.get_file_info(fs.FileSelector(path)) if f.is_file and fnmatchcase(f.base_name, pattern)]
+                found = [f for f in system.get_file_info(fs.FileSelector(path, recursive=deep)) if f.is_file and fnmatchcase(f.base_name, pattern)]
                 for k in range(0, len(found), LISTED_ROWS):
-                    some = found[k : k + LISTED_ROWS]
-                    yield pa.record_batch([[folder] * len(some), [f.base_name for f in some], [f.size for f in some]], schema=kind)
+                    some = [(f.path[len(path.rstrip("/")) + 1 :] if deep else f.base_name, f.size) for f in found[k : k + LISTED_ROWS]]
+                    some = [x for x in some if not deep or _taken(x[0])]
+                    yield pa.record_batch([[folder] * len(some), [n for n, _ in some], [size for _, size in some]], schema=kind)
 
     return folders.select("folder").mapInArrow(run, LISTED)
 
 
-def read_files(files: DataFrame) -> DataFrame:
-    """``files`` of ``list_files`` as ``(path, length, content)``, each read by the task that holds its row."""
+def read_files(files: DataFrame, made_of: Callable[[bytes], bytes | None] = bytes) -> DataFrame:
+    """``files`` of ``list_files`` as ``(path, length, content)``, each read by the task that holds its row.
+
+    The content is what ``made_of`` makes of a file's bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
@@ -97,7 +129,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 system, path = systems[folder]
                 with system.open_input_stream(f"{path}/{name}") as file:
                     content = file.read()
-                rows.append((f"{folder.rstrip('/')}/{name}", length, content))
+                rows.append((f"{folder.rstrip('/')}/{name}", length, made_of(content)))
                 size += len(content)
                 if size >= READ_BYTES:
                     yield made(rows)
@@ -108,18 +140,28 @@ def read_files(files: DataFrame) -> DataFrame:
     return files.select("folder", "name", "length").mapInArrow(run, "path string, length bigint, content binary")
 
 
-def read_papers(spark: SparkSession, *folders: str) -> DataFrame:
-    """Documents ``(doc_key, source_file, text)`` of the files directly in the folders.
+def read_folders(
+    spark: SparkSession, *folders: str, pattern: str = FILE_PATTERN, deep: bool = False, made_of: Callable[[bytes], bytes | None] = bytes
+) -> DataFrame:
+    """Files ``(path, length, content)`` of folders; see ``list_files`` and ``read_files``.
 
     Tasks list the folders; the list is written, and its files are dealt to the tasks that read
-    them, as many as their bytes and their number ask for. Empty files count as documents with an
-    empty text. A folder that is not there raises an error.
+    them, as many as their bytes and their number ask for. A folder that is not there raises an error.
     """
     named = spark.createDataFrame([(qualified(spark, f),) for f in folders], "folder string")
-    listed = handed_over(list_files(named.repartition(len(folders))), "files")
+    listed = handed_over(list_files(named.repartition(len(folders)), pattern, deep), "files")
     n, size = listed.agg(F.count("*"), F.sum("length")).first()
     tasks = max(1, -(-(size or 0) // TASK_BYTES), -(-n // TASK_FILES), min(n, spark.sparkContext.defaultParallelism))
-    return as_documents(read_files(listed.repartition(tasks, F.xxhash64("folder", "name"))))
+    return read_files(listed.repartition(tasks, F.xxhash64("folder", "name")), made_of)
+
+
+def read_papers(spark: SparkSession, *folders: str) -> DataFrame:
+    """Documents ``(doc_key, source_file, text)`` of the files directly in the folders.
+
+    They are listed and read as in ``read_folders``. Empty files count as documents with an
+    empty text.
+    """
+    return as_documents(read_folders(spark, *folders))
 
 
 def stream_papers(spark: SparkSession, folder: str, files_per_batch: int = 10_000) -> DataFrame:

@@ -1,3 +1,4 @@
+import gzip
 import json
 import os
 
@@ -134,3 +135,35 @@ def test_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     a, b = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert a != b and a.startswith(f"{root}/x-")
+
+
+def test_folders_of_chunk_files_are_read_by_tasks(spark, tmp_path):
+    """As by Spark's own source, but in as many tasks as their bytes ask for, however many files there are."""
+    folder = tmp_path / "files"
+    (folder / "below").mkdir(parents=True)
+
+    def whole(name, text="Größe x"):
+        chunks = [{"text": f"{text} {k}", "metadata": {"paper_id": name, "chunk_index": k}} for k in range(2)]
+        return json.dumps({"chunks": chunks, "config": {"chunk_size": 1}}, ensure_ascii=False)
+
+    for k in range(300):
+        (folder / f"{k}.json").write_text(whole(str(k)), encoding="utf-8")
+    (folder / "below" / "deep").write_text(whole("deep"), encoding="utf-8")
+    (folder / "mark.json").write_text(whole("mark"), encoding="utf-8-sig")
+    (folder / "wide.json").write_text(whole("wide"), encoding="utf-16")
+    (folder / "packed.json.gz").write_bytes(gzip.compress(whole("packed").encode()))
+    (folder / "empty.json").write_text("")
+    (folder / "broken.json").write_bytes(b'{"chunks": [{"text": "\xff\xfe')
+    (folder / "null.json").write_text('{"chunks": null}')
+    for hidden in ("_hidden.json", ".hidden.json"):
+        (folder / hidden).write_text(whole(hidden))
+    got = chunk_store.read_chunk_file(spark, str(folder))
+    own = spark.read.schema(chunk_store.CHUNK_FILE_SCHEMA).option("multiLine", True).json(str(folder))
+    own = own.select(F.explode("chunks").alias("c")).select("c.text", "c.metadata")
+    assert got.count() == own.count() == 2 * 303
+    assert got.schema == own.schema and got.exceptAll(own).count() == 0 == own.exceptAll(got).count()
+    assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < own.rdd.getNumPartitions()
+    assert chunk_store.read_chunk_file(spark, str(folder / "below"), str(folder)).count() == 2 * 304
+    (tmp_path / "parts" / "k=1").mkdir(parents=True)
+    (tmp_path / "parts" / "k=1" / "part").write_text(whole("part"), encoding="utf-8")
+    assert chunk_store.read_chunk_file(spark, str(tmp_path / "parts")).count() == 2
