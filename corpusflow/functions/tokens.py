@@ -93,8 +93,9 @@ COUNTS = T.StructType(
     [T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("error", T.StringType())]
 )
 FAILED = "token counter failed: "
-#: Stretches whose counts a task keeps at a time.
+#: Stretches whose counts a task keeps at a time, and their characters.
 KEPT_COUNTS = 200_000
+KEPT_CHARS = 4_000_000
 #: Bytes of documents that a task holds as Python strings at a time, or one document.
 PIECE_BYTES = 1 << 20
 
@@ -112,11 +113,16 @@ class _Counts(dict):
 
     def __init__(self, count: Callable[[str], int]):
         self.count = count
+        self.chars = 0
 
     def __missing__(self, text: str) -> int:
-        if len(self) >= KEPT_COUNTS:
+        n = self.count(text)
+        if len(self) >= KEPT_COUNTS or self.chars + len(text) > KEPT_CHARS:
             self.clear()
-        n = self[text] = self.count(text)
+            self.chars = 0
+        if len(text) <= KEPT_CHARS:
+            self[text] = n
+            self.chars += len(text)
         return n
 
 

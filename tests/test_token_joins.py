@@ -99,3 +99,15 @@ def test_batches_are_measured_a_few_documents_at_a_time(name):
     found = [x for part in parts for x in part.to_pylist()]
     own = {"_count": lambda d: d, "_count_all": lambda d: d["counts"][0], "_measure": lambda d: d[0]["tokens"]}[name]
     assert {own(d) for d in found[:-1]} == {1000} and found[-1] in (None, {"counts": None, "error": None})
+
+
+def test_kept_counts_are_bounded_by_their_characters():
+    """Long stretches, which hardly come again, do not pile up."""
+    calls = []
+    counts = _Counts(lambda text: calls.append(text) or len(text))
+    long = [f"{k} ".ljust(100_000, "x") for k in range(100)]
+    assert [counts[t] for t in long] == [100_000] * 100
+    assert sum(map(len, counts)) <= tokens.KEPT_CHARS
+    assert counts["x" * (tokens.KEPT_CHARS + 1)] == tokens.KEPT_CHARS + 1
+    assert counts["word"] == counts["word"] == 4 and calls.count("word") == 1
+    assert sum(map(len, counts)) <= tokens.KEPT_CHARS
