@@ -74,7 +74,7 @@ def is_folder(spark: SparkSession, path: str) -> bool:
         return False
     try:
         fs.FileSystem.from_uri(system.makeQualified(place).toString())
-    except pa.ArrowInvalid:  # a scheme of Hadoop's alone
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):  # a scheme that Hadoop alone reaches
         return False
     return True
 

@@ -244,6 +244,14 @@ def test_texts_are_embedded_in_bounded_pieces(spark, rows, length):
     assert found[0] == rows and found[1] == pytest.approx(1 / np.hypot(length, 1))
 
 
+def test_new_texts_are_embedded_in_bounded_pieces(spark):
+    """Also where the new texts meet in a few partitions."""
+    texts = spark.range(0, 4 * embedding.PIECE_ROWS).select(F.concat(F.lit("text "), "id").alias("text")).coalesce(1)
+    none = spark.createDataFrame([], "content_key string, embedding array<float>")
+    new = embedding.embed_new(texts.union(texts), none, _Bounded())
+    assert new.count() == 4 * embedding.PIECE_ROWS == new.select("content_key").distinct().count()
+
+
 def test_positions_of_words_are_those_of_each():
     words = ["a", "b", "straße", "漢字", ""]
     bucket, sign = embedding.word_positions(words, 97)
