@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,10 @@ def packed_shingles(n: int) -> Callable[[bytes], np.ndarray]:
     return lambda data: shingles(plain.decompress(data).decode())
 
 
+def all_of(cut: Callable[[bytes], np.ndarray]) -> Callable[[list[bytes]], list[np.ndarray]]:
+    return lambda data: [cut(x) for x in data]
+
+
 def chosen(grams: np.ndarray, path: int, level: int) -> np.ndarray:
     """Where a set goes on from ``path``: at n-grams that a hash of path and n-gram picks.
 
@@ -172,11 +177,11 @@ def once(buckets: DataFrame) -> DataFrame:
     return buckets.join(first.select("key"), "key", "left_semi").select("rep", "key", "n")
 
 
-def linked(buckets: DataFrame, stored: DataFrame, make: Callable[[], Callable[[bytes], np.ndarray]], threshold: float) -> DataFrame:
+def linked(buckets: DataFrame, stored: DataFrame, make: Callable[[], Callable[[list[bytes]], list[np.ndarray]]], threshold: float) -> DataFrame:
     """``(rep, root, links)``: which members of buckets are alike.
 
     ``buckets``: ``(rep, key, n)`` with the members of each key; ``stored``: ``(rep, copies, data)``;
-    ``make`` gives the function that cuts ``data`` into a set. A pair counts
+    ``make`` gives the function that cuts a list of ``data`` into sorted sets. A pair counts
     in the least of the buckets that both are in, so just once. Each bucket returns a forest: the
     least member that one is connected with there, and how many rows its links stand for. A bucket
     of more than ``BUCKET`` members is compared block by block, each pair of blocks apart.
@@ -199,35 +204,37 @@ def linked(buckets: DataFrame, stored: DataFrame, make: Callable[[], Callable[[b
 
     def each(t: pa.Table) -> pa.Table:
         t = t.sort_by([("key", "ascending"), ("block", "ascending"), ("rep", "ascending")])
-        cut, sets = make(), {}
         key, block, rep = (np.asarray(t[c]) for c in ("key", "block", "rep"))
         copies, own = np.asarray(t["copies"]), np.asarray(t["own"])
         final, data = t["final"].to_pylist(), t["data"]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def set_of(k: int) -> np.ndarray:
-            if rep[k] not in sets:
-                sets[rep[k]] = cut(data[k].as_py())
-            return sets[rep[k]]
-
-        for at, length in zip(*runs_of(key, block)):
-            rows = slice(at, at + length)
-            ids, across = rep[rows], own[rows]
-            names = [set(f) for f in final[at : at + length]]
-
-            def counts(a: int, b: int) -> bool:
-                """Of two blocks only pairs across them; pairs within are those of (i, i)."""
-                return (across[a] == 2 or across[a] != across[b]) and ids[a] != ids[b] and min(names[a] & names[b]) == key[at]
-
+        def counted(at: int, length: int, pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+            """Pairs of a bucket that share no smaller bucket; of two blocks only those across them."""
+            rows, bucket = slice(at, at + length), int(key[at])
+            ids, across = rep[rows].tolist(), own[rows].tolist()
+            less = [{x for x in f if x < bucket} for f in final[rows]]
+            return [(a, b) for a, b in pairs if (across[a] == 2 or across[a] != across[b]) and ids[a] != ids[b] and less[a].isdisjoint(less[b])]
+
+        groups = list(zip(*(x.tolist() for x in runs_of(key, block))))
+        # Whether a pair of a small bucket counts here is known before its sets are cut.
+        few = {at: counted(at, length, combinations(range(length), 2)) for at, length in groups if length <= FEW}
+        needed = {int(rep[at + k]): at + k for at, pairs in few.items() for pair in pairs for k in pair}
+        needed |= {int(rep[k]): k for at, length in groups if length > FEW for k in range(at, at + length)}
+        sets = dict(zip(needed, make()(data.take(list(needed.values())).to_pylist())))
+
+        for at, length in groups:
+            ids = rep[at : at + length]
+            own_sets = [sets.get(x) for x in ids.tolist()]
             if length <= FEW:
-                # Whether a pair counts here is known before its sets are cut.
-                pairs = [(a, b) for a in range(length) for b in range(a + 1, length) if counts(a, b)]
-                pairs = [(a, b) for a, b in pairs if similar(set_of(at + a), set_of(at + b), threshold)]
+                pairs = [(a, b) for a, b in few[at] if similar(own_sets[a], own_sets[b], threshold)]
             else:
-                pairs = [(a, b) for a, b in zip(*alike([set_of(k) for k in range(at, at + length)], threshold)) if counts(a, b)]
-            i, j = np.array(pairs, np.int64).reshape(-1, 2).T
-            if len(i):
-                links = np.bincount(i, copies[rows][j], length) + np.bincount(j, copies[rows][i], length)
+                i, j = alike(own_sets, threshold)
+                pairs = counted(at, length, zip(i.tolist(), j.tolist()))
+            if pairs:
+                i, j = np.array(pairs, np.int64).T
+                rows = copies[at : at + length]
+                links = np.bincount(i, rows[j], length) + np.bincount(j, rows[i], length)
                 nodes, roots = union_find(ids[i], ids[j])
                 out.append((nodes, roots, links[np.searchsorted(ids, nodes)].astype(np.int64)))
         whole = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
@@ -275,7 +282,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     buckets = final[0]
     for more in final[1:]:
         buckets = buckets.unionByName(more)
-    found = written(linked(buckets, stored, lambda: packed_shingles(n), threshold), "links")
+    found = written(linked(buckets, stored, lambda: all_of(packed_shingles(n)), threshold), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     ids = distinct.select("rep", "doc_id")
     members = components(found.select("rep", "root")).withColumnRenamed("node", "rep")

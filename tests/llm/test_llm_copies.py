@@ -227,6 +227,75 @@ def test_bands_share(prose):
     assert (line_dedup.band_keys(["abcdefgh", "zz abcdefgh yy"], 1)[0] == line_dedup.band_keys(["abcdefgh"], 1)[0]).all()
 
 
+def numbers(data):
+    return np.frombuffer(data, np.int64).tolist()
+
+
+def test_bands_are_dealt_in_few_rows(documents, prose):
+    """A shuffle row for each part of a batch, not for each band; all bands are there."""
+    lines = [" ".join(prose.words(k % 40 + 1)) for k in range(400)]
+    docs = documents([(i, "\n".join(lines[i::4])) for i in range(4)]).coalesce(1)
+    rows = line_dedup.places(docs).collect()
+    assert [(r["doc_id"], r["n_lines"]) for r in rows if r["n_lines"] is not None] == [(i, 100) for i in range(4)]
+    by_key = {line_dedup.key_of(x): x for x in lines}
+    want = set()
+    for number, kind in enumerate(line_dedup.KINDS):
+        some = {k: x for k, x in by_key.items() if kind.least <= len(x) <= kind.most}
+        for key, bands in zip(some, line_dedup.band_keys(list(some.values()), number).tolist()):
+            want |= {(band, key | number) for band in bands}
+    dealt = line_dedup._dealt(line_dedup.places(docs).where("bands IS NOT NULL").select("key", "bands"), 3).collect()
+    assert len(want) > 4000 and len(dealt) == 3
+    assert {pair for r in dealt for pair in zip(numbers(r["keys"]), numbers(r["reps"]))} == want
+
+
+@pytest.mark.parametrize("block, most", [(1_000_000, 1_000_000), (20, 1_000_000), (20, 60)])
+def test_shared_bands_in_blocks(spark, prose, monkeypatch, block, most):
+    """Bands of two lines are found whichever blocks these come in, also by tasks that are full."""
+    monkeypatch.setattr(line_dedup, "BLOCK_BANDS", block)
+    monkeypatch.setattr(line_dedup, "HELD_BANDS", most)
+    pairs = [(prose.rng.randrange(400) * 2, prose.rng.randrange(300) * 2) for _ in range(600)] + [(2000, 2 * k) for k in range(90)] + [(2002, 4)] * 50
+    rows = [(rep, np.array([key], np.int64).tobytes()) for key, rep in pairs]
+    lines = spark.createDataFrame(rows, "key long, bands binary").repartition(5)
+    got = [(r["key"], r["rep"]) for r in line_dedup._shared(line_dedup._dealt(lines, 3), 3).collect()]
+    several = {key for key, _ in pairs if len({rep for k, rep in pairs if k == key}) > 1}
+    want = {(key, rep) for key, rep in pairs if key in several}
+    assert 0 < len(several) < len({key for key, _ in pairs}) and want <= set(got) <= set(pairs)
+    assert most == 60 or set(got) == want
+
+
+def test_sets_of_many_lines_equal_those_of_one(prose):
+    lines = [" ".join(prose.words(k % 30 + 1)) + "\u4e2d\U0001f600\ud800" for k in range(300)] + ["aaaaaaaa" * 20] + ["x" * 60_000]
+    data = [(number, x) for x in lines for number, kind in enumerate(line_dedup.KINDS) if kind.least <= len(x) <= kind.most]
+    got = line_dedup.named_sets([bytes([number]) + x.encode("utf-8", "surrogatepass") for number, x in data])
+    for (number, x), found in zip(data, got):
+        width = line_dedup.KINDS[number].width
+        codes = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4")
+        assert found.tolist() == sorted(set(line_dedup.shingle_hashes(codes, width).tolist()))
+        assert len(found) == len({x[p : p + width] for p in range(len(x) - width + 1)})
+
+
+def test_lines_of_a_task_are_cut_at_once(spark):
+    """The sets that a task needs come from one call, those of pairs met elsewhere are left out."""
+
+    def make():
+        def cut(data):
+            if len(set(data)) != len(data) or b"" in data:
+                raise ValueError("cut twice or in vain")
+            return [np.frombuffer(x, np.uint8).astype(np.uint64) for x in data]
+
+        return cut
+
+    sets = {1: bytes(range(10)), 2: bytes(range(9)), 3: bytes(range(8)), 4: b"", 5: bytes(range(100, 110)), 6: bytes(range(100, 109))}
+    buckets = [(rep, 10, 3) for rep in (1, 2, 3)] + [(rep, 20, 2) for rep in (1, 3)] + [(rep, 30, 2) for rep in (5, 6)] + [(4, 40, 1)]
+    found = jaccard_join.linked(
+        spark.createDataFrame(buckets, "rep long, key long, n long"),
+        spark.createDataFrame([(rep, 2, data) for rep, data in sets.items()], "rep long, copies long, data binary"),
+        make,
+        0.8,
+    )
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 4), (2, 1, 4), (3, 1, 4), (5, 5, 2), (6, 5, 2)]
+
+
 def test_bands_lose_one_pair_in_a_hundred():
     """At the threshold, by the formula, and in what is made."""
     short, long = line_dedup.KINDS
