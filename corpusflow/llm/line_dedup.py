@@ -265,7 +265,7 @@ def _shared(dealt: DataFrame, parts: int) -> DataFrame:
                     waiting, n = [], 0
         yield seen()
 
-    return dealt.repartition(parts, "part").select("keys", "reps").mapInArrow(each, "key long, rep long")
+    return dealt.repartitionById(parts, "part").select("keys", "reps").mapInArrow(each, "key long, rep long")
 
 
 def _line_key(rep: str) -> Column:

@@ -263,6 +263,15 @@ def test_shared_bands_in_blocks(spark, prose, monkeypatch, block, most):
     assert most == 60 or set(got) == want
 
 
+def test_each_part_of_the_bands_has_its_task(spark):
+    """No two parts meet in a task by chance, which would let the largest task grow."""
+    rows = [(2 * k, np.arange(0, 120, 2).tobytes()) for k in range(8)]
+    lines = spark.createDataFrame(rows, "key long, bands binary")
+    found = line_dedup._shared(line_dedup._dealt(lines, 30), 30)
+    assert [r["count"] for r in found.distinct().groupBy("key").count().collect()] == [8] * 60
+    assert sorted(len(set(c)) for c in found.rdd.map(lambda r: r["key"] // 2 % 30).glom().collect()) == [1] * 30
+
+
 def test_sets_of_many_lines_equal_those_of_one(prose):
     lines = [" ".join(prose.words(k % 30 + 1)) + "\u4e2d\U0001f600\ud800" for k in range(300)] + ["aaaaaaaa" * 20] + ["x" * 60_000]
     data = [(number, x) for x in lines for number, kind in enumerate(line_dedup.KINDS) if kind.least <= len(x) <= kind.most]
