@@ -34,11 +34,13 @@ SCALE, TF_PART, M_PART, LEVEL, SLOPE = 1_000_000_000, 1000, 20, 50, 50
 STEP = 4096
 
 #: Characters of a segment; the terms that have blocks and are coordinates; documents of a block.
-SEGMENT_BYTES = 4_000_000
+SEGMENT_BYTES = 2_000_000
 COORDINATES = 512
 BLOCK = 64
 #: Bits of a document's sketch, by which documents are compared.
 SKETCH = 64
+#: Bytes of a row group of the stored index.
+GROUP_BYTES = 2 << 20
 
 INDEX = (
     "terms array<string>, df binary, doc_ids array<bigint>, n binary, at binary, term binary, tf binary, "
@@ -389,8 +391,14 @@ def _ranked(index: DataFrame, corpus: tuple[int, int], block: list[tuple[int, li
 
 
 def store(index: DataFrame, path: str) -> DataFrame:
-    """Write an index and read it again: row groups hold a few segments, so that readers do too."""
-    index.write.options(**{"parquet.block.size": 32 << 20, "compression": "zstd"}).parquet(path)
+    """Write an index and read it again: row groups hold a few segments, so that writers and readers do too.
+
+    A row is megabytes, so sizes are looked at after each one, by default only after a hundred. Dictionaries, and the
+    smallest and largest values of each row group, would be whole copies that a task keeps; values hardly repeat.
+    """
+    sizes = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+    copies = {"parquet.enable.dictionary": "false", "parquet.column.statistics.enabled": "false"}
+    index.write.options(**sizes, **copies, compression="zstd").parquet(path)
     return index.sparkSession.read.schema(INDEX).parquet(path)
 
 

@@ -2,9 +2,11 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from corpusflow.llm import lexical_search as ls
@@ -122,3 +124,17 @@ def test_bounds_hold_and_blocks_are_skipped():
         for a, b in zip(t, w):
             whole += b * dense[:, s.here[a]]
         assert score.tolist() == sorted(whole.tolist(), reverse=True)[:50]
+
+
+def test_row_groups_hold_few_segments(spark, tmp_path):
+    names = ls.INDEX_SCHEMA.names
+    rows = [tuple([str(i)] if c == "terms" else [i] if c == "doc_ids" else random.Random(i).randbytes(1 << 20 if c == "tf" else 8) for c in names) for i in range(12)]
+    index = ls.store(spark.createDataFrame(rows, ls.INDEX).coalesce(1), str(tmp_path / "index"))
+    files = [pq.ParquetFile(f).metadata for f in Path(tmp_path, "index").glob("*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 12
+    assert max(g.num_rows for g in groups) <= 3
+    tf = [g.column(i) for g in groups for i in range(g.num_columns) if g.column(i).path_in_schema == "tf"]
+    assert not any(c.is_stats_set or c.has_dictionary_page for c in tf)
+    got = sorted((tuple(r) for r in index.collect()), key=lambda r: r[2])
+    assert got == rows
