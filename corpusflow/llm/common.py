@@ -15,8 +15,12 @@ from corpusflow.session import shared_folder, small_batches
 SPACES = "\\x20\\x09-\\x0D"
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+#: Options of a reader that takes a row group in pieces of 8 MB: read all at once, it lies outside the heap a second time.
+IN_PIECES = {"parquet.hadoop.vectored.io.enabled": "false"}
+
+
+def table(spark: SparkSession, folder: str, name: str, **options: str) -> DataFrame:
+    return spark.read.options(**options).parquet(f"{folder}/{name}.parquet")
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

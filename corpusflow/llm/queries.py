@@ -22,7 +22,7 @@ from corpusflow.llm import (
     secrets,
     url_filter,
 )
-from corpusflow.llm.common import table
+from corpusflow.llm.common import IN_PIECES, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -297,7 +297,7 @@ FROM parts
 
 @query
 def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
-    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return lexical_search.search(table(spark, folder, "documents", **IN_PIECES), table(spark, folder, "benchmark"))
 
 
 ORACLES["op13_lexical_search"] = r"""

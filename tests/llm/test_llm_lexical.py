@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from corpusflow.llm import lexical_search as ls
+from corpusflow.llm import queries
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -138,3 +139,13 @@ def test_row_groups_hold_few_segments(spark, tmp_path):
     assert not any(c.is_stats_set or c.has_dictionary_page for c in tf)
     got = sorted((tuple(r) for r in index.collect()), key=lambda r: r[2])
     assert got == rows
+
+
+def test_documents_are_read_in_pieces(spark, documents, asked, tmp_path, monkeypatch):
+    documents([(1, "a b"), (2, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    asked([(1, "a")]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = []
+    monkeypatch.setattr(ls, "search", lambda docs, items: seen.append(docs))
+    queries.op13_lexical_search(spark, str(tmp_path))
+    options = seen[0]._jdf.queryExecution().analyzed().relation().options()
+    assert options.get("parquet.hadoop.vectored.io.enabled").get() == "false"
